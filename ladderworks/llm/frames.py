@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def packed(docs: DataFrame, **columns: Column) -> DataFrame:
-    """``_row`` holds all input columns; the named columns stand beside it."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])
-
-
-def row_type(docs: DataFrame) -> T.StructField:
-    return T.StructField("_row", T.StructType(docs.schema.fields), True)
-
-
-def unpacked(frame: DataFrame, docs: DataFrame, **columns: Column) -> DataFrame:
-    """The input's columns again, then the named ones; a new column replaces an input column of its name."""
-    kept = [F.col(f"_row.`{c}`").alias(c) if c not in columns else columns[c].alias(c) for c in docs.columns]
-    return frame.select(*kept, *[c.alias(n) for n, c in columns.items() if n not in docs.columns])
-
-
-def text_key(docs: DataFrame, text_col: str) -> Column:
-    """Text as it is stored, cast to string where the column has another type."""
-    return F.col(f"`{text_col}`").cast("string")
+def packed(docs: DataFrame, text_col: str, **columns: Column) -> DataFrame:
+    """``_row`` holds all input columns but the text, which is ``_text``; the named columns stand beside them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(True).alias("_none")]
+    return docs.select(F.struct(*rest).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"), *[c.alias(n) for n, c in columns.items()])
+
+
+def row_field(docs: DataFrame, text_col: str) -> T.StructField:
+    rest = [f for f in docs.schema.fields if f.name != text_col] or [T.StructField("_none", T.BooleanType())]
+    return T.StructField("_row", T.StructType(rest), True)
+
+
+def unpacked(frame: DataFrame, docs: DataFrame, text_col: str, text: Column | None, **columns: Column) -> DataFrame:
+    """The input's columns in their order with the text (left out if None), then the named ones; a named column replaces an input column of its name."""
+    kept = []
+    for c in docs.columns:
+        if c == text_col:
+            kept += [] if text is None else [text.alias(c)]
+        elif c not in columns:
+            kept.append(F.col(f"_row.`{c}`").alias(c))
+    return frame.select(*kept, *[c.alias(n) for n, c in columns.items() if text is None or n != text_col])

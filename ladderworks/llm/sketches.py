@@ -116,7 +116,7 @@ def partial_sketch(block: int, items: np.ndarray, sizes: Layout) -> pa.Table:
     return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5, schema=PARTIAL)
 
 
-def merged_slice(key: tuple, table: pa.Table, sizes: Layout) -> pa.Table:
+def merged_slice(key: tuple, table: pa.Table, sizes: Layout, with_levels: bool) -> pa.Table:
     """Adds the partial sketches of one slice; per block, its counters that reach 2 and their levels."""
     total = np.zeros(1 << sizes.slice_bits, np.uint32)
     mine = []
@@ -129,18 +129,18 @@ def merged_slice(key: tuple, table: pa.Table, sizes: Layout) -> pa.Table:
     for block, (a, b) in zip(table.column("_block").to_pylist(), mine, strict=True):
         hot = np.sort(np.concatenate([a[total[a] > 1], b]))
         if len(hot):
-            rows.append((block, key[0].as_py(), encode(hot), levels(total[hot]).tobytes()))
+            rows.append((block, key[0].as_py(), encode(hot), levels(total[hot]).tobytes() if with_levels else b""))
     return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4, schema=ANSWER)
 
 
-def sketch_answers(blocked: DataFrame, items_of: Callable[[pa.Table], np.ndarray], sizes: Layout) -> DataFrame:
-    """Per block and slice: the block's counters that the merged sketch holds at 2 or more."""
+def sketch_answers(blocked: DataFrame, items_of: Callable[[pa.Table], np.ndarray], sizes: Layout, with_levels: bool = True) -> DataFrame:
+    """Per block and slice: the block's counters that the merged sketch holds at 2 or more, and their levels if wanted."""
 
     def make(key, table):
         return partial_sketch(key[0].as_py(), items_of(table), sizes)
 
     partial = blocked.groupBy("_block").applyInArrow(make, ddl(PARTIAL))
-    return partial.groupBy("_slice").applyInArrow(lambda key, table: merged_slice(key, table, sizes), ddl(ANSWER))
+    return partial.groupBy("_slice").applyInArrow(lambda key, table: merged_slice(key, table, sizes, with_levels), ddl(ANSWER))
 
 
 @dataclass
@@ -158,7 +158,8 @@ class Estimates:
         for row in range(DEPTH):
             own = [(s % sizes.slices, decode(c), lv) for s, c, lv in rows if s // sizes.slices == row]
             cells.append(np.concatenate([np.empty(0, np.uint64), *(c + (np.uint64(s) << np.uint64(sizes.slice_bits)) for s, c, _ in own)]))
-            found.append(np.frombuffer(b"".join(lv for _, _, lv in own), np.uint8))
+            known = np.frombuffer(b"".join(lv for _, _, lv in own), np.uint8)
+            found.append(known if len(known) == len(cells[-1]) else np.full(len(cells[-1]), 255, np.uint8))
         return cls(sizes, cells, found)
 
     def level(self, items: np.ndarray) -> np.ndarray:

@@ -2,11 +2,11 @@
 
 Every run of ``window`` words is counted in partition sketches that are merged slice by slice (`sketches`). The
 merged counters overestimate, so a window whose smallest counter is 1 is unique for certain. A second pass groups
-only the others, by a 128-bit fingerprint, and tells each block which of its windows occur again. No window that
+only the others, by a 96-bit fingerprint, and tells each block which of its windows occur again. No window that
 repeats is lost and none that is unique is removed.
 
 Shuffled are: the documents once (each later pass reads the same exchange), about 11 bits a counter for the
-sketches, and 16 bytes for each distinct window of a block that the sketch takes for repeated.
+sketches, and 12 bytes for each distinct window of a block that the sketch takes for repeated.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladderworks.llm.frames import packed, row_type, text_key, unpacked
+from ladderworks.llm.frames import packed, row_field, unpacked
 from ladderworks.llm.sketches import Estimates, Layout, ddl, in_blocks, layout, sketch_answers
 from ladderworks.llm.words import SPACED, covered, cut_words, pieces, sequence_hashes, spans, split_words, window_starts
 
@@ -31,13 +31,13 @@ def _texts(table: pa.Table) -> list[bytes | None]:
 
 
 def _windows(texts: list[bytes | None], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both 64-bit halves of every window's fingerprint, text after text."""
+    """64 and 32 bits of every window's fingerprint, text after text."""
     one, two = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for lo, hi in pieces(texts):
         words = split_words(texts[lo:hi], SPACED, lower=False)
         at = window_starts(words, window)
         one.append(sequence_hashes(words, window)[at])
-        two.append(sequence_hashes(words, window, seed=1)[at])
+        two.append(sequence_hashes(words, window, seed=1)[at] >> np.uint64(32))
     return np.concatenate(one), np.concatenate(two)
 
 
@@ -63,13 +63,16 @@ def _slice_bounds(prints: np.ndarray, sizes: Layout) -> np.ndarray:
 def _to_slices(block: int, left: pa.Table, answers: pa.Table, sizes: Layout, window: int) -> pa.Table:
     prints, counts, _, _ = _suspects(*_windows(_texts(left), window), answers, sizes)
     cuts = _slice_bounds(prints, sizes)
-    rows = [(s, block, prints[lo:hi].tobytes(), np.packbits(counts[lo:hi] > 1).tobytes()) for s, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
+    rows = [(s, block, prints[lo:hi, 0].tobytes() + prints[lo:hi, 1].astype("<u4").tobytes(), np.packbits(counts[lo:hi] > 1).tobytes()) for s, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
     return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4, schema=_EXACT)
 
 
 def _grouped(key: tuple, table: pa.Table) -> pa.Table:
     """One slice of fingerprints of all blocks: for each block a bit per fingerprint, set if it occurs again anywhere."""
-    parts = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table.column("prints").to_pylist()]
+    parts = []
+    for data in table.column("prints").to_pylist():
+        n = len(data) // 12
+        parts.append(np.stack([np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n).astype(np.uint64)], 1))
     twice = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(p)].astype(bool) for x, p in zip(table.column("twice").to_pylist(), parts, strict=True)]
     every = np.concatenate(parts)
     order = np.lexsort((every[:, 1], every[:, 0]))
@@ -126,15 +129,13 @@ def remove_repeated_passages(docs: DataFrame, text_col: str = "text", window: in
     * An empty table gives an empty table. Input columns of the names of the results are replaced.
     """
     sizes = layout(docs, text_col)
-    text = text_key(docs, text_col)
-    blocked = in_blocks(packed(docs, _text=text), [F.col("_row"), F.col("_text")] if _hashable(docs) else [F.col("_text")], sizes).repartition("_block")
-    narrow = blocked.select("_block", "_text")
-    answers = sketch_answers(narrow, lambda table: _windows(_texts(table), window)[0], sizes)
-    exact = narrow.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(lambda key, left, right: _to_slices(key[0].as_py(), left, right, sizes, window), ddl(_EXACT))
+    blocked = in_blocks(packed(docs, text_col), [F.col("_row"), F.col("_text")] if _hashable(docs) else [F.col("_text")], sizes).repartition("_block")
+    answers = sketch_answers(blocked, lambda table: _windows(_texts(table), window)[0], sizes, with_levels=False)
+    exact = blocked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(lambda key, left, right: _to_slices(key[0].as_py(), left, right, sizes, window), ddl(_EXACT))
     repeats = exact.groupBy("_slice").applyInArrow(_grouped, ddl(_REPEATS))
-    result = T.StructType([row_type(docs), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType())))])
+    result = T.StructType([row_field(docs, text_col), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType())))])
     cut = blocked.groupBy("_block").cogroup(answers.unionByName(repeats).groupBy("_block")).applyInArrow(lambda left, right: _cut(left, right, sizes, window), result)
-    return unpacked(cut, docs, **{text_col: F.col("kept"), "n_words": F.col("n_words"), "n_removed": F.col("n_removed"), "removed": F.col("removed")})
+    return unpacked(cut, docs, text_col, F.col("kept"), n_words=F.col("n_words"), n_removed=F.col("n_removed"), removed=F.col("removed"))
 
 
 def _hashable(docs: DataFrame) -> bool:
