@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ladderworks.llm.decontaminate import decontaminate
 from ladderworks.llm.substring_dedup import remove_repeated_passages
 
 _SPACES = "[\\x20\\x09-\\x0D]+"
@@ -16,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), _SPACES), lambda w: w != ""), " ")
@@ -23,7 +30,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_substring_dedup": op10_substring_dedup}
+    return {"op9_fm_decontaminate": op9_fm_decontaminate, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
