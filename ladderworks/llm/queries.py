@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ladderworks.llm.bpe_automaton import encode_texts
 from ladderworks.llm.decontaminate import decontaminate
+from ladderworks.llm.license_scan import scan_licenses
 from ladderworks.llm.substring_dedup import remove_repeated_passages
+from ladderworks.llm.token_counts import count_tokens
 
+#: Folder of the public tokenizers' files, the same on the driver and the executors' images.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -17,6 +23,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.col(f"{c}.label") for c in cols]))), ",")
+    share = F.coalesce(F.array_max(F.concat("phrases.share", "spans.share")), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min("phrases.first").alias("first_word"),
+        F.array_max("phrases.first").alias("last_word"),
+        names("phrases").alias("base_labels"),
+        names("phrases", "spans").alias("labels"),
+        share.alias("score"),
+    )
+
+
 def op9_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256)
@@ -30,7 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_fm_decontaminate": op9_fm_decontaminate, "op10_substring_dedup": op10_substring_dedup}
+    return {"op3_token_counts": op3_token_counts, "op7_bpe_automaton": op7_bpe_automaton, "op8_license_scan": op8_license_scan, "op9_fm_decontaminate": op9_fm_decontaminate, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
