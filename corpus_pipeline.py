@@ -3,16 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ladderworks.llm.bpe_automaton import encode_texts
+from ladderworks.llm.decontaminate import decontaminate
+from ladderworks.llm.ngram_join import near_duplicates
+from ladderworks.llm.quality_rules import measure
+from ladderworks.llm.queries import TOKENIZERS
 from ladderworks.llm.substring_dedup import remove_repeated_passages
 
 
+def _cut(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of the documents, with the length of the text as it is now."""
+    return changed.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the table of thresholds; the others go."""
+    return measure(docs).where("kept").select(docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id. Rows without an id have no group and stay."""
+    first = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id")
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 35 words or more that repeat; every document stays, with what is left of its text."""
-    return remove_repeated_passages(docs).select(docs.columns)
+    return _cut(remove_repeated_passages(docs), docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the spans of benchmark windows; every document stays, with what is left of its text."""
+    return _cut(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True), docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text (little-endian unsigned 32-bit integers) and their number."""
+    return encode_texts(docs.select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json").select("doc_id", "n_tokens", "ids")
 
 
-STAGES = [("substring_dedup", passages)]
+STAGES = [("quality_rules", quality), ("ngram_join", near), ("substring_dedup", passages), ("decontaminate", benchmark), ("bpe_automaton", tokens)]
+#: Byte-pair encoding can't be said in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,7 @@ def row_field(docs: DataFrame, text_col: str) -> T.StructField:
     return T.StructField("_row", T.StructType(rest), True)
 
 
-def unpacked(frame: DataFrame, docs: DataFrame, text_col: str, text: Column | None, **columns: Column) -> DataFrame:
+def unpacked(frame: DataFrame, docs: DataFrame, text_col: str, text: Column | None, /, **columns: Column) -> DataFrame:
     """The input's columns in their order with the text (left out if None), then the named ones; a named column replaces an input column of its name."""
     kept = []
     for c in docs.columns:
@@ -27,3 +29,11 @@ def unpacked(frame: DataFrame, docs: DataFrame, text_col: str, text: Column | No
         elif c not in columns:
             kept.append(F.col(f"_row.`{c}`").alias(c))
     return frame.select(*kept, *[c.alias(n) for n, c in columns.items() if text is None or n != text_col])
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the shared folder of ``spark.checkpoint.dir``; a folder of its own is set only where there is none."""
+    spark = frame.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return frame.checkpoint()
