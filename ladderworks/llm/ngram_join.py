@@ -3,7 +3,8 @@
 1. Documents of the same text are one node. A count-min sketch of the nodes' shingles gives every shingle a level; level
    and hash are the global order, rare ones first. A shingle of level 1 stands in one node for certain.
 2. Two sets of that similarity share a shingle among the first ones of either set, so nodes whose first shingles stand
-   nowhere else have no links. The others keep their shared shingles in the global order.
+   nowhere else have no links. The others keep their shared shingles in the global order. A pair is a candidate where
+   enough of both sets is left from a shared shingle on.
 3. The order is cut at quantiles into fragments. Overlaps of candidate pairs are counted in every fragment by itself
    and summed per pair.
 4. Candidates don't multiply within a group: the nodes of a posting list first meet one hub, then hubs that differ by
@@ -87,8 +88,11 @@ def _screened(left: pa.Table, right: pa.Table, sizes: Layout, words_each: int, p
     return pa.table([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(shared, pa.list_(pa.int64()))], schema=_SETS)
 
 
-def _similar_size(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _can_link(percent: int) -> Column:
+    """Whether enough of both sets is left from the shared shingle on (places pa and pb in the global order) for the overlap
+    that sets of these sizes need. Of a linking pair, the first shared shingle always passes."""
+    need = F.floor((percent * (F.col("na") + F.col("nb")) + 99 + percent) / F.lit(100 + percent))
+    return (F.col("pa") <= F.col("na") - need + 1) & (F.col("pb") <= F.col("nb") - need + 1)
 
 
 def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -102,10 +106,10 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 
 def _paired(left: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (u < v) of rows that have both nodes and sizes as a, na, b, nb."""
+    """Distinct pairs (u < v) of rows that have both nodes, sizes and places as a, na, pa, b, nb, pb."""
     swap = F.col("a") > F.col("b")
     either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    rows = left.where((F.col("a") != F.col("b")) & _similar_size(F.col("na"), F.col("nb"), percent))
+    rows = left.where((F.col("a") != F.col("b")) & _can_link(percent))
     return rows.select(either("a", "b").alias("u"), either("b", "a").alias("v"), either("na", "nb").alias("nu"), either("nb", "na").alias("nv")).distinct()
 
 
@@ -128,24 +132,27 @@ def _all_links(sets: DataFrame, percent: int) -> DataFrame:
         return F.struct(F.lit(k).alias("fragment"), F.filter("shared", lambda x: (x > marks[k]) & (x <= marks[k + 1])).alias("segment"))
 
     segments = sets.select("id", F.inline(F.array(*map(cut, range(FRAGMENTS))))).where(F.size("segment") > 0)
-    n = F.col("n")
-    first = n - F.ceil(percent * n / 100) + 1 - (n - F.size("shared"))
-    postings = kept(sets.select("id", "n", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("shingle")))
+    n, unique = F.col("n"), F.col("n") - F.size("shared")
+    first = F.greatest(n - F.ceil(percent * n / 100) + 1 - unique, F.lit(0)).cast("int")
+    postings = sets.select("id", "n", unique.alias("unique"), F.posexplode(F.slice("shared", F.lit(1), first)).alias("place", "shingle"))
+    postings = kept(postings.withColumn("place", F.col("place") + F.col("unique") + 1))
 
     def met(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-        return rows.select("shingle", F.col("id").alias("a"), F.col("n").alias("na")).join(hubs, "shingle")
+        return rows.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa")).join(hubs, "shingle")
 
-    hub = lambda order: F.min_by(F.struct(F.col("id").alias("b"), F.col("n").alias("nb")), order)
-    hubs = postings.groupBy("shingle").agg(hub("id").alias("hub"), F.count("*").alias("k")).where("k > 1").select("shingle", "hub.*")
+    member = F.struct(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    hub = lambda order: F.min_by(member, order)
+    # The first hub is the node with the fewest shingles of its own: the one that copies were made from, if it is there.
+    hubs = postings.groupBy("shingle").agg(hub(F.struct("unique", "id")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("shingle", "hub.*")
     links = kept(_links(_paired(met(postings, hubs), percent), segments, percent))
     held, minor = _across(postings, components(links))
     order = F.xxhash64("shingle", "id")
     some = [rows.groupBy("shingle").agg(hub(order).alias("hub")).select("shingle", "hub.*") for rows in (held.where("component = major"), minor)]
     links = links.unionByName(kept(_links(_paired(met(minor, some[0].unionByName(some[1])), percent), segments, percent)))
     held, minor = _across(postings, components(links))
-    other = held.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("other"))
-    rest = minor.select("shingle", "major", "component", F.col("id").alias("a"), F.col("n").alias("na")).join(other, "shingle")
-    rest = rest.where((F.col("component") != F.col("other")) & ((F.col("other") == F.col("major")) | (F.col("a") < F.col("b"))) & _similar_size(F.col("na"), F.col("nb"), percent))
+    other = held.select("shingle", member.alias("m"), F.col("component").alias("other")).select("shingle", "m.*", "other")
+    rest = minor.select("shingle", "major", "component", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa")).join(other, "shingle")
+    rest = rest.where((F.col("component") != F.col("other")) & ((F.col("other") == F.col("major")) | (F.col("a") < F.col("b"))))
     return links.unionByName(_links(_paired(rest, percent), segments, percent))
 
 
