@@ -11,8 +11,8 @@ say by tag, role or class what they are (menus, footers, adverts, forms, comment
 an article or main element is the page's text where there is one. Plain paragraphs and headings within an article
 aren't removed for what other pages hold, so copied articles stay.
 
-Statistics are counts by host and node and need no task that sees a whole host. Pages meet the low nodes of their
-host in a join on the host, whose large keys Spark can split.
+Statistics are counts by host and node and need no task that sees a whole host. The low nodes of all hosts are broadcast
+up to a size that is checked; beyond it, pages and low nodes join on the host and a salt, so no host falls to one task.
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladderworks.llm.frames import packed, row_field, unpacked
+from ladderworks.llm.frames import kept, packed, row_field, unpacked
 
 MIN_PAGES = 10
 LOW = 0.2
+BROADCAST_BYTES = 32 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -221,7 +222,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"_row": batch.column("_row"), "text": pa.array(texts, pa.string())})
 
 
-def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = MIN_PAGES, low: float = LOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The pages without their html, and ``text``.
 
     A style node is removed where at least ``min_pages`` pages of the host have it and its importance is below ``low``.
@@ -232,6 +233,15 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "
     * Input columns of the names of the results are replaced.
     """
     weak = style_tree(pages, html_col, url_col).where((F.col("pages") >= min_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("path").alias("low"))
-    joined = packed(pages, html_col, host=_host(url_col)).join(weak, "host", "left").select("_row", "_text", "low")
+    weak = kept(weak)
+    own = packed(pages, html_col, host=_host(url_col))
+    size = weak.agg(F.sum(F.octet_length(F.array_join("low", " ")) + F.octet_length("host") + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        joined = own.join(F.broadcast(weak), "host", "left")
+    else:
+        salts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = weak.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = own.withColumn("salt", F.pmod(F.xxhash64("_text"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select("_row", "_text", "low")
     found = joined.mapInArrow(_extract, T.StructType([row_field(pages, html_col), T.StructField("text", T.StringType())]))
     return unpacked(found, pages, html_col, None, text=F.col("text"))

@@ -200,6 +200,7 @@ def test_main_text(spark):
     assert main_text(html) == "T & U\na b c\none\ntwo\ntail"
     page = lambda i: f'<body><div class="top-line">Welcome to the site</div><div class="story">Story number {i} is here</div></body>'
     rows = [(i, f"http://h.org/{i}", page(i)) for i in range(20)] + [(50, None, None), (51, "x", ""), (52, "http://other.org/", page(1))]
-    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert all(got[i] == f"Story number {i} is here" for i in range(20)) and got[50] == got[51] == ""
-    assert got[52] == "Welcome to the site\nStory number 1 is here"
+    for most in (1 << 20, 0):  # low nodes are broadcast, or joined by salt
+        got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), broadcast_bytes=most).collect()}
+        assert all(got[i] == f"Story number {i} is here" for i in range(20)) and got[50] == got[51] == ""
+        assert got[52] == "Welcome to the site\nStory number 1 is here"
