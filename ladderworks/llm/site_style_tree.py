@@ -6,8 +6,10 @@ pages of the host that have it, a node has
 * a content importance: the entropy of its own text blocks, 0 for text that is the same on every page, 1 for text that never is;
 * a presentation importance: the entropy of the sequences of child tags under it.
 
-A node's importance is the greater of both. Branches of nodes of low importance are removed from each page. Nodes that
-say by tag, role or class what they are (menus, footers, adverts, forms, comments) have no importance. Of what is left,
+A node's own importance is the greater of both, and a branch is as important as the most important node in it: it goes
+as a whole only where every node of it is low. So a page is cut bottom-up: a low node loses the text that it holds itself, and
+the nodes under it are judged by their own importance. A wrapper that is the same on every page costs its articles nothing.
+Nodes that say by tag, role or class what they are (menus, footers, adverts, forms, comments) have no importance. Of what is left,
 an article or main element is the page's text where there is one. Plain paragraphs and headings within an article
 aren't removed for what other pages hold, so copied articles stay.
 
@@ -95,7 +97,7 @@ def blocks(html: str, low: frozenset[str] = frozenset()) -> tuple[list[Block], l
     def flush() -> None:
         text = _WHITE.sub(" ", unescape("".join(pending))).strip()
         pending.clear()
-        if text and not holder.dropped:
+        if text and not (holder.dropped or holder.low):
             out.append(Block(holder, text, len(out)))
 
     def close(upto: int) -> None:
@@ -148,7 +150,7 @@ def blocks(html: str, low: frozenset[str] = frozenset()) -> tuple[list[Block], l
         style = tag + "".join(f".{c}" for c in sorted(facts.get("class", "").split())) + (f"#{facts['id']}" if facts.get("id") else "")
         path = f"{parent.path}/{style}"
         no_content = tag in NO_CONTENT or facts.get("role", "").lower() in ROLES or "hidden" in facts or facts.get("aria-hidden") == "true" or (tag == "header" and not parent.within) or (tag not in ("html", "body", "article", "main") and label != " " and bool(_NAMED.search(label)))
-        node = Node(tag, path, no_content, parent.dropped or no_content or path in low, parent.within or tag in ("article", "main"), parent.plain and not label.strip() and tag in CONTENT if parent.within else tag in ("article", "main"), path in low)
+        node = Node(tag, path, no_content, parent.dropped or no_content, parent.within or tag in ("article", "main"), parent.plain and not label.strip() and tag in CONTENT if parent.within else tag in ("article", "main"), path in low)
         parent.children.append(style)
         if tag not in INLINE:
             flush()
@@ -225,7 +227,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = MIN_PAGES, low: float = LOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The pages without their html, and ``text``.
 
-    A style node is removed where at least ``min_pages`` pages of the host have it and its importance is below ``low``.
+    A style node's own text is removed where at least ``min_pages`` pages of the host have it and its importance is below ``low``.
 
     * A null or empty html has an empty text; pages without a URL or host count as one host.
     * White space within a block is one space, blocks are joined by a new line; nothing else is changed or cut.

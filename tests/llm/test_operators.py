@@ -204,3 +204,16 @@ def test_main_text(spark):
         got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), broadcast_bytes=most).collect()}
         assert all(got[i] == f"Story number {i} is here" for i in range(20)) and got[50] == got[51] == ""
         assert got[52] == "Welcome to the site\nStory number 1 is here"
+
+
+def test_main_text_in_wrappers_that_are_the_same_on_every_page(spark):
+    menu = '<div class="links"><ul class="list"><li>Home<li>About us</ul></div>'
+    shapes = {
+        "a": lambda i: f'<div id="page"><div class="wrap"><article><h1>Title {i}</h1><p>Body of {i}</p></article></div></div>',
+        "b": lambda i: f'<div class="story"><p>Title {i}</p><div class="text"><p>Body of {i}</p></div></div>',
+        "c": lambda i: f'<div class="story">By our desk<p>Title {i}</p><p>Body of {i}</p></div>',
+    }
+    rows = [(1000 * k + i, f"http://{h}.org/{i}", f"<html><body>{menu}{page(i)}</body></html>") for k, (h, page) in enumerate(shapes.items()) for i in range(25)]
+    for most in (1 << 20, 0):
+        got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), broadcast_bytes=most).collect()}
+        assert got == {p: f"Title {p % 1000}\nBody of {p % 1000}" for p, _, _ in rows}
