@@ -152,7 +152,7 @@ class Phrases:
     items: list[list[str]]
 
     @classmethod
-    def of(cls, items: list[tuple[str, str | None]], window: int) -> Phrases:
+    def of(cls, items: list[tuple[str | None, str | None]], window: int) -> Phrases:
         words = split_words([None if t is None else t.encode() for _, t in items], ALNUM, lower=True)
         vocabulary, symbol = np.unique(words.hashes, return_inverse=True)
         found: dict[tuple[int, ...], set[str]] = defaultdict(set)
@@ -160,7 +160,7 @@ class Phrases:
             own = (symbol[words.first[i] : words.first[i + 1]] + 2).tolist()
             size = min(window, len(own))
             for at in range(len(own) - size + 1) if size else ():
-                found[tuple(own[at : at + size])].add(item)
+                found[tuple(own[at : at + size])].update(() if item is None else (item,))
         patterns = np.ones((len(found), window), np.int64)
         lengths = np.fromiter((len(p) for p in found), np.int64, len(found))
         lengths_of = np.zeros(len(vocabulary) + 2, np.int64)
@@ -201,9 +201,9 @@ class Phrases:
         return which, origin[position]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 16)).first()[0] or 0
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + 16)).first()[0] or 0
     n = max(1, math.ceil(2 * total / block_bytes))
     for b in range(n):
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
@@ -213,11 +213,13 @@ _compiled: dict[tuple[int, int], Phrases] = {}
 
 
 def _phrases(held, window: int) -> Phrases:
-    """Compiled once in a worker; one block at a time is kept."""
+    """Compiled once in a worker; one block at a time is kept, and its rows go once it is compiled."""
     key = (held._jbroadcast.id() if getattr(held, "_jbroadcast", None) else id(held.value), window)
     if key not in _compiled:
         _compiled.clear()
         _compiled[key] = Phrases.of(held.value, window)
+        if getattr(held, "_path", None):
+            vars(held).pop("_value", None)
     return _compiled[key]
 
 
@@ -253,7 +255,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     A window is ``window`` consecutive words of an item; an item of fewer words is one window. Words are runs of ASCII
     letters, ASCII digits and characters beyond ASCII; A-Z count as a-z.
 
-    * A null or empty text has no words and no hits. An item without words, without text or without id has no windows.
+    * A null or empty text has no words and no hits. An item without words or text has no windows; the
+      windows of an item without an id hit as others do, but ``items`` has no id for them.
     * Repeated items and windows shared by items count for each item; repeated rows each get the same result.
     * Empty tables give no hits or no rows. Input columns of the names of the results are replaced.
     """

@@ -217,3 +217,14 @@ def test_main_text_in_wrappers_that_are_the_same_on_every_page(spark):
     for most in (1 << 20, 0):
         got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), broadcast_bytes=most).collect()}
         assert got == {p: f"Title {p % 1000}\nBody of {p % 1000}" for p, _, _ in rows}
+
+
+def test_benchmark_items_without_an_id_hit(spark, docs):
+    words = brute.ALNUM.findall(brute.lower(dict(corpus())[0]))
+    bench = [("b1", " ".join(words[:12])), (None, " ".join(words[20:40])), (None, "cc by"), ("b2", "cc by")]
+    items = spark.createDataFrame(bench, "item_id string, text string")
+    want = brute.leaks(corpus(), [(i or "", t) for i, t in bench])
+    for blocks in (1 << 24, 64):
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate(docs, items, block_bytes=blocks).collect()}
+        assert got == {d: (n, hit, [i for i in ids if i]) for d, (n, hit, ids) in want.items()}
+    assert any(hit and not any(ids) for _, hit, ids in want.values()) or got[0][1] > 12
