@@ -123,6 +123,7 @@ class Scanner:
         self.sequences = [[ids[w] for w in s] for s in sequences]
         self.automaton = SuffixAutomaton(self.sequences)
         self.phrases_at = self._phrases_at()
+        self.shortest = min([MIN_MATCH, *(len(s) for s in self.sequences[: self.n_phrases] if s)])
 
     def _phrases_at(self) -> dict[int, list[tuple[int, int]]]:
         """Per state, the phrases (index, words) that end there: their own states are on the state's link path."""
@@ -182,7 +183,7 @@ class Scanner:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], known[a:b].astype(np.int8), [0]])))
             places, matches = [], []
             for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                if e - s > 1:
+                if e - s >= self.shortest:
                     p, m = self.scan(at[a + s : a + e].tolist(), s)
                     places += p
                     matches += m

@@ -228,3 +228,9 @@ def test_benchmark_items_without_an_id_hit(spark, docs):
         got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate(docs, items, block_bytes=blocks).collect()}
         assert got == {d: (n, hit, [i for i in ids if i]) for d, (n, hit, ids) in want.items()}
     assert any(hit and not any(ids) for _, hit, ids in want.values()) or got[0][1] > 12
+
+
+def test_licence_phrase_of_one_word(spark):
+    rows = spark.createDataFrame([(1, "under the Unlicense, and again: unlicense"), (2, "unlicense"), (3, "cc by unlicense cc")], "doc_id bigint, text string")
+    got = {r.doc_id: sorted(p["first"] for p in r.phrases) for r in scan_licenses(rows, phrases={"unlicense": "unlicense", "...": "none"}).collect()}
+    assert got == {1: [2, 5], 2: [0], 3: [2]}
