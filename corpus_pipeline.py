@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ladderworks.llm.bpe_automaton import encode_texts
 from ladderworks.llm.decontaminate import decontaminate
+from ladderworks.llm.frames import kept
 from ladderworks.llm.ngram_join import near_duplicates
-from ladderworks.llm.quality_rules import measure
+from ladderworks.llm.quality_rules import CLEAN_RULES, measure
 from ladderworks.llm.queries import TOKENIZERS
 from ladderworks.llm.substring_dedup import remove_repeated_passages
 
@@ -19,8 +20,14 @@ def _cut(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the table of thresholds; the others go."""
-    return measure(docs).where("kept").select(docs.columns)
+    """Documents that pass the base rules and the table of thresholds; the others go.
+
+    The verdicts are kept before rows are filtered by them: planned together, the filter repeats the metrics' expressions
+    within each other.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = kept(measure(docs, rules=CLEAN_RULES).select(F.when(F.col("kept"), row).alias("row")))
+    return judged.where("row IS NOT NULL").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

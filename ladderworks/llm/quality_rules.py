@@ -57,6 +57,8 @@ RULES = (
     Rule("shouted", high=0),
     Rule("giant_word", high=0),
 )
+#: The same, but one short line said twice in a text of few lines is no fault: the share of the characters counts too.
+CLEAN_RULES = tuple(Rule("dup_line_share", high=r.high) if r.metric == "dup_line_ratio" else r for r in RULES)
 MIN_WORDS = 50
 MAX_REPEATED = 50
 
@@ -64,12 +66,14 @@ MAX_REPEATED = 50
 def _metrics() -> dict[str, Column]:
     text, lines = F.col("_text"), F.col("_lines")
     n, n_lines = F.nullif(F.col("n_words"), F.lit(0)), F.nullif(F.size(lines), F.lit(0))
+    chars = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, line: a + F.length(line))
     of_lines = lambda test: F.size(F.filter(lines, test)) / n_lines
     return {
         "mean_word_chars": F.col("word_chars") / n,
         "symbol_ratio": F.col("n_symbols") / n,
         "distinct_stop_words": F.size(F.array_intersect("_words", F.array(*map(F.lit, STOP_WORDS)))),
         "dup_line_ratio": F.col("n_dup_lines") / n_lines,
+        "dup_line_share": F.least(F.col("n_dup_lines") / n_lines, 1 - chars(F.array_distinct(lines)) / F.nullif(chars(lines), F.lit(0))),
         "ellipsis_line_ratio": of_lines(lambda x: F.endswith(x, F.lit("...")) | F.endswith(x, F.lit("…"))),
         "bullet_line_ratio": of_lines(lambda x: F.ltrim(x).substr(1, 1).isin("•", "-", "*", "‣")),
         "shouted": (text == F.upper(text)) & (text != F.lower(text)),

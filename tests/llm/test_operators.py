@@ -219,6 +219,17 @@ def test_main_text_in_wrappers_that_are_the_same_on_every_page(spark):
         assert got == {p: f"Title {p % 1000}\nBody of {p % 1000}" for p, _, _ in rows}
 
 
+def test_a_short_line_said_twice_rejects_no_document(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"the {w}{k} and" for w in "abcdefghijklmnopqrstuvwxyz")
+    again = "\n".join([text(0)] + [f"of {w} a long line to be said with the {w} twice over" for w in ("one", "one")])
+    most = "\n".join(["the short one is first"] + 2 * [text(1)])
+    rows = spark.createDataFrame([(1, "again\n" + text(1) + "\nagain"), (2, again), (3, most), (4, text(2))], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.quality(spark, rows, "").collect()) == [1, 2, 4]
+    assert {r.doc_id for r in measure(rows).collect() if "dup_line_ratio" in r.failed_rules} == {1, 2, 3}  # as op1's SQL says
+
+
 def test_benchmark_items_without_an_id_hit(spark, docs):
     words = brute.ALNUM.findall(brute.lower(dict(corpus())[0]))
     bench = [("b1", " ".join(words[:12])), (None, " ".join(words[20:40])), (None, "cc by"), ("b2", "cc by")]
