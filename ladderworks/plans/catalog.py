@@ -25,12 +25,6 @@ def _rounded(frame: DataFrame, places: int = 5) -> DataFrame:
     return frame.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes])
 
 
-def _year_ends(weekly: DataFrame) -> DataFrame:
-    """Rows of the last week of each calendar year of weeks: the snapshots that are asked for."""
-    ends = weekly.groupBy(F.floor(F.col("week") / 100).alias("y")).agg(F.max("week").alias("week")).select("week")
-    return weekly.join(F.broadcast(ends), "week", "left_semi")
-
-
 def src_fixtures(s, d):
     return fixtures(s, d)
 
@@ -182,7 +176,7 @@ def gc_fixtures(s, d):
 
 def _layer(s, d):
     f = fixtures(s, d)
-    return _year_ends(ratings.running_strength(f)).select("week", "pid", "rating", "rd"), connectivity.directed(connectivity.weighted_fixtures(f, clubs(s, d)))
+    return ratings.running_strength(f).select("week", "pid", "rating", "rd"), connectivity.directed(connectivity.weighted_fixtures(f, clubs(s, d)))
 
 
 def gc_adjust(s, d):

@@ -127,3 +127,60 @@ def test_queries_run(spark):
     have, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(have)
     assert e.entry(spark).count() > 0
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def recent(spark):
+    """Fixtures of sf0.001 with weights and communities, as plain rows, and the last day of every week with ratings."""
+    from ladderworks.sources.fixtures import clubs, fixtures
+
+    f = fixtures(spark, SMALL)
+    edges = connectivity.directed(connectivity.weighted_fixtures(f, clubs(spark, SMALL))).collect()
+    weekly = ratings.running_strength(f).collect()
+    return edges, weekly, {w: dt.date.fromisocalendar(w // 100, w % 100, 7) for w in {r.week for r in weekly}}
+
+
+def test_diffusion_covers_every_week(spark):
+    from ladderworks.plans import catalog
+
+    edges, weekly, ends = recent(spark)
+    got = {(r.week, r.pid): (r.seed, r.comparability) for r in catalog.hd_diffusion(spark, SMALL).collect()}
+    want = {}
+    for week, stop in ends.items():
+        weight, heat = {}, {}
+        for e in edges:
+            if stop - dt.timedelta(728) < e.match_date <= stop:
+                weight.setdefault(e.pid, {}).setdefault(e.opponent, 0.0)
+                weight[e.pid][e.opponent] += e.weight
+                heat[e.pid] = heat.get(e.pid, 0.0) + e.weight * (1 if e.cross else 0.12)
+        seed = {p: heat.get(p, 0) / (heat.get(p, 0) + 28) for p in {r.pid for r in weekly if r.week == week} | set(heat)}
+        x = seed
+        for _ in range(6):
+            flow = {p: 0.0 if p in heat else x[p] for p in seed}
+            for p, to in weight.items():
+                for q, w in to.items():
+                    flow[q] += x[p] * w / sum(to.values())
+            x = {p: max(0, min(1, 0.88 * flow[p] + 0.12 * seed[p])) for p in seed}
+        want |= {(week, p): (seed[p], x[p]) for p in seed}
+    assert set(got) == set(want) and len(ends) > 100
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_adjusted_ratings_cover_every_week(spark):
+    from ladderworks.plans import catalog
+
+    edges, weekly, ends = recent(spark)
+    got = {(r.week, r.pid): r for r in catalog.gc_adjust(spark, SMALL).collect()}
+    assert set(got) == {(r.week, r.pid) for r in weekly} and len(ends) > 100
+    for r in weekly:
+        mine = [e for e in edges if e.pid == r.pid and ends[r.week] - dt.timedelta(728) < e.match_date <= ends[r.week]]
+        masses = {}
+        for e in mine:
+            masses[e.other] = masses.get(e.other, 0) + e.weight
+        volume = sum(masses.values())
+        h = -sum(m / volume * math.log(m / volume) for m in masses.values()) / math.log(len(masses)) if len(masses) > 1 else 0.0
+        a = got[r.week, r.pid]
+        assert (a.volume, a.h_norm, a.direct) == pytest.approx((volume, h, 0.05 + 0.95 * h * min(1, volume / (volume + 24))), abs=2e-5)
+        assert a.opponents == len({e.opponent for e in mine}) and a.adjusted <= r.rating + 1e-5
