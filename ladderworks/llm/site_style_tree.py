@@ -47,7 +47,12 @@ CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table
 NO_CONTENT = frozenset("head nav footer aside form script style noscript template iframe object svg math button select option textarea input dialog menu title canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _MARKS = "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header hidden login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe teaser toc toolbar widget".split()
-_NAMED = re.compile(r"(?:^|[\s_-])(?:" + "|".join(_MARKS) + r")(?:$|[\s_-]|\d)", re.IGNORECASE)
+_COMMENTS = "comment comments disqus replies respond".split()
+_MARK = r"(?:(?:%s)[-_]?\d*)(?:[-_](?:%s)[-_]?\d*)*"
+#: Class tokens and ids that consist of such words alone, with numbers.
+_NAMED, _COMMENT = (re.compile(_MARK % (("|".join(w),) * 2), re.IGNORECASE) for w in (_MARKS, _COMMENTS))
+#: Elements that are text, whatever they are called, where an article holds them.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: What closes an open paragraph, and elements that close others of their kind.
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": set(), "tbody": {"thead", "tbody", "tr", "td", "th"}}
@@ -60,11 +65,12 @@ class Node:
 
     tag: str
     path: str
-    named: bool
+    cut: bool
     dropped: bool
     within: bool
     plain: bool
     low: bool
+    framed: bool
     children: list[str] = field(default_factory=list)
 
 
@@ -88,7 +94,7 @@ def _raw_end(html: str, tag: str, at: int) -> int:
 
 def blocks(html: str, low: frozenset[str] = frozenset()) -> tuple[list[Block], list[Node]]:
     """The page's text blocks in order, and its nodes. Tags that are never closed end with their parent."""
-    stack = [Node("", "", False, False, False, True, False)]
+    stack = [Node("", "", False, False, False, True, False, False)]
     out: list[Block] = []
     nodes: list[Node] = []
     pending: list[str] = []
@@ -149,8 +155,16 @@ def blocks(html: str, low: frozenset[str] = frozenset()) -> tuple[list[Block], l
         label = facts.get("class", "") + " " + facts.get("id", "")
         style = tag + "".join(f".{c}" for c in sorted(facts.get("class", "").split())) + (f"#{facts['id']}" if facts.get("id") else "")
         path = f"{parent.path}/{style}"
-        no_content = tag in NO_CONTENT or facts.get("role", "").lower() in ROLES or "hidden" in facts or facts.get("aria-hidden") == "true" or (tag == "header" and not parent.within) or (tag not in ("html", "body", "article", "main") and label != " " and bool(_NAMED.search(label)))
-        node = Node(tag, path, no_content, parent.dropped or no_content, parent.within or tag in ("article", "main"), parent.plain and not label.strip() and tag in CONTENT if parent.within else tag in ("article", "main"), path in low)
+        story = tag in ("article", "main")
+        names = facts.get("class", "").split() + facts.get("id", "").split()
+        comment = any(_COMMENT.fullmatch(n) for n in names)
+        no_content = tag in NO_CONTENT or facts.get("role", "").lower() in ROLES or "hidden" in facts or facts.get("aria-hidden") == "true" or (tag == "header" and not parent.within) or (comment and tag not in ("html", "body", "main") and not (parent.within and tag in _TEXT))
+        by_name = tag not in ("html", "body", "article", "main") and not (parent.within and tag in _TEXT) and any(_NAMED.fullmatch(n) for n in names)
+        framed = parent.framed or (by_name and not no_content)
+        cut = parent.cut or no_content
+        within = parent.within or (story and not cut)
+        dropped = cut or (framed and not within) or (by_name and parent.within)
+        node = Node(tag, path, cut or (by_name and parent.within), dropped, within, parent.plain and not label.strip() and tag in CONTENT if parent.within else story, path in low, framed)
         parent.children.append(style)
         if tag not in INLINE:
             flush()
@@ -170,10 +184,22 @@ def blocks(html: str, low: frozenset[str] = frozenset()) -> tuple[list[Block], l
 
 
 def main_text(html: str, low: frozenset[str] = frozenset()) -> str:
-    """Blocks that are left, joined by new lines: those of the article or main elements where there are any."""
+    """Blocks that the tree left, joined by new lines.
+
+    Those of the article and main elements are the text where they hold at least as much of what is left as the rest;
+    else all is. An article within an element that is named as no content counts only if it holds more than the others:
+    then that element is the page's frame.
+    """
     left, _ = blocks(html, low)
-    article = [b for b in left if b.node.within]
-    return "\n".join(b.text for b in (article or left))
+    size = lambda found: sum(len(b.text) for b in found)
+    framed = [b for b in left if b.node.framed]
+    article = [b for b in left if b.node.within and not b.node.framed]
+    if size(framed) <= size(article):
+        left = [b for b in left if not b.node.framed]
+    else:
+        article = [b for b in left if b.node.within]
+    rest = size(left) - size(article)
+    return "\n".join(b.text for b in (article if article and size(article) >= rest else left))
 
 
 def _hash(text: str) -> int:

@@ -245,3 +245,15 @@ def test_licence_phrase_of_one_word(spark):
     rows = spark.createDataFrame([(1, "under the Unlicense, and again: unlicense"), (2, "unlicense"), (3, "cc by unlicense cc")], "doc_id bigint, text string")
     got = {r.doc_id: sorted(p["first"] for p in r.phrases) for r in scan_licenses(rows, phrases={"unlicense": "unlicense", "...": "none"}).collect()}
     assert got == {1: [2, 5], 2: [0], 3: [2]}
+
+
+def test_main_text_goes_by_whole_names():
+    story = "<h1 class='entry-header'>Title</h1><p class='notice'>Body of it</p><section id='related-work'><p>More</p></section>"
+    whole = "Title\nBody of it\nMore"
+    for frame in ("class='layout has-sidebar'", "id='page' class='no-sidebar'", "class='sidebar'", "id='page-header'", "class='menu nav-menu'"):
+        assert main_text(f"<body><div {frame}><article>{story}</article></div></body>") == whole
+    aside = "<div class='sidebar widget-2'><article>Teaser</article>x</div><div id='comments'><article class='comment'>Me too, and a lot to say about it</article></div>"
+    assert main_text(f"<body><article>{story}</article>{aside}<article class='comment' id='comment-7'>I think so</article></body>") == whole
+    cards = "<article class='card'>One</article><article class='card'>Two</article>"
+    assert "The story of the day is long" in main_text(f"<body><div class='text'><p>The story of the day is long</p></div>{cards}</body>")
+    assert main_text("<body><article><p>The text</p><div class='social-share'>Share it</div></article><div class='cookie-banner'>We use them</div></body>") == "The text"
