@@ -198,6 +198,11 @@ def rat_years(s, d):
     return ratings.rate_periods(f, "year")
 
 
+def rat_weeks(s, d):
+    """The engine by its own period, the week: the state of every entity after each."""
+    return ratings.rate_periods(fixtures(s, d), "yyyyww")
+
+
 def rat_field(s, d):
     f = fixtures(s, d)
     return _rounded(ratings.field_strength(f, serving.latest(ratings.running_strength(f)).select("pid", "rating", "rd")), 4)
@@ -216,7 +221,7 @@ _NAMES: dict[str, Query] = {
     "AGG01_country_weeks": agg_country_weeks, "Q01_countries": q_countries, "WIN01_ladder": win_ladder, "WIN04_movement": win_movement, "TOP01_snapshot": top_snapshot, "TOP06_by_country": top_by_country, "Q07_top_series": q_top_series,
     "FLT08_active_clubs": flt_active, "AGG06_pairs": agg_pairs, "J08_asof_ratings": asof_ratings, "J10_snapshot_before": snapshot_before, "AGG14_metrics": ev_metrics, "AGG16_calibration": ev_calibration, "AGG20_spearman": ev_spearman,
     "Q10_biggest_upsets": q_upsets, "Q08_club_matches": q_club_matches, "AGG21_presence": agg_presence, "AGG22_extremes": agg_extremes, "Q18_map_layer": q_map, "TS02_best_split": ts_split, "AGG25_trend": ts_trend,
-    "DED01_keep_first": ded_first, "UPS_merge": ups_merge, "ER06_closure": er_closure, "GC03_weighted_fixtures": gc_fixtures, "GC15_adjusted": gc_adjust, "HD07_diffusion": hd_diffusion, "RAT11_period_sums": rat_sums, "RAT18_yearly_ratings": rat_years,
+    "DED01_keep_first": ded_first, "UPS_merge": ups_merge, "ER06_closure": er_closure, "GC03_weighted_fixtures": gc_fixtures, "GC15_adjusted": gc_adjust, "HD07_diffusion": hd_diffusion, "RAT11_period_sums": rat_sums, "RAT18_yearly_ratings": rat_years, "RAT18_weekly_ratings": rat_weeks,
     "AGG26_field_strength": rat_field, "STM02_weekly_tallies": stm_weeks, "STM04_spells": stm_spells,
 }
 

@@ -184,3 +184,20 @@ def test_adjusted_ratings_cover_every_week(spark):
         a = got[r.week, r.pid]
         assert (a.volume, a.h_norm, a.direct) == pytest.approx((volume, h, 0.05 + 0.95 * h * min(1, volume / (volume + 24))), abs=2e-5)
         assert a.opponents == len({e.opponent for e in mine}) and a.adjusted <= r.rating + 1e-5
+
+
+def test_weekly_ratings_follow_each_other(spark, monkeypatch):
+    from ladderworks.plans import catalog
+    from ladderworks.sources.fixtures import fixtures
+
+    weeks_of = [r[0] for r in fixtures(spark, SMALL).select("yyyyww").distinct().orderBy("yyyyww").limit(4).collect()]
+    few = fixtures(spark, SMALL).where(F.col("yyyyww").isin(weeks_of)).cache()
+    monkeypatch.setattr(catalog, "fixtures", lambda s, d: few)
+    got = {(r.period, r.pid): (r.rating, r.rd) for r in catalog.queries()["RAT18_weekly_ratings"](spark, SMALL).collect()}
+    assert sorted({w for w, _ in got}) == weeks_of
+    state = spark.createDataFrame([], "pid bigint, mu double, phi double, sigma double, absent int")
+    for w in weeks_of:
+        rows = ratings.rate_period(state, few.where(F.col("yyyyww") == w)).collect()
+        assert {p for k, p in got if k == w} == {r.pid for r in rows}
+        assert all(got[w, r.pid] == pytest.approx((1500 + scoring.SCALE * r.mu, scoring.SCALE * r.phi)) for r in rows)
+        state = spark.createDataFrame(rows, state.schema)
