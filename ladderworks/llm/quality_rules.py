@@ -105,6 +105,7 @@ def measure(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
     * Ratios over no words or no lines are null, and null passes: such texts have failed already.
     * Each row is judged alone: repeated rows get the same verdict, an empty table gives an empty table.
     * Input columns of the names of the results are replaced.
+    * Filters on the results are applied after all metrics are known; filters on the input's columns reach the scan.
     """
     at = F.col("_at")
     frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
@@ -124,4 +125,6 @@ def measure(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     results = {n: F.col(n) for n in new} | {"kept": ~F.col("base_failed") & (F.size("failed_rules") == 0), "failed_rules": F.col("failed_rules")}
     results["metrics"] = F.struct(*[F.col(f"_m_{n}").alias(n) for n in _metrics()])
-    return frame.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in results], *[c.alias(n) for n, c in results.items()])
+    # One generated row: a filter on a result would else be planned below the projections, with every metric's expression in it.
+    own = F.inline(F.array(F.struct(*[c.alias(n) for n, c in results.items()])))
+    return frame.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in results], own)
