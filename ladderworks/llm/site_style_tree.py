@@ -1,17 +1,19 @@
 """Main text of web pages with a site style tree.
 
-Pages of one host are merged into a tree of style nodes: a node is a path of tags with their classes and ids. Over all
-pages of the host that have it, a node has
+Pages of one host are merged into a tree of style nodes: a node is a path of tags with their classes and ids (numbers in
+them count as one). Every node of every page is observed, but for code and the plain paragraphs of articles. Over all pages
+of the host that have it, a node has
 
 * a content importance: the entropy of its own text blocks, 0 for text that is the same on every page, 1 for text that never is;
-* a presentation importance: the entropy of the sequences of child tags under it.
+* a presentation importance: the entropy of the sequences of child tags under it;
+* a prior from what it says by tag, role or class that it is, or that what it stands in is: ``NOISE`` for menus, footers,
+  adverts, forms and comments, else 1.
 
-A node's own importance is the greater of both, and a branch is as important as the most important node in it: it goes
-as a whole only where every node of it is low. So a page is cut bottom-up: a low node loses the text that it holds itself, and
-the nodes under it are judged by their own importance. A wrapper that is the same on every page costs its articles nothing.
-Nodes that say by tag, role or class what they are (menus, footers, adverts, forms, comments) have no importance. Of what is left,
-an article or main element is the page's text where there is one. Plain paragraphs and headings within an article
-aren't removed for what other pages hold, so copied articles stay.
+Its importance is the prior times the greater of both entropies; with fewer than ``MIN_PAGES`` pages nothing is known of the
+entropies, and they count as 1. What the tree finds below ``LOW`` is low, and nothing else is removed: a low node loses the
+text that it holds itself, so a branch goes as a whole where every node of it is low, and a wrapper that is the same on every
+page costs its articles nothing. Of what is left, an article or main element is the page's text where there is one. Plain
+paragraphs and headings within an article aren't removed for what other pages hold, so copied articles stay.
 
 Statistics are counts by host and node and need no task that sees a whole host. The low nodes of all hosts are broadcast
 up to a size that is checked; beyond it, pages and low nodes join on the host and a salt, so no host falls to one task.
@@ -20,8 +22,10 @@ up to a size that is checked; beyond it, pages and low nodes join on the host an
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -34,15 +38,20 @@ from ladderworks.llm.frames import kept, packed, row_field, unpacked
 
 MIN_PAGES = 10
 LOW = 0.2
+NOISE = 0.15
 BROADCAST_BYTES = 32 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_OPENS = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
+_TAG_STOP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WHITE = re.compile(r"\s+")
+_DIGITS = re.compile(r"[0-9]+")
 #: Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Elements that hold no text of a page.
+CODE = frozenset("head script style noscript template iframe object svg math button select option textarea input title canvas audio video noembed noframes xmp".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption article main section div".split())
 NO_CONTENT = frozenset("head nav footer aside form script style noscript template iframe object svg math button select option textarea input dialog menu title canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -59,75 +68,171 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _WALLS = frozenset("ul ol dl table article main section div body html nav aside footer header form td th".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
-    """A style node on a page."""
+    """A style node on a page. ``path`` is a hash of the styles from the root on."""
 
     tag: str
-    path: str
+    path: int
+    code: bool
     cut: bool
-    dropped: bool
+    prior: float
     within: bool
     plain: bool
-    low: bool
     framed: bool
+    inline: bool
     children: list[str] = field(default_factory=list)
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    """A text block: its style node, whether the article holds it, and its text."""
+    """A text block: its style node and its text."""
 
     node: Node
     text: str
-    place: int
+
+
+class _Open:
+    """The open elements: the stack, and where in it each tag, the blocks and the walls stand, so that no step searches it."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.by_tag: dict[str, list[int]] = {}
+        self.blocks, self.walls, self.row_walls = [0], [0], [0]
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.by_tag.setdefault(node.tag, []).append(at)
+        if not node.inline:
+            self.blocks.append(at)
+        if node.tag in _WALLS:
+            self.walls.append(at)
+            if node.tag not in ("td", "th"):
+                self.row_walls.append(at)
+
+    def last(self, tag: str) -> int:
+        places = self.by_tag.get(tag)
+        return places[-1] if places else 0
+
+    def cut(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            at = len(self.stack) - 1
+            self.by_tag[self.stack.pop().tag].pop()
+            for places in (self.blocks, self.walls, self.row_walls):
+                if places[-1] == at:
+                    places.pop()
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)}
 
 
-def _raw_end(html: str, tag: str, at: int) -> int:
-    m = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.IGNORECASE).search(html, at)
-    return m.start() if m else len(html)
+@lru_cache(64)
+def _raw_closer(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.IGNORECASE)
+
 
+def tokens(html: str) -> Iterator[tuple[str, str | None, bool, str]]:
+    """(text before, tag or None, whether it closes, attributes) from left to right; every character is passed once or twice.
 
-def blocks(html: str, low: frozenset[str] = frozenset()) -> tuple[list[Block], list[Node]]:
-    """The page's text blocks in order, and its nodes. Tags that are never closed end with their parent."""
-    stack = [Node("", "", False, False, False, True, False, False)]
+    A ``>`` within a quoted value doesn't end a tag. Where quotes don't match up to the end of the page, they count no more.
+    The content of raw elements (scripts and the like) is no text and left out.
+    """
+    at, quotes = 0, True
+    while True:
+        m = _OPENS.search(html, at)
+        if not m:
+            break
+        before, start = html[at : m.start()], m.end()
+        if m[2] is None:
+            end = html.find("-->", m.start() + 4) if m[0] == "<!--" else html.find(">", start)
+            at = len(html) if end < 0 else end + (3 if m[0] == "<!--" else 1)
+            yield before, None, False, ""
+            continue
+        end, look = -1, start
+        while quotes:
+            stop = _TAG_STOP.search(html, look)
+            if not stop:
+                quotes = False
+            elif stop[1] is None:
+                end = stop.start()
+                break
+            else:
+                look = html.find(stop[1], stop.end()) + 1
+                quotes = look > 0
+        if end < 0:
+            end = html.find(">", start)
+        if end < 0:  # no tag ends from here on
+            yield html[at:], None, False, ""
+            return
+        tag, at = m[2].lower(), end + 1
+        yield before, tag, bool(m[1]), html[start:end]
+        if tag in RAW and not m[1] and not (html[end - 1] == "/" and tag in ("svg", "math")):
+            closer = _raw_closer(tag).search(html, at)
+            at = closer.start() if closer else len(html)
+    yield html[at:], None, False, ""
+
+
+def _chained(parent: int, style: str) -> int:
+    return xxhash.xxh64_intdigest(style.encode("utf-8", "surrogatepass"), parent & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def _placed(parent: Node, tag: str, source: str) -> tuple[Node, str]:
+    """The node of a start tag, and its style."""
+    facts = _attributes(source) if source.strip() else {}
+    names = facts.get("class", "").split() + facts.get("id", "").split()
+    style = tag
+    if names:
+        style += "".join(f".{c}" for c in sorted(facts.get("class", "").split())) + (f"#{facts['id']}" if facts.get("id") else "")
+        style = _DIGITS.sub("0", style)
+    comment = any(_COMMENT.fullmatch(n) for n in names)
+    text_of_story = parent.within and tag in _TEXT
+    noise = tag in NO_CONTENT or facts.get("role", "").lower() in ROLES or "hidden" in facts or facts.get("aria-hidden") == "true" or (tag == "header" and not parent.within) or (comment and tag not in ("html", "body", "main") and not text_of_story)
+    by_name = tag not in ("html", "body", "article", "main") and not text_of_story and any(_NAMED.fullmatch(n) for n in names)
+    framed = parent.framed or (by_name and not noise)
+    cut = parent.cut or noise or (by_name and parent.within)
+    story = tag in ("article", "main")
+    within = parent.within or (story and not cut)
+    plain = parent.plain and not names and tag in CONTENT if parent.within else story
+    low_prior = cut or (framed and not within)
+    return Node(tag, _chained(parent.path, style), parent.code or tag in CODE, cut, NOISE if low_prior else 1.0, within, plain and not cut, framed, tag in INLINE), style
+
+
+def blocks(html: str, low: frozenset[int] | None = None) -> tuple[list[Block], list[Node]]:
+    """The page's text blocks in order, without those of low nodes, and its nodes. Without a tree the priors decide.
+
+    Tags that are never closed end with their parent. The work is linear in the length of the page.
+    """
+    root = Node("", 0, False, False, 1.0, False, True, False, False)
+    is_open = _Open(root)
     out: list[Block] = []
     nodes: list[Node] = []
     pending: list[str] = []
-    holder = stack[0]
+    holder = root
 
     def flush() -> None:
-        text = _WHITE.sub(" ", unescape("".join(pending))).strip()
-        pending.clear()
-        if text and not (holder.dropped or holder.low):
-            out.append(Block(holder, text, len(out)))
+        if pending:
+            text = _WHITE.sub(" ", unescape("".join(pending))).strip()
+            pending.clear()
+            if text and not holder.code and not (holder.prior < LOW if low is None else holder.path in low):
+                out.append(Block(holder, text))
 
     def close(upto: int) -> None:
         nonlocal holder
-        if any(n.tag not in INLINE for n in stack[upto:]):
+        if is_open.blocks[-1] >= upto or is_open.stack[upto] is holder:
             flush()
-        del stack[upto:]
-        holder = next(n for n in reversed(stack) if n.tag not in INLINE)
+        is_open.cut(upto)
+        holder = is_open.stack[is_open.blocks[-1]]
 
-    at = 0
-    while at < len(html):
-        m = _TOKEN.search(html, at)
-        pending.append(html[at : m.start() if m else len(html)])
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+    for before, tag, closes, source in tokens(html):
+        if before:
+            pending.append(before)
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "br" or tag in VOID:
-                continue
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k and not (tag in INLINE and any(n.tag not in INLINE for n in stack[k:])):
+        if closes:
+            k = 0 if tag in VOID else is_open.last(tag)
+            if k and not (tag in INLINE and is_open.blocks[-1] > k):
                 close(k)
             continue
         if tag == "br":
@@ -137,53 +242,33 @@ def blocks(html: str, low: frozenset[str] = frozenset()) -> tuple[list[Block], l
             flush()
         if tag in VOID:
             continue
-        if tag in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in _WALLS:
-                    break
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in _SIBLINGS.get(tag, ()):
+        if tag in _CLOSES_P and is_open.last("p") > is_open.walls[-1]:
+            close(is_open.last("p"))
+        siblings = _SIBLINGS.get(tag)
+        if siblings:
+            k = max(map(is_open.last, siblings))
+            if k > 0 and k >= is_open.row_walls[-1]:
                 close(k)
-                break
-            if stack[k].tag in _WALLS and stack[k].tag not in ("td", "th"):
-                break
-        parent = stack[-1]
-        facts = _attributes(m[3]) if m[3].strip() else {}
-        label = facts.get("class", "") + " " + facts.get("id", "")
-        style = tag + "".join(f".{c}" for c in sorted(facts.get("class", "").split())) + (f"#{facts['id']}" if facts.get("id") else "")
-        path = f"{parent.path}/{style}"
-        story = tag in ("article", "main")
-        names = facts.get("class", "").split() + facts.get("id", "").split()
-        comment = any(_COMMENT.fullmatch(n) for n in names)
-        no_content = tag in NO_CONTENT or facts.get("role", "").lower() in ROLES or "hidden" in facts or facts.get("aria-hidden") == "true" or (tag == "header" and not parent.within) or (comment and tag not in ("html", "body", "main") and not (parent.within and tag in _TEXT))
-        by_name = tag not in ("html", "body", "article", "main") and not (parent.within and tag in _TEXT) and any(_NAMED.fullmatch(n) for n in names)
-        framed = parent.framed or (by_name and not no_content)
-        cut = parent.cut or no_content
-        within = parent.within or (story and not cut)
-        dropped = cut or (framed and not within) or (by_name and parent.within)
-        node = Node(tag, path, cut or (by_name and parent.within), dropped, within, parent.plain and not label.strip() and tag in CONTENT if parent.within else story, path in low, framed)
+        parent = is_open.stack[-1]
+        node, style = _placed(parent, tag, source)
         parent.children.append(style)
-        if tag not in INLINE:
+        if not node.inline:
             flush()
             nodes.append(node)
-        if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
+        if source.rstrip().endswith("/") and tag in ("svg", "math"):
             continue
-        stack.append(node)
-        if tag not in INLINE:
+        is_open.push(node)
+        if not node.inline:
             holder = node
-        elif node.dropped and not parent.dropped:
+        elif node.prior < parent.prior or (node.code and not parent.code):
             flush()
             holder = node
-        if tag in RAW:
-            at = _raw_end(html, tag, at)
+            nodes.append(node)
     flush()
     return out, nodes
 
 
-def main_text(html: str, low: frozenset[str] = frozenset()) -> str:
+def main_text(html: str, low: frozenset[int] | None = None) -> str:
     """Blocks that the tree left, joined by new lines.
 
     Those of the article and main elements are the text where they hold at least as much of what is left as the rest;
@@ -206,38 +291,47 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def page_facts(html: str) -> list[tuple[int, float, int, int]]:
+    """Per style node of a page: path, prior, hash of its own text blocks, hash of the child tags under it."""
+    found, nodes = blocks(html, frozenset())
+    content: dict[int, list[str]] = {}
+    for b in found:
+        content.setdefault(b.node.path, []).append(b.text)
+    seen: dict[int, tuple[float, list[str]]] = {}
+    for n in nodes:
+        if not (n.code or n.plain or n.tag in ("html", "body")):
+            seen.setdefault(n.path, (n.prior, []))[1].extend(n.children)
+    return [(path, prior, _hash("\n".join(content.get(path, ()))), _hash(" ".join(children))) for path, (prior, children) in seen.items()]
+
+
+_OBSERVED = pa.schema([("host", pa.string()), ("path", pa.int64()), ("prior", pa.float64()), ("kind", pa.int32()), ("value", pa.int64()), ("c", pa.int64())])
+
+
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and style node that could be removed: hashes of its content and of its presentation."""
+    """Hashes of the content (kind 0) and presentation (kind 1) of style nodes, counted by batch."""
     for batch in batches:
-        rows = []
+        counts: Counter = Counter()
         for host, html in zip(batch.column("host").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-            found, nodes = blocks(html or "")
-            content: dict[str, list[str]] = {}
-            for b in found:
-                content.setdefault(b.node.path, []).append(b.text)
-            seen: dict[str, list[str]] = {}
-            for n in nodes:
-                if not (n.dropped or n.plain or n.tag in ("html", "body")):
-                    seen.setdefault(n.path, []).extend(n.children)
-            for path, children in seen.items():
-                for kind, what in ((0, "\n".join(content.get(path, ()))), (1, " ".join(children))):
-                    rows.append((host, path, kind, _hash(what)))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64())], names=["host", "path", "kind", "value"])
-
-
-def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, path, pages, presentation, content, importance) of the style nodes that pages of a host share."""
+            for path, prior, content, presentation in page_facts(html or ""):
+                counts[host, path, prior, 0, content] += 1
+                counts[host, path, prior, 1, presentation] += 1
+        rows = [(*k, n) for k, n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, _OBSERVED, strict=True)], schema=_OBSERVED)
+
+
+def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, path, pages, prior, presentation, content, importance) of the style nodes of each host."""
     own = packed(pages, html_col, host=_host(url_col)).select("host", "_text")
-    seen = own.mapInArrow(_observed, "host string, path string, kind int, value bigint")
-    counts = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
+    seen = own.mapInArrow(_observed, "host string, path bigint, prior double, kind int, value bigint, c bigint")
+    counts = seen.groupBy("host", "path", "kind", "value").agg(F.sum("c").alias("c"), F.min("prior").alias("prior"))
     c = F.col("c").cast("double")
-    by_kind = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(c * F.log(c)).alias("s"))
+    by_kind = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(c * F.log(c)).alias("s"), F.min("prior").alias("prior"))
     m = F.col("m").cast("double")
     entropy = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), (F.log(m) - F.col("s") / m) / F.log(m))).otherwise(1.0)
     of = lambda k: F.max(F.when(F.col("kind") == k, entropy))
-    tree = by_kind.groupBy("host", "path").agg(F.max("m").alias("pages"), of(1).alias("presentation"), of(0).alias("content"))
-    return tree.withColumn("importance", F.greatest("presentation", "content"))
+    tree = by_kind.groupBy("host", "path").agg(F.max("m").alias("pages"), F.min("prior").alias("prior"), of(1).alias("presentation"), of(0).alias("content"))
+    known = F.when(F.col("pages") >= min_pages, F.greatest("presentation", "content")).otherwise(1.0)
+    return tree.withColumn("importance", F.col("prior") * known)
 
 
 def _host(url_col: str) -> F.Column:
@@ -253,17 +347,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = MIN_PAGES, low: float = LOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The pages without their html, and ``text``.
 
-    A style node's own text is removed where at least ``min_pages`` pages of the host have it and its importance is below ``low``.
+    A style node's own text is removed where the tree's importance of it is below ``low``.
 
     * A null or empty html has an empty text; pages without a URL or host count as one host.
     * White space within a block is one space, blocks are joined by a new line; nothing else is changed or cut.
     * Repeated rows each have their own result; an empty table gives an empty table.
     * Input columns of the names of the results are replaced.
     """
-    weak = style_tree(pages, html_col, url_col).where((F.col("pages") >= min_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("path").alias("low"))
+    weak = style_tree(pages, html_col, url_col, min_pages).where(F.col("importance") < low).groupBy("host").agg(F.collect_set("path").alias("low"))
     weak = kept(weak)
     own = packed(pages, html_col, host=_host(url_col))
-    size = weak.agg(F.sum(F.octet_length(F.array_join("low", " ")) + F.octet_length("host") + 64)).first()[0] or 0
+    size = weak.agg(F.sum(8 * F.size("low") + F.octet_length("host") + 64)).first()[0] or 0
     if size <= broadcast_bytes:
         joined = own.join(F.broadcast(weak), "host", "left")
     else:
