@@ -7,12 +7,18 @@ character that the vocabulary lacks.
 
 All occurrences of the pair in a sequence merge in the same round where that can't change the order of merges; where a
 merged piece could form a pair of lower rank with its neighbour, only the leftmost does.
+
+Long pre-tokens (scripts without spaces, long runs) would pay a pass over the whole array for every rank. Theirs is a ragged
+array as well, with links over merged places, and the pairs stand in buckets by rank: a round takes the lowest bucket, so
+it touches only the places of that rank, and the work is about linear in the length.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +29,13 @@ from pyspark.sql import types as T
 from ladderworks.llm.frames import packed, row_field, unpacked
 
 SPACE = "▁"
-_KNOWN = 1 << 18
+#: A worker remembers at most so many pre-tokens, of at most so many characters each.
+_KNOWN, _KNOWN_CHARS = 1 << 18, 64
 _LONG = 48
+#: From this length on, pairs stand in buckets by rank.
+_LINKED = 512
+#: Texts are taken in groups of about so many characters.
+_GROUP_CHARS = 1 << 21
 
 
 class PieceVocabulary:
@@ -50,6 +61,7 @@ class PieceVocabulary:
                     made.append(i)
         order = np.argsort(keys)
         self.keys, self.made = np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
+        self.pairs = dict(zip(self.keys.tolist(), self.made.tolist(), strict=True))
         self.bigrams = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         mid_space = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
         line = any("\n" in p for p in self.pieces)
@@ -75,6 +87,11 @@ class PieceVocabulary:
         symbol = np.fromiter((lookup[c] for c in chars), np.int64, len(chars))
         sequence = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
         total = np.zeros(len(flat), np.int64)
+        long = np.array([len(x) > _LINKED for x in flat], bool)
+        if long.any():
+            apart = long[sequence]
+            np.add.at(total, sequence[apart], self._linked(symbol[apart], sequence[apart]))
+            symbol, sequence = symbol[~apart], sequence[~apart]
         while len(symbol):
             made = self._pairs(symbol, sequence)
             first = np.flatnonzero(np.concatenate([[True], sequence[1:] != sequence[:-1]]))
@@ -103,6 +120,51 @@ class PieceVocabulary:
         np.add.at(out, owner, total)
         return out
 
+    def _linked(self, symbol: np.ndarray, sequence: np.ndarray) -> np.ndarray:
+        """What each place of long sequences counts at last: 0 where it was merged into another one."""
+        made, n, width = self._pairs(symbol, sequence), self.n, self.n + 5
+        inside = np.concatenate([sequence[1:] == sequence[:-1], [False]])
+        after = array("q", np.where(inside, np.arange(1, len(symbol) + 1), -1).tobytes())
+        before = array("q", np.concatenate([[-1], np.where(inside[:-1], np.arange(len(symbol) - 1), -1)]).astype(np.int64).tobytes())
+        at = array("q", symbol.astype(np.int64).tobytes())
+        live = np.flatnonzero(made < n)
+        live = live[np.argsort(made[live], kind="stable")]
+        cuts = np.flatnonzero(np.diff(made[live], prepend=-1))
+        buckets = {int(made[p[0]]): p.tolist() for p in np.split(live, cuts[1:])} if len(live) else {}
+        ranks, pair = list(buckets), self.pairs.get
+        heapify(ranks)
+        while ranks:
+            rank = heappop(ranks)
+            places = buckets.pop(rank, None)
+            if not places:
+                continue
+            places.sort()
+            for k, i in enumerate(places):
+                j = after[i]
+                if j < 0 or at[i] < 0 or at[i] >= n or at[j] >= n or pair(at[i] * width + at[j]) != rank:
+                    continue
+                far, near = after[j], before[i]
+                at[i], at[j], after[i] = rank, -1, far
+                first = False
+                for place, key in ((near, at[near] * width + rank if near >= 0 and at[near] < n else -1), (i, rank * width + at[far] if far >= 0 and at[far] < n else -1)):
+                    fresh = pair(key)
+                    if fresh is not None:
+                        if fresh not in buckets:
+                            buckets[fresh] = []
+                            heappush(ranks, fresh)
+                        buckets[fresh].append(place)
+                        first = first or fresh <= rank
+                if far >= 0:
+                    before[far] = i
+                if first:  # a pair of lower rank, or one further left, is next
+                    if rank not in buckets:
+                        buckets[rank] = []
+                        heappush(ranks, rank)
+                    buckets[rank] += places[k + 1 :]
+                    break
+        left = np.frombuffer(at, np.int64)
+        return np.where(left < 0, 0, np.where(left < n, 1, left - n))
+
     def _pairs(self, symbol: np.ndarray, sequence: np.ndarray) -> np.ndarray:
         """The piece that each symbol and the next one form, or n."""
         made = np.full(len(symbol), self.n, np.int64)
@@ -124,22 +186,35 @@ class PieceVocabulary:
 _vocabularies: dict[str, tuple[PieceVocabulary, dict[str, int]]] = {}
 
 
+def _groups(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts in order, in groups of bounded size; a longer text is a group of its own."""
+    group: list[str] = []
+    size = 0
+    for t in texts:
+        if group and size + len(t or "") > _GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(t or "")
+        size += len(t or "")
+    if group:
+        yield group
+
+
 def _count(batches: Iterator[pa.RecordBatch], held, name: str) -> Iterator[pa.RecordBatch]:
     if name not in _vocabularies:
         _vocabularies[name] = PieceVocabulary(held.value), {}
     vocabulary, known = _vocabularies[name]
     for batch in batches:
-        texts = batch.column("_text").to_pylist()
         n_tokens, n_bytes = [], []
-        for lo in range(0, len(texts), 256):
-            cut = [vocabulary.pre_tokens(t or "") for t in texts[lo : lo + 256]]
+        for group in _groups(batch.column("_text").to_pylist()):
+            cut = [vocabulary.pre_tokens(t) for t in group]
             fresh = list({p for own in cut for p in own if p not in known})
-            if len(known) + len(fresh) > _KNOWN:
+            now = dict(zip(fresh, vocabulary.counts(fresh).tolist(), strict=True))
+            n_tokens += [sum([now[p] if p in now else known[p] for p in own]) for own in cut]
+            n_bytes += [len(t.encode()) for t in group]
+            if len(known) + len(now) > _KNOWN:
                 known.clear()
-                fresh = list({p for own in cut for p in own})
-            known.update(zip(fresh, vocabulary.counts(fresh).tolist(), strict=True))
-            n_tokens += [sum(map(known.__getitem__, own)) for own in cut]
-            n_bytes += [len((t or "").encode()) for t in texts[lo : lo + 256]]
+            known.update((p, n) for p, n in now.items() if len(p) <= _KNOWN_CHARS)
         yield pa.RecordBatch.from_pydict({"_row": batch.column("_row"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64())})
 
 
