@@ -7,17 +7,23 @@ token to where v led. A copy shares all but one arc with its original, so a stat
 state that the token's arcs led to after so many merges. That takes one table row for each merge, and the arcs of any
 state follow from the rows.
 
-Encoding a pre-split word moves from prefix to prefix: of the tokens that end at a place, one continues the path of
-the prefix before it, and the table of transitions says which. Transitions are filled in from the automaton on first use.
+For encoding, the token arcs are spelled out into a deterministic automaton over symbols. Its state is the set of arcs that
+are being spelled, each with the token before it, and the token that ends the prefix read so far. There is exactly one such
+token, so a word is encoded by one transition for each symbol and a walk back over the tokens' lengths. The table of
+transitions is filled in from the token automaton as words need them, and starts anew when it has ``_STATES`` states.
 Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
+from operator import getitem
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +36,11 @@ from ladderworks.llm.frames import packed, row_field, unpacked
 
 WORD_END = "</w>"
 #: Unicode's White_Space, stated because regex libraries differ on the ASCII separators.
-_WHITE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_WORDS = 1 << 17
-_TRANSITIONS = 1 << 20
+_WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+#: What a worker holds at most: twice so many known pieces of text (of at most ``_PIECE`` characters each), pairs of tokens, states.
+_PIECES, _PIECE = 1 << 17, 64
+_PAIRS = 1 << 20
+_STATES = 1 << 17
 
 
 @lru_cache(1)
@@ -58,9 +66,10 @@ class TokenAutomaton:
             if made not in self.born:
                 self.born[made], self.parts[made] = when, (a, b)
         self.end = len(merges)
-        self.longest = max(len(s.removesuffix(WORD_END)) for s in vocab)
         self.table: dict[tuple[int, int], bool] = {}
         self.live: dict[int, bool] = {}
+        self._spell_out()
+        self._restart()
 
     def _lacks(self, token: int, version: int, arc: int) -> bool:
         """Whether a gadget took the arc from the state, or from the state that it was copied from."""
@@ -101,29 +110,95 @@ class TokenAutomaton:
         key = (token, arc)
         found = self.table.get(key)
         if found is None:
-            if len(self.table) >= _TRANSITIONS:
+            if len(self.table) >= _PAIRS:
                 self.table.clear()
             found = self.table[key] = self.has_arc(token, self.end, arc)
         return found
 
-    def encode(self, symbols: str) -> list[int]:
-        """Tokens of one word, written in byte symbols; its last symbol carries the word end."""
-        n, vocab = len(symbols), self.vocab
-        last: list[int] = [-1] * (n + 1)
-        size = [0] * (n + 1)
-        for i in range(1, n + 1):
-            tail = WORD_END if i == n else ""
-            for k in range(1, min(i, self.longest) + 1):
-                token = vocab.get(symbols[i - k : i] + tail)
-                if token is None or (k < i and (last[i - k] < 0 or not self.follows(last[i - k], token))) or (k == i and not self.reached(token)):
-                    continue
-                last[i], size[i] = token, k
-                break
-        out = []
-        while n:
-            out.append(last[n])
-            n -= size[n]
-        return out[::-1]
+    def _spell_out(self) -> None:
+        """The trie of the arcs' bytes: children by node, and the token that a node ends, within a word or at its end."""
+        values = {c: b for b, c in enumerate(byte_symbols())}
+        self.children: list[dict[int, int]] = [{}]
+        self.inner: list[int | None] = [None]
+        self.final: list[int | None] = [None]
+        for text, token in self.vocab.items():
+            symbols = text.removesuffix(WORD_END)
+            if not symbols or any(c not in values for c in symbols):
+                continue
+            node = 0
+            for c in symbols:
+                node = self.children[node].setdefault(values[c], len(self.children))
+                if node == len(self.children):
+                    self.children.append({})
+                    self.inner.append(None)
+                    self.final.append(None)
+            (self.final if text.endswith(WORD_END) else self.inner)[node] = token
+
+    def _restart(self) -> None:
+        """The table of transitions with its start state alone: nothing is spelled but from the root, after no token."""
+        self.start = _State(self, ((0, -1, 0),), -1, 0)
+        self.states = {(self.start.spelled, -1, 0): self.start}
+
+    def advance(self, state: _State, byte: int, tokens: list[int | None]) -> tuple[list[tuple[int, int, int]], int, int]:
+        """Arcs still being spelled after the byte as (node, token before, length), and the token that ends there with its length."""
+        left, token, size = [], -1, 0
+        for node, before, n in state.spelled:
+            node = self.children[node].get(byte, -1)
+            if node < 0:
+                continue
+            if self.children[node]:
+                left.append((node, before, n + 1))
+            made = tokens[node]
+            if made is not None and token < 0 and (self.reached(made) if before < 0 else self.follows(before, made)):
+                token, size = made, n + 1
+        return left, token, size
+
+    def encode(self, word: bytes) -> list[int]:
+        """Tokens of one word; its last byte carries the word end."""
+        if not word:
+            return []
+        if len(self.states) >= _STATES:
+            self._restart()
+        path = list(accumulate(word[:-1], getitem, initial=self.start))
+        token, size = path[-1].end(word[-1])
+        out, at = [token], len(path) - size
+        while at > 0:
+            state = path[at]
+            out.append(state.token)
+            at -= state.size
+        out.reverse()
+        return out
+
+
+class _State(dict):
+    """A state of the deterministic automaton: the next state by byte, filled in on first use."""
+
+    __slots__ = ("automaton", "ends", "size", "spelled", "token")
+
+    def __init__(self, automaton: TokenAutomaton, spelled: tuple[tuple[int, int, int], ...], token: int, size: int):
+        self.automaton, self.spelled, self.token, self.size = automaton, spelled, token, size
+        self.ends: dict[int, tuple[int, int]] | None = None
+
+    def __missing__(self, byte: int) -> _State:
+        own = self.automaton
+        left, token, size = own.advance(self, byte, own.inner)
+        if token >= 0:
+            left.insert(0, (0, token, 0))
+        key = (tuple(left), token, size)
+        to = own.states.get(key)
+        if to is None:
+            to = own.states[key] = _State(own, *key)
+        self[byte] = to
+        return to
+
+    def end(self, byte: int) -> tuple[int, int]:
+        """The token, and its length, that ends a word with the byte."""
+        if self.ends is None:
+            self.ends = {}
+        found = self.ends.get(byte)
+        if found is None:
+            found = self.ends[byte] = self.automaton.advance(self, byte, self.automaton.final)[1:]
+        return found
 
 
 class WordBpe:
@@ -137,44 +212,42 @@ class WordBpe:
         self.automaton = TokenAutomaton(model["vocab"], merges)
         self.split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(self.split.replace("\\s", "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000")).findall
-        self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")")
-        self.symbols = byte_symbols()
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def normal(self, text: str) -> str:
-        text = _WHITE.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """A word's ids as bytes, and its labels."""
-        found = self.words.get(word)
+    def piece(self, text: str) -> tuple[bytes, str]:
+        """The ids of a text without white space, as bytes, and its labels. No word goes over white space."""
+        found = self.older.get(text)
         if found is None:
-            if len(self.words) >= _WORDS:
-                self.words.clear()
-            ids = self.automaton.encode("".join(map(self.symbols.__getitem__, word.encode())))
-            found = self.words[word] = np.array(ids, "<u4").tobytes(), self.decode(ids)
+            encode = self.automaton.encode
+            ids = [i for w in self.find(self.normal(text)) for i in encode(w.encode())]
+            found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        if len(text) <= _PIECE:
+            if len(self.known) >= _PIECES:
+                self.older, self.known = self.known, {}
+            self.known[text] = found
         return found
 
     def decode(self, ids: list[int]) -> str:
         """The arcs' labels; this kind of file has no decoder, so they are set side by side with spaces."""
         names = self.automaton.labels
-        return " ".join(names[i] for i in ids)
+        return " ".join([names[i] for i in ids])
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """The text's ids as little-endian 32-bit integers, and the decoded text."""
-        parts = self.specials.split(text) if "<|" in text else [text]
-        ids, labels = [], []
+        parts = self.specials.split(text) if any(s in text for s in self.added) else [text]
+        found: list[tuple[bytes, str]] = []
         for k, part in enumerate(parts):
             if k % 2:
-                ids.append(np.array([self.added[part]], "<u4").tobytes())
-                labels.append(part)
-            elif part:
-                word = self.words.get
-                for w in self.find(self.normal(part)):
-                    a, b = word(w) or self.word(w)
-                    ids.append(a)
-                    labels.append(b)
-        return b"".join(ids), " ".join(labels)
+                found.append((struct.pack("<I", self.added[part]), part))
+            else:
+                known, piece = self.known.get, self.piece
+                found += [known(p) or piece(p) for p in _WHITE.split(part) if p]
+        return b"".join([ids for ids, _ in found]), " ".join([labels for ids, labels in found if ids])
 
 
 _models: dict[str, WordBpe] = {}

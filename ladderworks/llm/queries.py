@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +19,6 @@ from ladderworks.llm.token_counts import count_tokens
 from ladderworks.llm.toxicity import score, train
 from ladderworks.llm.warc import NOT_MODIFIED, resolve_revisits
 
-#: Folder of the public tokenizers' files, the same on the driver and the executors' images.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -38,7 +36,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
@@ -80,7 +78,7 @@ def op6_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+    coded = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

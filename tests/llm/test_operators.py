@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,6 @@ from ladderworks.llm.decontaminate import decontaminate
 from ladderworks.llm.license_scan import scan_licenses
 from ladderworks.llm.ngram_join import near_duplicates
 from ladderworks.llm.quality_rules import measure
-from ladderworks.llm.queries import TOKENIZERS
 from ladderworks.llm.site_style_tree import extract_main_text, main_text
 from ladderworks.llm.substring_dedup import remove_repeated_passages
 from ladderworks.llm.token_counts import count_tokens
@@ -121,7 +121,7 @@ def test_licence_notice_is_chained(spark):
 def test_word_bpe_round_trip(spark, docs, none):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     coded = encode_texts(docs, path)
     for r in decode_ids(coded.withColumnRenamed("decoded", "first"), path).collect():
@@ -135,7 +135,7 @@ def test_word_bpe_round_trip(spark, docs, none):
 def test_token_counts(docs, none):
     import sentencepiece
 
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     for r in count_tokens(docs, path).collect():
         text = dict(corpus())[r.doc_id] or ""

@@ -1,8 +1,8 @@
 import numpy as np
+import public_tokenizers
 
 import brute
 import corpus_pipeline
-from ladderworks.llm.queries import TOKENIZERS
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
@@ -30,7 +30,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for i, text in left.items():
         n, hit, _ = found[i]
         assert len(brute.ALNUM.findall(text or "")) == n - hit
-    library = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in docs.collect():
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(left[r.doc_id] or "", add_special_tokens=False).ids
     assert {r.doc_id for r in docs.collect()} == set(cut)
