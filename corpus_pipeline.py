@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,6 @@ from ladderworks.llm.decontaminate import decontaminate
 from ladderworks.llm.frames import kept
 from ladderworks.llm.ngram_join import near_duplicates
 from ladderworks.llm.quality_rules import CLEAN_RULES, measure
-from ladderworks.llm.queries import TOKENIZERS
 from ladderworks.llm.substring_dedup import remove_repeated_passages
 
 
@@ -47,7 +47,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (little-endian unsigned 32-bit integers) and their number."""
-    return encode_texts(docs.select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json").select("doc_id", "n_tokens", "ids")
+    return encode_texts(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [("quality_rules", quality), ("ngram_join", near), ("substring_dedup", passages), ("decontaminate", benchmark), ("bpe_automaton", tokens)]
