@@ -8,15 +8,18 @@ position, and the word spans are merged per document.
 Words that no window holds can't be part of an occurrence, nor can runs of window words that are shorter than the
 window; both become separators before the index is built. This keeps the index to a few hundredths of the text.
 
-The benchmark is the query set. It is taken in blocks of at most ``BLOCK_BYTES`` of text, each broadcast by itself.
-Documents aren't shuffled.
+The benchmark is the query set. Up to ``BLOCK_BYTES`` of text (its size is checked) it is broadcast as one block, and documents
+aren't shuffled. A larger one is taken in blocks of about that size, one after the other: a block is broadcast, every
+document is scanned for it, the spans found are kept as a table and the broadcast goes. Then the spans of all blocks are
+joined to their documents. So the driver and a worker hold one block at any time.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladderworks.llm.frames import packed, row_field, unpacked
-from ladderworks.llm.words import ALNUM, covered, cut_words, pieces, spans, split_words
+from ladderworks.llm.frames import kept, packed, row_field, unpacked
+from ladderworks.llm.words import ALNUM, Words, covered, cut_words, pieces, spans, split_words
 
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
@@ -201,20 +204,22 @@ class Phrases:
         return which, origin[position]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Callable[[int], list[tuple[str | None, str]]]]:
+    """The number of blocks, and the items of each."""
     items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + 16)).first()[0] or 0
-    n = max(1, math.ceil(2 * total / block_bytes))
-    for b in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
+    n = 1 if total <= block_bytes else math.ceil(2 * total / block_bytes)
+    return n, lambda b: [tuple(r) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)).collect()]
 
 
-_compiled: dict[tuple[int, int], Phrases] = {}
+_compiled: dict[tuple[str, int], Phrases] = {}
 
 
-def _phrases(held, window: int) -> Phrases:
-    """Compiled once in a worker; one block at a time is kept, and its rows go once it is compiled."""
-    key = (held._jbroadcast.id() if getattr(held, "_jbroadcast", None) else id(held.value), window)
+def _phrases(held, key: tuple[str, int], window: int) -> Phrases:
+    """Compiled once in a worker; one block at a time is kept, and its rows go once it is compiled.
+
+    ``key`` is of one call and block: places in memory and Spark's own numbers may be used again.
+    """
     if key not in _compiled:
         _compiled.clear()
         _compiled[key] = Phrases.of(held.value, window)
@@ -223,29 +228,69 @@ def _phrases(held, window: int) -> Phrases:
     return _compiled[key]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], blocks: list, window: int, cut: bool) -> Iterator[pa.RecordBatch]:
+def _found(words: Words, phrases: Phrases) -> tuple[np.ndarray, list[set[str]]]:
+    """Which words lie in an occurrence, and per text the items that occur."""
+    which, first = phrases.occurrences(words)
+    items: list[set[str]] = [set() for _ in words.counts]
+    pairs = np.unique(np.stack([np.searchsorted(words.first, first, "right") - 1, which], 1), axis=0)
+    for d, p in pairs.tolist():
+        items[d].update(phrases.items[p])
+    return covered(first, phrases.lengths[which], len(words.starts)), items
+
+
+def _spans_of(words: Words, inside: np.ndarray) -> list[list[list[int]]]:
+    sums = np.concatenate([[0], np.cumsum(inside)])
+    return [spans(inside[a:b]) if sums[b] > sums[a] else [] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+
+
+_HITS = pa.list_(pa.list_(pa.int64()))
+
+
+def _answer(batch: pa.RecordBatch, judge: Callable[[Words, int, int], tuple[np.ndarray, list]], cut: bool) -> pa.RecordBatch:
+    texts = batch.column("_text").cast(pa.binary()).to_pylist()
+    n_words, n_hit, hits, items, left = [], [], [], [], []
+    for lo, hi in pieces(texts, SHARD_BYTES):
+        words = split_words(texts[lo:hi], ALNUM, lower=True)
+        inside, found = judge(words, lo, hi)
+        sums = np.concatenate([[0], np.cumsum(inside)])
+        n_words += words.counts.tolist()
+        n_hit += (sums[words.first[1:]] - sums[words.first[:-1]]).tolist()
+        hits += _spans_of(words, inside)
+        items += [sorted(x) for x in found]
+        left += cut_words(words, inside, texts[lo:hi]) if cut else []
+    columns = {"_row": batch.column("_row"), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "hits": pa.array(hits, _HITS), "items": pa.array(items, pa.list_(pa.string()))}
+    return pa.RecordBatch.from_pydict(columns | ({"kept": pa.array(left, pa.binary()).cast(pa.string())} if cut else {}))
+
+
+def _scan(batches: Iterator[pa.RecordBatch], held, key: tuple[str, int], window: int, cut: bool) -> Iterator[pa.RecordBatch]:
+    """Answers for a benchmark of one block."""
     for batch in batches:
-        texts = batch.column("_text").cast(pa.binary()).to_pylist()
-        n_words, n_hit, hits, items, kept = [], [], [], [], []
+        yield _answer(batch, lambda words, lo, hi: _found(words, _phrases(held, key, window)), cut)
+
+
+def _scan_block(batches: Iterator[pa.RecordBatch], held, key: tuple[str, int], window: int) -> Iterator[pa.RecordBatch]:
+    """Spans and items of one block, for the documents that have any."""
+    for batch in batches:
+        at, texts, rows = batch.column("_at").to_pylist(), batch.column("_text").cast(pa.binary()).to_pylist(), []
         for lo, hi in pieces(texts, SHARD_BYTES):
             words = split_words(texts[lo:hi], ALNUM, lower=True)
-            inside = np.zeros(len(words.starts), bool)
-            found: list[set[str]] = [set() for _ in range(hi - lo)]
-            for held in blocks:
-                phrases = _phrases(held, window)
-                which, first = phrases.occurrences(words)
-                inside |= covered(first, phrases.lengths[which], len(words.starts))
-                pairs = np.unique(np.stack([np.searchsorted(words.first, first, "right") - 1, which], 1), axis=0)
-                for d, p in pairs.tolist():
-                    found[d].update(phrases.items[p])
-            sums = np.concatenate([[0], np.cumsum(inside)])
-            n_words += words.counts.tolist()
-            n_hit += (sums[words.first[1:]] - sums[words.first[:-1]]).tolist()
-            hits += [spans(inside[a:b]) if sums[b] > sums[a] else [] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            items += [sorted(x) for x in found]
-            kept += cut_words(words, inside, texts[lo:hi]) if cut else []
-        columns = {"_row": batch.column("_row"), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "hits": pa.array(hits, pa.list_(pa.list_(pa.int64()))), "items": pa.array(items, pa.list_(pa.string()))}
-        yield pa.RecordBatch.from_pydict(columns | ({"kept": pa.array(kept, pa.binary()).cast(pa.string())} if cut else {}))
+            inside, found = _found(words, _phrases(held, key, window))
+            rows += [(at[lo + k], h, sorted(i)) for k, (h, i) in enumerate(zip(_spans_of(words, inside), found, strict=True)) if h]
+        columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], _HITS), pa.array(columns[2], pa.list_(pa.string()))], names=["_at", "hits", "items"])
+
+
+def _join(batches: Iterator[pa.RecordBatch], cut: bool) -> Iterator[pa.RecordBatch]:
+    """Answers from the spans and items of all blocks."""
+    for batch in batches:
+        hits, items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+
+        def judge(words: Words, lo: int, hi: int) -> tuple[np.ndarray, list]:
+            own = [(int(words.first[k]) + s, e - s) for k in range(hi - lo) for s, e in hits[lo + k] or ()]
+            starts, sizes = np.array(own, np.int64).reshape(-1, 2).T
+            return covered(starts, sizes, len(words.starts)), [set(i or ()) for i in items[lo:hi]]
+
+        yield _answer(batch, judge, cut)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, cut: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -260,10 +305,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     * Repeated items and windows shared by items count for each item; repeated rows each get the same result.
     * Empty tables give no hits or no rows. Input columns of the names of the results are replaced.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+    context, call = docs.sparkSession.sparkContext, uuid.uuid4().hex
+    n, block = _blocks(benchmark, item_col, item_text_col, block_bytes)
     fields = [row_field(docs, text_col), *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("hits", T.ArrayType(T.ArrayType(T.LongType()))), ("items", T.ArrayType(T.StringType()))))]
+    answer = T.StructType(fields + ([T.StructField("kept", T.StringType())] if cut else []))
     frame = packed(docs, text_col)
-    scanned = frame.mapInArrow(lambda batches: _scan(batches, blocks, window, cut), T.StructType(fields + ([T.StructField("kept", T.StringType())] if cut else [])))
+    if n == 1:
+        held = context.broadcast(block(0))
+        scanned = frame.mapInArrow(lambda batches: _scan(batches, held, (call, 0), window, cut), answer)
+    else:
+        frame = kept(frame.withColumn("_at", F.monotonically_increasing_id()))
+        parts = None
+        for b in range(n):
+            held = context.broadcast(block(b))
+            own = kept(frame.select("_at", "_text").mapInArrow(lambda batches, held=held, key=(call, b): _scan_block(batches, held, key, window), "_at bigint, hits array<array<bigint>>, items array<string>"))
+            held.destroy()
+            parts = own if parts is None else parts.unionByName(own)
+        found = parts.groupBy("_at").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        scanned = frame.join(found, "_at", "left").select("_row", "_text", "hits", "items").mapInArrow(lambda batches: _join(batches, cut), answer)
     new = {"n_words": F.col("n_words"), "n_hit": F.col("n_hit"), "hits": F.col("hits"), "items": F.col("items")}
     return unpacked(scanned, docs, text_col, F.col("kept") if cut else None, **new)

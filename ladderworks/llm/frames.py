@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +30,15 @@ def unpacked(frame: DataFrame, docs: DataFrame, text_col: str, text: Column | No
 
 
 def kept(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and kept in the shared folder of ``spark.checkpoint.dir``; a folder of its own is set only where there is none."""
+    """The frame, computed once and kept in the shared folder of ``spark.checkpoint.dir``; local runs may set any folder.
+
+    Without a folder this is an error: one made up here would be on one machine, and no executor of a cluster could read it.
+    Rows in it survive lost executors. ``spark.cleaner.referenceTracking.cleanCheckpoints`` lets Spark remove them after use.
+    """
     spark = frame.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or f"{spark.conf.get('spark.local.dir', None) or '/tmp'}/spark-checkpoints")
     return frame.checkpoint()
