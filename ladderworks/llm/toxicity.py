@@ -94,12 +94,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_chain(texts: list[bytes | None], fold: np.ndarray, labels: np.ndarray) -> list[Linear]:
-    """One model a column of ``labels``, in order."""
-    found = list(features(texts))
-    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    feature = np.concatenate([np.empty(0, np.uint64), *found]).astype(np.int64)
-    n, earlier, chain = len(texts), np.zeros((len(texts), 0)), []
+def _entries(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of the set entries."""
+    return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.empty(0, np.int64), *(np.asarray(f).astype(np.int64) for f in found)])
+
+
+def fit_chain(found: list[np.ndarray], fold: np.ndarray, labels: np.ndarray) -> list[Linear]:
+    """One model a column of ``labels``, in order, from the rows' features."""
+    row, feature = _entries(found)
+    n, earlier, chain = len(found), np.zeros((len(found), 0)), []
     for c in range(labels.shape[1]):
         label = labels[:, c].astype(float)
         held_out = np.zeros(n)
@@ -115,9 +118,7 @@ def fit_chain(texts: list[bytes | None], fold: np.ndarray, labels: np.ndarray) -
 
 
 def predict_chain(chain: list[Linear], texts: list[bytes | None]) -> np.ndarray:
-    found = list(features(texts))
-    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    feature = np.concatenate([np.empty(0, np.uint64), *found]).astype(np.int64)
+    row, feature = _entries(list(features(texts)))
     earlier = np.zeros((len(texts), 0))
     for model in chain:
         earlier = np.column_stack([earlier, model.predict(row, feature, len(texts), earlier)])
@@ -134,14 +135,25 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     usable rows every category has the constant probability of 1/2.
     """
     wanted = [F.col(f"`{c}`").cast("int").alias(f"_{k}") for k, c in enumerate(categories)]
+    marks = [f"_{k}" for k in range(len(categories))]
     own = labels.select(F.col(f"`{id_col}`").alias("_id"), *wanted).dropna().orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(sample)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).dropna().join(F.broadcast(own), "_id")
-    rows = rows.orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(sample)
+    rows = rows.select(F.xxhash64("_id", F.lit(7)).alias("_order"), F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(FOLDS)).cast("int").alias("_fold"), *marks, "_text")
+    # Texts of any length become their distinct features where they are; the fitting task sees no text.
+    schema = ", ".join(["_order bigint, _fold int", *(f"{m} int" for m in marks), "_features array<int>"])
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [f.astype(np.int32) for f in features(batch.column("_text").cast(pa.binary()).to_pylist())]
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("_order", "_fold", *marks)} | {"_features": pa.array(found, pa.list_(pa.int32()))})
+
+    rows = rows.mapInArrow(featured, schema).orderBy("_order", "_fold", *marks, "_features").limit(sample)
 
     def fit(table: pa.Table) -> pa.Table:
-        fold = (mix(np.array([hash(x) for x in table.column("_id").to_pylist()], np.int64).astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-        marks = np.stack([table.column(f"_{k}").to_numpy() for k in range(len(categories))], 1)
-        chain = fit_chain(table.column("_text").cast(pa.binary()).to_pylist(), fold, marks)
+        fold = table.column("_fold").to_numpy().astype(np.int64)
+        own = np.stack([table.column(m).to_numpy() for m in marks], 1)
+        found = [x.values.to_numpy() for x in table.column("_features")]
+        chain = fit_chain(found, fold, own)
         out = [(k, m.chosen.astype("<i8").tobytes(), m.weights.astype("<f8").tobytes(), m.earlier.astype("<f8").tobytes(), m.bias) for k, m in enumerate(chain)]
         return pa.table(dict(zip(("category", "chosen", "weights", "earlier", "bias"), map(list, zip(*out, strict=True)), strict=True)), schema=pa.schema([("category", pa.int32()), ("chosen", pa.binary()), ("weights", pa.binary()), ("earlier", pa.binary()), ("bias", pa.float64())]))
 
