@@ -39,7 +39,8 @@ class Layout:
 
 
 def layout(docs: DataFrame, text_col: str, block_bytes: int = 6 << 20, counters_per_word: int = 4) -> Layout:
-    """From one pass over the text's length. Blocks and slices grow as the square root of a large corpus, so messages stay few."""
+    """From one pass over the text's length. Blocks and slices grow as the square root of a corpus up to 4 TB, so messages stay
+    few; beyond it both have the largest size that a task holds, and the number of messages grows with the square."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     scale = max(1.0, min(32.0, math.sqrt(total / 4e9)))
     blocks = max(1, round(total / (block_bytes * scale)))
@@ -48,8 +49,11 @@ def layout(docs: DataFrame, text_col: str, block_bytes: int = 6 << 20, counters_
 
 
 def in_blocks(docs: DataFrame, key: F.Column | list, sizes: Layout) -> DataFrame:
-    """The documents with a column ``_block``, dealt by a hash of the key columns."""
-    return docs.withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(sizes.blocks)).cast("int"))
+    """The documents with a column ``_block``, dealt by a hash of the key columns and of the partition that reads them.
+
+    So equal rows of many partitions spread over the blocks; a task that runs again deals out its rows as before.
+    """
+    return docs.withColumn("_block", F.pmod(F.xxhash64(*key, F.spark_partition_id()), F.lit(sizes.blocks)).cast("int"))
 
 
 def encode(values: np.ndarray) -> bytes:
