@@ -67,14 +67,19 @@ def directed(rows: DataFrame) -> DataFrame:
     return rows.select("match_date", "yyyyww", "weight", F.inline(F.array(side("home", "away"), side("away", "home"))))
 
 
+def by_sunday(edges: DataFrame) -> DataFrame:
+    """Edges with the Sunday that ends the calendar week of their date; windows end on Sundays, so the day matters no more."""
+    return edges.withColumn("sunday", F.next_day(F.date_sub("match_date", 1), "SUN"))
+
+
 def in_windows(edges: DataFrame, weeks: DataFrame, s: Settings) -> DataFrame:
-    """Edges with every week of ``weeks`` whose window (that many weeks up to its Sunday) holds their date.
+    """Edges (with ``sunday``) with every week of ``weeks`` whose window (that many weeks up to its Sunday) holds them.
 
-    ``weeks`` is a calendar: at most a few thousand rows, whatever the number of matches.
+    An edge lists the Sundays of its windows and meets the weeks on them: an equi-join with a calendar of one row a week.
     """
     ends = weeks.select(F.col("week"), week_sunday(F.col("week")).alias("stop"))
-    inside = (F.col("match_date") <= F.col("stop")) & (F.col("match_date") > F.date_sub("stop", 7 * s.weeks))
-    return edges.join(F.broadcast(ends), inside).drop("stop")
+    stops = F.explode(F.sequence("sunday", F.date_add("sunday", 7 * (s.weeks - 1)), F.expr("INTERVAL 7 DAYS")))
+    return edges.withColumn("stop", stops).join(F.broadcast(ends), "stop").drop("stop", "sunday")
 
 
 def entropy(p: Column) -> Column:
@@ -83,7 +88,7 @@ def entropy(p: Column) -> Column:
 
 def direct_connectivity(edges: DataFrame, weeks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(week, pid): volume, opponents, communities, normalised entropy, volume trust and direct connectivity."""
-    daily = edges.groupBy("match_date", "pid", "opponent", "other").agg(F.sum("weight").alias("weight"))
+    daily = by_sunday(edges).groupBy("sunday", "pid", "opponent", "other").agg(F.sum("weight").alias("weight"))
     held = in_windows(daily, weeks, s)
     mass = held.groupBy("week", "pid", "other").agg(F.sum("weight").alias("m"), F.collect_set("opponent").alias("opponents"))
     total = F.sum("m").over(Window.partitionBy("week", "pid"))
@@ -95,7 +100,7 @@ def direct_connectivity(edges: DataFrame, weeks: DataFrame, s: Settings = Settin
 
 def community_connectivity(edges: DataFrame, weeks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(week, community): the same from matches with other communities alone."""
-    daily = edges.where("own <> other").groupBy("match_date", "own", "other").agg(F.sum("weight").alias("weight"))
+    daily = by_sunday(edges).where("own <> other").groupBy("sunday", "own", "other").agg(F.sum("weight").alias("weight"))
     mass = in_windows(daily, weeks, s).groupBy("week", "own", "other").agg(F.sum("weight").alias("m"))
     total = F.sum("m").over(Window.partitionBy("week", "own"))
     out = mass.withColumn("p", F.col("m") / total).groupBy("week", F.col("own").alias("community")).agg(F.sum("m").alias("external"), F.count("*").alias("k"), entropy(F.col("p")).alias("h"))
@@ -105,7 +110,7 @@ def community_connectivity(edges: DataFrame, weeks: DataFrame, s: Settings = Set
 
 def primary_community(edges: DataFrame, weeks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(week, pid, community) of the greatest weight; of equals, the first in order."""
-    daily = edges.groupBy("match_date", "pid", "own").agg(F.sum("weight").alias("weight"))
+    daily = by_sunday(edges).groupBy("sunday", "pid", "own").agg(F.sum("weight").alias("weight"))
     mass = in_windows(daily, weeks, s).groupBy("week", "pid", "own").agg(F.sum("weight").alias("m"))
     best = F.row_number().over(Window.partitionBy("week", "pid").orderBy(F.desc(F.round("m", 6)), "own"))
     return mass.withColumn("r", best).where("r = 1").select("week", "pid", F.col("own").alias("community"))
@@ -122,8 +127,11 @@ def adjust(weekly: DataFrame, edges: DataFrame, s: Settings = Settings()) -> Dat
     rows = rows.withColumn("structural_rd", s.rd_scale * F.pow(1 - F.col("effective"), F.lit(s.rd_power)))
     rows = rows.withColumn("total_rd", F.sqrt(F.col("rd") ** 2 + F.col("structural_rd") ** 2))
     trust = s.trust_floor + (1 - s.trust_floor) * F.col("effective") * F.col("volume_trust") / (1 + F.col("total_rd") / s.trust_rd)
-    everyone, own = F.avg("rating").over(Window.partitionBy("week")), F.avg("rating").over(Window.partitionBy("week", "community"))
-    rows = rows.withColumns({"trust": F.greatest(F.lit(s.trust_floor), F.least(F.lit(1.0), trust)), "baseline": s.baseline_blend * everyone + (1 - s.baseline_blend) * own})
+    # Means are summed by map-side aggregates and joined back, so that no task holds a whole week.
+    own = rows.groupBy("week", "community").agg(F.sum("rating").alias("_s"), F.count("rating").alias("_n"))
+    everyone = own.groupBy("week").agg((F.sum("_s") / F.sum("_n")).alias("_all"))
+    rows = rows.join(own.select("week", "community", (F.col("_s") / F.col("_n")).alias("_own")), ["week", "community"]).join(everyone, "week")
+    rows = rows.withColumns({"trust": F.greatest(F.lit(s.trust_floor), F.least(F.lit(1.0), trust)), "baseline": s.baseline_blend * F.col("_all") + (1 - s.baseline_blend) * F.col("_own")}).drop("_all", "_own")
     lead = F.col("rating") - F.col("baseline")
     return rows.withColumn("adjusted", F.when(lead <= 0, F.col("rating")).otherwise(F.col("baseline") + F.col("trust") * lead))
 
@@ -136,7 +144,7 @@ def diffuse(weekly: DataFrame, edges: DataFrame, s: Settings = Settings()) -> Da
     so a step reads the one before it and the plan doesn't double.
     """
     weeks = weekly.select("week").distinct()
-    warm = edges.withColumn("heat", F.col("weight") * F.when(F.col("cross"), s.heat_cross).otherwise(s.heat_local)).groupBy("match_date", "pid", "opponent").agg(F.sum("weight").alias("weight"), F.sum("heat").alias("heat"))
+    warm = by_sunday(edges).withColumn("heat", F.col("weight") * F.when(F.col("cross"), s.heat_cross).otherwise(s.heat_local)).groupBy("sunday", "pid", "opponent").agg(F.sum("weight").alias("weight"), F.sum("heat").alias("heat"))
     graph = in_windows(warm, weeks, s).groupBy("week", "pid", "opponent").agg(F.sum("weight").alias("w"), F.sum("heat").alias("heat"))
     graph = kept(graph.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("week", "pid"))))
     heat = graph.groupBy("week", "pid").agg(F.sum("heat").alias("heat"))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(frame: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir``, which the driver and all executors must share.
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors must share.
 
     Only a local run may go without it: there one machine has all files.
     """
-    spark = frame.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or f"{spark.conf.get('spark.local.dir', None) or '/tmp'}/spark-checkpoints")
+        context.setCheckpointDir(path or f"{spark.conf.get('spark.local.dir', None) or '/tmp'}/spark-checkpoints")
+    return context.getCheckpointDir()
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """The rows as a checkpoint, computed once and cut from their lineage."""
+    folder(frame.sparkSession)
     return frame.checkpoint()

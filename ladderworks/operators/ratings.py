@@ -3,14 +3,43 @@ matches; the volatility equation is solved inside the plan. Periods follow each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderworks.functions.scoring import SCALE, expected, g, score, volatility
+from ladderworks.functions.weeks import weeks_between
+from ladderworks.operators.keeping import folder
 
 INIT_RATING, INIT_RD, INIT_SIGMA = 1500.0, 250.0, 0.06
 
 
+@dataclass(frozen=True)
+class Engine:
+    """The published defaults of the weekly engine. A gate, decay or reseeding of 0 is off."""
+
+    rating: float = INIT_RATING
+    rd: float = INIT_RD
+    sigma: float = INIT_SIGMA
+    tau: float = 0.5
+    drift: float = 0.0
+    max_sigma: float = 0.1
+    upset_max: float = 0.0
+    upset_k: float = 0.0
+    info_scale: float = 0.0
+    decay: float = 0.0
+    grace: int = 8
+    reseed_after: int = 0
+
+
+#: The settings of the two kinds of runs.
+CONTINENT, COUNTRY = Engine(decay=1.0, grace=52, reseed_after=520), Engine(decay=2.5, grace=12, reseed_after=52)
+STATE = "pid bigint, mu double, phi double, sigma double, seen int"
+
+
 def both_sides(matches: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each side of a match: pid, opponent, own and other goals, score."""
     side = lambda me, other: F.struct(F.col(f"{me}_club_id").alias("pid"), F.col(f"{other}_club_id").alias("opponent"), F.col(f"{me}_team_goals").alias("goals"), F.col(f"{other}_team_goals").alias("conceded"), F.lit(me == "home").alias("at_home"))
@@ -47,7 +76,7 @@ def period_sums(matches: DataFrame, state: DataFrame | None = None) -> DataFrame
 def rate_period(state: DataFrame, matches: DataFrame, tau: float = 0.5, max_sigma: float = 0.1, drift: float = 0.0) -> DataFrame:
     """The state after one period. Both sums are damped by the square root of the number of games.
 
-    ``state``: pid, mu, phi, sigma, absent (periods since the last game). Deviations of entities that play again grow first.
+    ``state``: pid, mu, phi, sigma, absent (periods from the last game to this one). Deviations of entities that play again grow first.
     """
     back = F.sqrt(F.col("phi") * F.col("phi") + F.col("absent") * (F.col("sigma") * F.col("sigma") + drift * drift))
     playing = both_sides(matches, []).select("pid").distinct().withColumn("plays", F.lit(True))
@@ -58,7 +87,7 @@ def rate_period(state: DataFrame, matches: DataFrame, tau: float = 0.5, max_sigm
     both = both.withColumn("new_sigma", F.when(F.col("i") > 0, F.least(F.lit(max_sigma), volatility(F.col("sigma"), F.col("phi"), 1 / F.col("i"), F.col("s") / F.col("i"), tau))))
     phi = 1 / F.sqrt(1 / (F.col("phi") ** 2 + F.col("new_sigma") ** 2) + F.col("i"))
     updated = F.col("i") > 0
-    return both.select("pid", F.when(updated, F.col("mu") + phi * phi * F.col("s")).otherwise(F.col("mu")).alias("mu"), F.when(updated, phi).otherwise(F.col("phi")).alias("phi"), F.coalesce("new_sigma", "sigma").alias("sigma"), F.when(F.col("games").isNotNull(), 0).otherwise(F.col("absent") + 1).alias("absent"))
+    return both.select("pid", F.when(updated, F.col("mu") + phi * phi * F.col("s")).otherwise(F.col("mu")).alias("mu"), F.when(updated, phi).otherwise(F.col("phi")).alias("phi"), F.coalesce("new_sigma", "sigma").alias("sigma"), F.when(F.col("games").isNotNull(), 1).otherwise(F.col("absent") + 1).alias("absent"))
 
 
 def rate_periods(matches: DataFrame, period: str, tau: float = 0.5) -> DataFrame:
@@ -76,9 +105,155 @@ def rate_periods(matches: DataFrame, period: str, tau: float = 0.5) -> DataFrame
     return parts if parts is not None else state.select(F.lit(None).cast("int").alias("period"), "pid", F.col("mu").alias("rating"), F.col("phi").alias("rd"), "sigma")
 
 
-def field_strength(matches: DataFrame, state: DataFrame, spread: float = 50.0) -> DataFrame:
-    """Per week: entities that played, sum, mean and rank-decayed sum of their ratings (pid, rating, rd in ``state``)."""
-    field = both_sides(matches, ["yyyyww"]).select(F.col("yyyyww").alias("week"), "pid").distinct().join(state, "pid")
-    rank = F.row_number().over(Window.partitionBy("week").orderBy(F.desc("rating"), "pid")) - 1
-    shares = field.withColumn("rank", rank).withColumn("part", F.col("rating") / (1 + F.col("rd") / 350.0) * F.exp(-(F.col("rank") ** 2) / (2 * spread**2)))
-    return shares.groupBy("week").agg(F.count("*").alias("entities"), F.sum("rating").alias("total"), F.avg("rating").alias("mean"), F.sum("part").alias("decayed"))
+def _logistic(x: Column) -> Column:
+    return F.when(x < -35, 0.0).when(x > 35, 1.0).otherwise(1.0 / (1.0 + F.exp(-x)))
+
+
+def ready(state: DataFrame, players: DataFrame, week: int, elapsed: int, e: Engine, seeds: DataFrame | None = None) -> DataFrame:
+    """The state (pid, mu, phi, sigma, seen) as the week's matches read it, with ``plays``.
+
+    Unseen players start from their seed's rating (``seeds``: pid, rating), else from the initial one; players absent for
+    ``reseed_after`` weeks start anew. Deviations of those about to play grow with the weeks since they were seen. Ratings
+    of all others decay beyond the grace, for the ``elapsed`` weeks since the period before: weeks without matches only
+    move the clock, so nothing decays for them.
+    """
+    now = F.lit(week)
+    rows = state.join(players.withColumn("plays", F.lit(True)), "pid", "full").withColumn("plays", F.coalesce("plays", F.lit(False)))
+    start = F.lit(0.0)
+    if seeds is not None:
+        rows = rows.join(seeds.select("pid", F.col("rating").alias("_seed")), "pid", "left")
+        start = F.coalesce((F.col("_seed") - e.rating) / SCALE, start)
+    absent = F.coalesce(weeks_between(F.col("seen"), now), F.lit(0))
+    anew = F.col("seen").isNull() | (F.col("plays") & (absent >= e.reseed_after) & F.lit(e.reseed_after > 0))
+    gap = F.when(anew, 0).otherwise(absent)
+    phi, sigma = F.when(anew, e.rd / SCALE).otherwise(F.col("phi")), F.when(anew, e.sigma).otherwise(F.col("sigma"))
+    grown = F.sqrt(phi * phi + gap * (sigma * sigma + e.drift * e.drift))
+    over = lambda weeks: F.greatest(F.lit(0), weeks - e.grace)
+    lost = e.decay / SCALE * (over(gap) - over(gap - elapsed)) if e.decay > 0 and elapsed > 0 else F.lit(0.0)
+    mu = F.when(anew, start).when(F.col("plays"), F.col("mu")).otherwise(F.col("mu") - lost)
+    return rows.select("pid", mu.alias("mu"), F.when(F.col("plays"), grown).otherwise(phi).alias("phi"), sigma.alias("sigma"), F.when(anew, now).otherwise(F.col("seen")).alias("seen"), "plays")
+
+
+def updated(start: DataFrame, matches: DataFrame, week: int, e: Engine) -> DataFrame:
+    """The state after the week's matches. All read the state before them; both sums are damped by the square root of the
+    number of games. Without information only the week in which a player was seen moves."""
+    theirs = start.select(F.col("pid").alias("opponent"), F.col("mu").alias("other_mu"), F.col("phi").alias("other_phi"))
+    rows = both_sides(matches, []).join(start.select("pid", "mu"), "pid").join(theirs, "opponent")
+    chance, weight = expected(F.col("mu"), F.col("other_mu"), F.col("other_phi")), g(F.col("other_phi"))
+    lead = SCALE * (F.col("other_mu") - F.col("mu"))
+    information = weight * weight * chance * (1 - chance)
+    if e.info_scale > 0:
+        information = information * _logistic(lead / e.info_scale)
+    surprise = weight * (F.col("score") - chance)
+    if e.upset_max > 0 and e.upset_k > 0:
+        x = e.upset_k * lead
+        quality = F.when(x < -35, 0.0).when(x > 35, e.upset_max).otherwise(e.upset_max / (1.0 + (e.upset_max - 1.0) * F.exp(-x)))
+        surprise = F.when(surprise > 0, surprise * quality).otherwise(surprise)
+    sums = rows.groupBy("pid").agg(F.count("*").alias("games"), F.sum(information).alias("i"), F.sum(surprise).alias("s"))
+    damp = F.sqrt(F.col("games").cast("double"))
+    both = start.join(sums, "pid", "left").withColumns({"i": F.col("i") / damp, "s": F.col("s") / damp})
+    moved = F.coalesce(F.col("i") > 0, F.lit(False))
+    both = both.withColumn("new", F.when(moved, F.least(F.lit(e.max_sigma), volatility(F.col("sigma"), F.col("phi"), 1 / F.col("i"), F.col("s") / F.col("i"), e.tau))))
+    phi = 1 / F.sqrt(1 / (F.col("phi") ** 2 + F.col("new") ** 2) + F.col("i"))
+    return both.select("pid", F.when(moved, F.col("mu") + phi * phi * F.col("s")).otherwise(F.col("mu")).alias("mu"), F.when(moved, phi).otherwise(F.col("phi")).alias("phi"), F.coalesce("new", "sigma").alias("sigma"), F.when(F.col("games").isNotNull(), week).otherwise(F.col("seen")).alias("seen"))
+
+
+def weekly_states(matches: DataFrame, engine: Engine = Engine(), calendar: list[int] | None = None, seeds: DataFrame | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """(week, pid, mu, phi, sigma, seen): the state of every known player after each week with matches.
+
+    ``calendar`` may have weeks without matches; by default it is that of the matches. ``initial`` is a state to go on from.
+    The matches are written once by week and every week's state is appended to a table, both in a new folder of the shared
+    checkpoint folder. So a week reads its own matches and one state, whatever the number of weeks, and a plan never grows.
+    """
+    spark, root = matches.sparkSession, f"{folder(matches.sparkSession)}/ratings-{uuid.uuid4().hex}"
+    own = matches.select("home_club_id", "away_club_id", "home_team_goals", "away_team_goals", F.col("yyyyww").alias("week")).where("week IS NOT NULL AND home_club_id IS NOT NULL AND away_club_id IS NOT NULL AND home_team_goals IS NOT NULL AND away_team_goals IS NOT NULL")
+    own.repartition("week").write.partitionBy("week").parquet(f"{root}/matches")
+    have = [r[0] for r in spark.read.parquet(f"{root}/matches").select("week").distinct().orderBy("week").collect()] if not own.limit(1).isEmpty() else []
+    schema = own.drop("week").schema
+    state, before = (initial if initial is not None else spark.createDataFrame([], STATE)).select("pid", "mu", "phi", "sigma", "seen"), None
+    number = lambda w: w // 100 * 53 + w % 100  # noqa: E731  only to see which weeks come first
+    for week in sorted(set(have) | set(calendar or ()), key=number):
+        if week in set(have):
+            played = spark.read.schema(schema).parquet(f"{root}/matches/week={week}")
+            players = played.select(F.explode(F.array("home_club_id", "away_club_id")).alias("pid")).distinct()
+            elapsed = elapsed_weeks(before, week) if before is not None else 0
+            after = updated(ready(state, players, week, elapsed, engine, seeds), played, week, engine)
+            after.write.parquet(f"{root}/states/week={week}")
+            state = spark.read.schema(STATE).parquet(f"{root}/states/week={week}")
+        before = week
+    if not have:
+        return spark.createDataFrame([], "week int, " + STATE)
+    return spark.read.schema(STATE + ", week int").parquet(f"{root}/states").select("week", "pid", "mu", "phi", "sigma", "seen")
+
+
+def elapsed_weeks(earlier: int, later: int) -> int:
+    """Whole weeks between two packed weeks, as `weeks_between` counts them."""
+    from datetime import date
+
+    return max(0, (date.fromisocalendar(later // 100, later % 100, 7) - date.fromisocalendar(earlier // 100, earlier % 100, 7)).days // 7)
+
+
+def ratings_of(states: DataFrame, engine: Engine = Engine()) -> DataFrame:
+    """(week, pid, rating, rd, sigma) of weekly states."""
+    return states.select("week", "pid", (engine.rating + SCALE * F.col("mu")).alias("rating"), (SCALE * F.col("phi")).alias("rd"), "sigma")
+
+
+def two_phases(matches: DataFrame, boundary: int, engine: Engine = Engine()) -> DataFrame:
+    """A warm-up before the packed week ``boundary``, and the weeks from it on: (week, ...) of the latter. The clock starts
+    anew with the second phase, which goes on from the last state of the first."""
+    warm = weekly_states(matches.where(F.col("yyyyww") < boundary), engine)
+    last = warm.join(F.broadcast(warm.agg(F.max("week").alias("week"))), "week").select("pid", "mu", "phi", "sigma", "seen")
+    return weekly_states(matches.where(F.col("yyyyww") >= boundary), engine, initial=last)
+
+
+def by_group(matches: DataFrame, group: str, run: Callable[[DataFrame], DataFrame], values: list) -> DataFrame:
+    """A run of its own for each of the given values of a column (a country, say), with the value as a column."""
+    parts = None
+    for v in values:
+        rows = run(matches.where(F.col(group) == F.lit(v))).withColumn(group, F.lit(v))
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts
+
+
+def match_changes(matches: DataFrame, weekly: DataFrame, places: int = 1) -> DataFrame:
+    """Ratings and deviations of both sides before and after each match's week, rounded, and how far the ratings moved.
+
+    ``weekly`` (week, pid, rating, rd) has whole states: before is the snapshot of the week before, 1500 and 350 where
+    there is none; after is that of the match's week, else as before.
+    """
+    spine = weekly.select("week").distinct()
+    before = spine.select(F.col("week").alias("yyyyww"), F.lag("week").over(Window.orderBy("week")).alias("_before"))  # one row a week
+    rows = matches.select("result_id", "yyyyww", "home_club_id", "away_club_id").join(F.broadcast(before), "yyyyww", "left")
+    for x in ("home", "away"):
+        for when, key in (("pre", "_before"), ("post", "yyyyww")):
+            own = weekly.select(F.col("week").alias(key), F.col("pid").alias(f"{x}_club_id"), F.col("rating").alias(f"_{x}_{when}"), F.col("rd").alias(f"_{x}_{when}_rd"))
+            rows = rows.join(own, [key, f"{x}_club_id"], "left")
+    out = ["result_id", "yyyyww"]
+    for x in ("home", "away"):
+        for part, default in (("", 1500.0), ("_rd", 350.0)):
+            pre = F.coalesce(f"_{x}_pre{part}", F.lit(default))
+            post = F.coalesce(F.col(f"_{x}_post{part}"), pre)
+            out += [F.round(pre, places).alias(f"{x}_pre{part}"), F.round(post, places).alias(f"{x}_post{part}")]
+            if not part:
+                out.append(F.round(post - pre, places).alias(f"{x}_change"))
+    return rows.select(*out)
+
+
+def field_strength(matches: DataFrame, states: DataFrame, rd: float = INIT_RD, spread: float = 50.0, top: int = 150, target: float = 1000.0) -> DataFrame:
+    """Per week and event: size, sum and mean of the ratings before the week, their decayed sum and that sum normalised.
+
+    ``matches`` has yyyyww, event_id and both sides; ``states`` has for each week the ratings (week, pid, rating, rd) that its
+    matches read. A part is the rating, less where the deviation is above ``rd``; parts decay with their rank. The norm
+    makes the ``top`` parts of all players of the week worth ``target``.
+    """
+    part = F.col("rating") * F.least(F.lit(1.0), rd / F.greatest(F.col("rd"), F.lit(1e-12)))
+    ranked = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("part"), "pid")) - 1
+    decayed = F.sum(F.col("part") * F.exp(-(F.col("rank") * F.col("rank")) / (2 * spread**2)))
+    known = states.select("week", "pid", "rating", part.alias("part"))
+    # Only the best of every slice can be among the best of a week, so no task sorts a whole week.
+    slices = known.withColumn("slice", F.pmod(F.xxhash64("pid"), F.lit(64)))
+    best = slices.withColumn("rank", ranked(["week", "slice"])).where(F.col("rank") < top)
+    norm = best.withColumn("rank", ranked(["week"])).where(F.col("rank") < top).groupBy("week").agg(F.when(decayed > 0, target / decayed).otherwise(1.0).alias("factor"))
+    field = matches.select(F.col("yyyyww").alias("week"), "event_id", F.explode(F.array("home_club_id", "away_club_id")).alias("pid")).distinct().join(known, ["week", "pid"])
+    fields = field.withColumn("rank", ranked(["week", "event_id"])).groupBy("week", "event_id").agg(F.count("*").alias("entities"), F.sum("rating").alias("total"), F.avg("rating").alias("mean"), decayed.alias("decayed"))
+    return fields.join(F.broadcast(norm), "week").select("week", "event_id", "entities", "total", "mean", "decayed", (F.col("decayed") * F.col("factor")).alias("normalised"))

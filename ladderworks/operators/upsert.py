@@ -31,15 +31,20 @@ def replace_slices(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def closed_map(pairs: DataFrame, rounds: int = 32) -> DataFrame:
-    """A remap (old, new) followed to its end; self maps are left out, a cycle ends at its smallest member seen."""
+def closed_map(pairs: DataFrame) -> DataFrame:
+    """A remap (old, new) followed to its end; self maps are left out. What runs into a cycle ends at its smallest member.
+
+    Steps double in every round, with the smallest member passed. Rounds go on until every path has ended, or has gone
+    more steps than there are pairs: those that haven't ended then are in a cycle, and have been all around it.
+    """
     from ladderworks.operators.keeping import kept
 
-    now = kept(pairs.where("old <> new").groupBy("old").agg(F.min("new").alias("new")))
-    for _ in range(rounds):
-        hop = now.select(F.col("old").alias("new"), F.col("new").alias("next"))
-        later = kept(now.join(hop, "new", "left").select("old", F.when(F.col("next") == F.col("old"), F.least("old", "new")).otherwise(F.coalesce("next", "new")).alias("new")))
-        if not later.join(now, ["old", "new"], "left_anti").limit(1).count():
+    step = kept(pairs.where("old <> new").groupBy("old").agg(F.min("new").alias("new")))
+    now, steps, size = step.select("old", "new", F.col("new").alias("low")), 1, step.count()
+    while True:
+        hop = now.select(F.col("old").alias("new"), F.col("new").alias("next"), F.col("low").alias("next_low"))
+        joined = kept(now.join(hop, "new", "left").select("old", "new", "low", "next", "next_low"))
+        if steps > size or joined.where("next IS NOT NULL").isEmpty():
             break
-        now = later
-    return now.where("old <> new")
+        now, steps = joined.select("old", F.coalesce("next", "new").alias("new"), F.least("low", "next_low").alias("low")), 2 * steps
+    return joined.select("old", F.coalesce("next_low", "new").alias("new")).where("old <> new")

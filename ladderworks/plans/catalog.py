@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ladderworks.functions import names, scoring, weeks
@@ -200,12 +200,31 @@ def rat_years(s, d):
 
 def rat_weeks(s, d):
     """The engine by its own period, the week: the state of every entity after each."""
-    return ratings.rate_periods(fixtures(s, d), "yyyyww")
+    return ratings.ratings_of(ratings.weekly_states(fixtures(s, d))).withColumnRenamed("week", "period")
+
+
+def rat_changes(s, d):
+    f = fixtures(s, d)
+    return ratings.match_changes(f, ratings.running_strength(f), 3)
 
 
 def rat_field(s, d):
+    """Strength of the field before each week: of the ratings (stand-in) that the matches of the week read."""
     f = fixtures(s, d)
-    return _rounded(ratings.field_strength(f, serving.latest(ratings.running_strength(f)).select("pid", "rating", "rd")), 4)
+    event = F.concat_ws("_", F.date_format("match_date", "yyyyMMdd"), "home_club_id", "away_club_id")
+    before = _known_before(ratings.running_strength(f))
+    return _rounded(ratings.field_strength(f.withColumn("event_id", event), before), 4)
+
+
+def _known_before(weekly):
+    """Every club's last rating before each week, for all weeks after its first: a row lasts until the club's next one."""
+    spine = weekly.select("week").distinct().withColumn("after", F.lag("week").over(Window.orderBy("week")))  # one row a week
+    until = F.lead("week").over(Window.partitionBy("pid").orderBy("week"))
+    held = weekly.select("pid", "rating", "rd", F.col("week").alias("since"), until.alias("until"))
+    stop = F.coalesce(F.col("until"), F.lit(999999))
+    calendar = spine.agg(F.array_sort(F.collect_list("week")).alias("weeks"))  # a calendar: a few thousand numbers
+    lasts = held.crossJoin(F.broadcast(calendar)).withColumn("week", F.explode(F.filter("weeks", lambda w: (w > F.col("since")) & (w <= stop))))
+    return lasts.select("week", "pid", "rating", "rd")
 
 
 def stm_weeks(s, d):
@@ -222,7 +241,7 @@ _NAMES: dict[str, Query] = {
     "FLT08_active_clubs": flt_active, "AGG06_pairs": agg_pairs, "J08_asof_ratings": asof_ratings, "J10_snapshot_before": snapshot_before, "AGG14_metrics": ev_metrics, "AGG16_calibration": ev_calibration, "AGG20_spearman": ev_spearman,
     "Q10_biggest_upsets": q_upsets, "Q08_club_matches": q_club_matches, "AGG21_presence": agg_presence, "AGG22_extremes": agg_extremes, "Q18_map_layer": q_map, "TS02_best_split": ts_split, "AGG25_trend": ts_trend,
     "DED01_keep_first": ded_first, "UPS_merge": ups_merge, "ER06_closure": er_closure, "GC03_weighted_fixtures": gc_fixtures, "GC15_adjusted": gc_adjust, "HD07_diffusion": hd_diffusion, "RAT11_period_sums": rat_sums, "RAT18_yearly_ratings": rat_years, "RAT18_weekly_ratings": rat_weeks,
-    "AGG26_field_strength": rat_field, "STM02_weekly_tallies": stm_weeks, "STM04_spells": stm_spells,
+    "RAT22_match_changes": rat_changes, "AGG26_field_strength": rat_field, "STM02_weekly_tallies": stm_weeks, "STM04_spells": stm_spells,
 }
 
 
@@ -251,7 +270,7 @@ p AS (SELECT f.*, h.pre_rating AS home_pre, a.pre_rating AS away_pre, 1 / (1 + p
     "e": """g0 AS (SELECT f.*, h.country_name AS hc, a.country_name AS ac, CASE WHEN contains(league_code, 'FRIENDLY') THEN 'friendly' WHEN league_code = 'UCL' THEN 'UCL' WHEN contains(league_code, 'CUP') THEN 'cup' ELSE 'domestic' END AS suffix FROM f LEFT JOIN c h ON h.club_id = home_club_id LEFT JOIN c a ON a.club_id = away_club_id),
 g1 AS (SELECT *, coalesce(hc, '') || '|' || suffix AS home_community, coalesce(ac, '') || '|' || suffix AS away_community, CASE WHEN suffix = 'friendly' THEN 0.05 ELSE 1.0 END::DOUBLE AS weight, coalesce(hc <> ac, false) OR suffix = 'UCL' AS hot FROM g0),
 e AS (SELECT match_date, weight, home_club_id AS pid, away_club_id AS opponent, home_community AS own, away_community AS other, hot FROM g1 UNION ALL SELECT match_date, weight, away_club_id, home_club_id, away_community, home_community, hot FROM g1),
-y AS (SELECT max(week) AS week FROM s GROUP BY week // 100),
+y AS (SELECT DISTINCT week FROM s),
 ends AS (SELECT week, date_trunc('week', make_date(week // 100, 1, 4))::DATE + ((week % 100 - 1) * 7 + 6)::INT AS stop FROM y),
 ew AS (SELECT week, e.* FROM e JOIN ends ON match_date <= stop AND match_date > stop - 728),
 sy AS (SELECT week, pid, rating, rd FROM s JOIN y USING (week))""",
@@ -268,7 +287,7 @@ def _r(*columns: str, n: int = 5) -> str:
 
 
 _DIFFUSE = ",\n".join(
-    f"x{k} AS (SELECT v.week, v.pid, v.seed, v.alone, greatest(0, least(1, 0.88::DOUBLE * coalesce(fl.flow, CASE WHEN v.alone THEN v.x ELSE 0 END) + (1 - 0.88::DOUBLE) * v.seed)) AS x FROM x{k - 1} v LEFT JOIN (SELECT a.week, gr.opponent AS pid, sum(a.x * gr.share) AS flow FROM x{k - 1} a JOIN gr USING (week, pid) GROUP BY ALL) fl USING (week, pid))"
+    f"x{k} AS MATERIALIZED (SELECT v.week, v.pid, v.seed, v.alone, greatest(0, least(1, 0.88::DOUBLE * coalesce(fl.flow, CASE WHEN v.alone THEN v.x ELSE 0 END) + (1 - 0.88::DOUBLE) * v.seed)) AS x FROM x{k - 1} v LEFT JOIN (SELECT a.week, gr.opponent AS pid, sum(a.x * gr.share) AS flow FROM x{k - 1} a JOIN gr USING (week, pid) GROUP BY ALL) fl USING (week, pid))"
     for k in range(1, 7)
 )
 
@@ -321,13 +340,23 @@ k AS (SELECT *, greatest(0.05, least(1, 0.62::DOUBLE * direct + (1 - 0.62::DOUBL
 t AS (SELECT *, sqrt(rd * rd + pow(45 * pow(1 - effective, 1.15::DOUBLE), 2)) AS total_rd, 0.85::DOUBLE * avg(rating) OVER (PARTITION BY week) + (1 - 0.85::DOUBLE) * avg(rating) OVER (PARTITION BY week, community) AS baseline FROM k),
 u AS (SELECT *, greatest(0.2, least(1, 0.2::DOUBLE + 0.8::DOUBLE * effective * vt / (1 + total_rd / 175))) AS trust FROM t)
 SELECT week, pid, community, opponents, {_r('volume', 'h_norm', 'direct', 'community_connectivity', 'effective', 'total_rd', 'trust', 'baseline')}, round(CASE WHEN rating <= baseline THEN rating ELSE u.baseline + u.trust * (rating - u.baseline) END, 5) AS adjusted FROM u"""),
-        "HD07_diffusion": _sql("fcbse", f""", g2 AS (SELECT week, pid, opponent, sum(weight) AS wt, sum(weight * CASE WHEN hot THEN 1 ELSE 0.12::DOUBLE END) AS heat FROM ew GROUP BY ALL),
-gr AS (SELECT *, wt / sum(wt) OVER (PARTITION BY week, pid) AS share FROM g2),
+        "HD07_diffusion": _sql("fcbse", f""", g2 AS MATERIALIZED (SELECT week, pid, opponent, sum(weight) AS wt, sum(weight * CASE WHEN hot THEN 1 ELSE 0.12::DOUBLE END) AS heat FROM ew GROUP BY ALL),
+gr AS MATERIALIZED (SELECT *, wt / sum(wt) OVER (PARTITION BY week, pid) AS share FROM g2),
 x0 AS (SELECT week, pid, coalesce(heat / (heat + 28), 0) AS seed, heat IS NULL AS alone, coalesce(heat / (heat + 28), 0) AS x FROM (SELECT week, pid FROM sy UNION SELECT week, pid FROM g2) LEFT JOIN (SELECT week, pid, sum(heat) AS heat FROM g2 GROUP BY ALL) USING (week, pid)),
 {_DIFFUSE}
 SELECT week, pid, round(seed, 7) AS seed, round(x, 7) AS comparability FROM x6"""),
         "RAT11_period_sums": _sql("fb", f"SELECT pid, count(*) AS games, round(sum({g} * {g} * 0.25), 5) AS information, round(sum({g} * (score - 0.5)), 5) AS surprise FROM bs GROUP BY pid"),
-        "AGG26_field_strength": _sql("fcbswl", ", k AS (SELECT DISTINCT yyyyww AS week, pid FROM b), o AS (SELECT k.week, rating, rd, row_number() OVER (PARTITION BY k.week ORDER BY rating DESC, pid) - 1 AS r FROM k JOIN l USING (pid)) SELECT week, count(*) AS entities, round(sum(rating), 4) AS total, round(avg(rating), 4) AS mean, round(sum(rating / (1 + rd / 350) * exp(-(r * r) / 5000)), 4) AS decayed FROM o GROUP BY ALL"),
+        "AGG26_field_strength": _sql("fbs", """, h AS (SELECT pid, rating, rd, week AS since, coalesce(lead(week) OVER (PARTITION BY pid ORDER BY week), 999999) AS stop FROM s),
+kn AS (SELECT k.week, pid, rating, rating * least(1, 250 / rd) AS part FROM (SELECT DISTINCT week FROM s) k JOIN h ON k.week > since AND k.week <= stop),
+kr AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY part DESC, pid) - 1 AS r FROM kn),
+nm AS (SELECT week, 1000 / sum(part * exp(-(r * r) / 5000.0::DOUBLE)) AS factor FROM kr WHERE r < 150 GROUP BY ALL),
+ev AS (SELECT DISTINCT yyyyww AS week, strftime(match_date, '%Y%m%d') || '_' || home_club_id || '_' || away_club_id AS event_id, unnest([home_club_id, away_club_id]) AS pid FROM f),
+er AS (SELECT ev.week, event_id, rating, part, row_number() OVER (PARTITION BY ev.week, event_id ORDER BY part DESC, pid) - 1 AS r FROM ev JOIN kn USING (week, pid))
+SELECT week, event_id, count(*) AS entities, round(sum(rating), 4) AS total, round(avg(rating), 4) AS mean, round(sum(part * exp(-(r * r) / 5000.0::DOUBLE)), 4) AS decayed, round(sum(part * exp(-(r * r) / 5000.0::DOUBLE)) * any_value(factor), 4) AS normalised FROM er JOIN nm USING (week) GROUP BY ALL"""),
+        "RAT22_match_changes": _sql("fbs", """, k AS (SELECT week, lag(week) OVER (ORDER BY week) AS before FROM (SELECT DISTINCT week FROM s)),
+m AS (SELECT result_id, yyyyww, coalesce(h0.rating, 1500) AS hp, coalesce(h1.rating, h0.rating, 1500) AS hq, coalesce(h0.rd, 350) AS hdp, coalesce(h1.rd, h0.rd, 350) AS hdq, coalesce(a0.rating, 1500) AS ap, coalesce(a1.rating, a0.rating, 1500) AS aq, coalesce(a0.rd, 350) AS adp, coalesce(a1.rd, a0.rd, 350) AS adq
+  FROM f LEFT JOIN k ON yyyyww = k.week LEFT JOIN s h0 ON h0.week = before AND h0.pid = home_club_id LEFT JOIN s a0 ON a0.week = before AND a0.pid = away_club_id LEFT JOIN s h1 ON h1.week = yyyyww AND h1.pid = home_club_id LEFT JOIN s a1 ON a1.week = yyyyww AND a1.pid = away_club_id)
+SELECT result_id, yyyyww, round(hp, 3) AS home_pre, round(hq, 3) AS home_post, round(hq - hp, 3) AS home_change, round(hdp, 3) AS home_pre_rd, round(hdq, 3) AS home_post_rd, round(ap, 3) AS away_pre, round(aq, 3) AS away_post, round(aq - ap, 3) AS away_change, round(adp, 3) AS away_pre_rd, round(adq, 3) AS away_post_rd FROM m"""),
         "STM02_weekly_tallies": "SELECT date_trunc('week', ts)::TIMESTAMP AS week_start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
         "STM04_spells": "WITH o AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR, true)::INT AS fresh FROM events), k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS spell FROM o) SELECT user_id AS entity, min(ts) AS started, max(ts) + INTERVAL 12 HOUR AS ended, count(*) AS n FROM k GROUP BY user_id, spell",
     }
