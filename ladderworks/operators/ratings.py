@@ -109,16 +109,20 @@ def _logistic(x: Column) -> Column:
     return F.when(x < -35, 0.0).when(x > 35, 1.0).otherwise(1.0 / (1.0 + F.exp(-x)))
 
 
-def ready(state: DataFrame, players: DataFrame, week: int, elapsed: int, e: Engine, seeds: DataFrame | None = None) -> DataFrame:
-    """The state (pid, mu, phi, sigma, seen) as the week's matches read it, with ``plays``.
+def ready(state: DataFrame, players: DataFrame, clock: DataFrame, e: Engine, seeds: DataFrame | None = None) -> DataFrame:
+    """The state (pid, mu, phi, sigma, seen) as the week's matches read it, with ``plays`` and the week as ``now``.
+
+    ``clock`` is one row (now, elapsed): as data, so that all weeks share one compiled plan.
 
     Unseen players start from their seed's rating (``seeds``: pid, rating), else from the initial one; players absent for
     ``reseed_after`` weeks start anew. Deviations of those about to play grow with the weeks since they were seen. Ratings
     of all others decay beyond the grace, for the ``elapsed`` weeks since the period before: weeks without matches only
     move the clock, so nothing decays for them.
     """
-    now = F.lit(week)
-    rows = state.join(players.withColumn("plays", F.lit(True)), "pid", "full").withColumn("plays", F.coalesce("plays", F.lit(False)))
+    playing = players.withColumn("plays", F.lit(True))
+    fresh = playing.join(state.select("pid"), "pid", "left_anti")
+    rows = state.join(playing, "pid", "left").withColumn("plays", F.coalesce("plays", F.lit(False))).unionByName(fresh, allowMissingColumns=True)
+    rows, now = rows.crossJoin(F.broadcast(clock)), F.col("now")
     start = F.lit(0.0)
     if seeds is not None:
         rows = rows.join(seeds.select("pid", F.col("rating").alias("_seed")), "pid", "left")
@@ -129,12 +133,12 @@ def ready(state: DataFrame, players: DataFrame, week: int, elapsed: int, e: Engi
     phi, sigma = F.when(anew, e.rd / SCALE).otherwise(F.col("phi")), F.when(anew, e.sigma).otherwise(F.col("sigma"))
     grown = F.sqrt(phi * phi + gap * (sigma * sigma + e.drift * e.drift))
     over = lambda weeks: F.greatest(F.lit(0), weeks - e.grace)
-    lost = e.decay / SCALE * (over(gap) - over(gap - elapsed)) if e.decay > 0 and elapsed > 0 else F.lit(0.0)
+    lost = e.decay / SCALE * (over(gap) - over(gap - F.col("elapsed"))) if e.decay > 0 else F.lit(0.0)
     mu = F.when(anew, start).when(F.col("plays"), F.col("mu")).otherwise(F.col("mu") - lost)
-    return rows.select("pid", mu.alias("mu"), F.when(F.col("plays"), grown).otherwise(phi).alias("phi"), sigma.alias("sigma"), F.when(anew, now).otherwise(F.col("seen")).alias("seen"), "plays")
+    return rows.select("pid", mu.alias("mu"), F.when(F.col("plays"), grown).otherwise(phi).alias("phi"), sigma.alias("sigma"), F.when(anew, now).otherwise(F.col("seen")).alias("seen"), "plays", "now")
 
 
-def updated(start: DataFrame, matches: DataFrame, week: int, e: Engine) -> DataFrame:
+def updated(start: DataFrame, matches: DataFrame, e: Engine) -> DataFrame:
     """The state after the week's matches. All read the state before them; both sums are damped by the square root of the
     number of games. Without information only the week in which a player was seen moves."""
     theirs = start.select(F.col("pid").alias("opponent"), F.col("mu").alias("other_mu"), F.col("phi").alias("other_phi"))
@@ -155,7 +159,7 @@ def updated(start: DataFrame, matches: DataFrame, week: int, e: Engine) -> DataF
     moved = F.coalesce(F.col("i") > 0, F.lit(False))
     both = both.withColumn("new", F.when(moved, F.least(F.lit(e.max_sigma), volatility(F.col("sigma"), F.col("phi"), 1 / F.col("i"), F.col("s") / F.col("i"), e.tau))))
     phi = 1 / F.sqrt(1 / (F.col("phi") ** 2 + F.col("new") ** 2) + F.col("i"))
-    return both.select("pid", F.when(moved, F.col("mu") + phi * phi * F.col("s")).otherwise(F.col("mu")).alias("mu"), F.when(moved, phi).otherwise(F.col("phi")).alias("phi"), F.coalesce("new", "sigma").alias("sigma"), F.when(F.col("games").isNotNull(), week).otherwise(F.col("seen")).alias("seen"))
+    return both.select("pid", F.when(moved, F.col("mu") + phi * phi * F.col("s")).otherwise(F.col("mu")).alias("mu"), F.when(moved, phi).otherwise(F.col("phi")).alias("phi"), F.coalesce("new", "sigma").alias("sigma"), F.when(F.col("games").isNotNull(), F.col("now")).otherwise(F.col("seen")).alias("seen"))
 
 
 def weekly_states(matches: DataFrame, engine: Engine = Engine(), calendar: list[int] | None = None, seeds: DataFrame | None = None, initial: DataFrame | None = None) -> DataFrame:
@@ -177,7 +181,8 @@ def weekly_states(matches: DataFrame, engine: Engine = Engine(), calendar: list[
             played = spark.read.schema(schema).parquet(f"{root}/matches/week={week}")
             players = played.select(F.explode(F.array("home_club_id", "away_club_id")).alias("pid")).distinct()
             elapsed = elapsed_weeks(before, week) if before is not None else 0
-            after = updated(ready(state, players, week, elapsed, engine, seeds), played, week, engine)
+            clock = spark.sql("SELECT :week AS now, :elapsed AS elapsed", args={"week": week, "elapsed": elapsed})
+            after = updated(ready(state, players, clock, engine, seeds), played, engine)
             after.write.parquet(f"{root}/states/week={week}")
             state = spark.read.schema(STATE).parquet(f"{root}/states/week={week}")
         before = week
