@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladderworks.llm.frames import packed, row_field, unpacked
+from ladderworks.llm.frames import packed, row_field, trimmed, unpacked
 
 WORD_END = "</w>"
 #: Unicode's White_Space, stated because regex libraries differ on the ASCII separators.
 _WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 #: What a worker holds at most: twice so many known pieces of text (of at most ``_PIECE`` characters each), pairs of tokens, states.
-_PIECES, _PIECE = 1 << 17, 64
-_PAIRS = 1 << 20
+_PIECES, _PIECE = 1 << 15, 64
+_PAIRS = 1 << 17
 _STATES = 1 << 17
 
 
@@ -66,7 +66,8 @@ class TokenAutomaton:
             if made not in self.born:
                 self.born[made], self.parts[made] = when, (a, b)
         self.end = len(merges)
-        self.table: dict[tuple[int, int], bool] = {}
+        self.width = max(vocab.values(), default=0) + 2
+        self.table: dict[int, bool] = {}
         self.live: dict[int, bool] = {}
         self._spell_out()
         self._restart()
@@ -107,7 +108,7 @@ class TokenAutomaton:
         return self.live[token]
 
     def follows(self, token: int, arc: int) -> bool:
-        key = (token, arc)
+        key = token * self.width + arc
         found = self.table.get(key)
         if found is None:
             if len(self.table) >= _PAIRS:
@@ -121,6 +122,7 @@ class TokenAutomaton:
         self.children: list[dict[int, int]] = [{}]
         self.inner: list[int | None] = [None]
         self.final: list[int | None] = [None]
+        self.size: dict[int, int] = {}
         for text, token in self.vocab.items():
             symbols = text.removesuffix(WORD_END)
             if not symbols or any(c not in values for c in symbols):
@@ -133,25 +135,30 @@ class TokenAutomaton:
                     self.inner.append(None)
                     self.final.append(None)
             (self.final if text.endswith(WORD_END) else self.inner)[node] = token
+            self.size[token] = len(symbols)
 
     def _restart(self) -> None:
         """The table of transitions with its start state alone: nothing is spelled but from the root, after no token."""
-        self.start = _State(self, ((0, -1, 0),), -1, 0)
-        self.states = {(self.start.spelled, -1, 0): self.start}
+        self.start = _State(self, (0,), -1)
+        self.states = {self.start.spelled: self.start}
 
-    def advance(self, state: _State, byte: int, tokens: list[int | None]) -> tuple[list[tuple[int, int, int]], int, int]:
-        """Arcs still being spelled after the byte as (node, token before, length), and the token that ends there with its length."""
-        left, token, size = [], -1, 0
-        for node, before, n in state.spelled:
+    def advance(self, state: _State, byte: int, tokens: list[int | None]) -> tuple[list[int], int]:
+        """The arcs still being spelled after the byte, and the token that ends there, or -1.
+
+        An arc is its node in the trie times ``width``, plus the token before it; that is counted from 1, and 0 is none.
+        """
+        left, token = [], -1
+        for arc in state.spelled:
+            node, before = divmod(arc, self.width)
             node = self.children[node].get(byte, -1)
             if node < 0:
                 continue
             if self.children[node]:
-                left.append((node, before, n + 1))
+                left.append(node * self.width + before)
             made = tokens[node]
-            if made is not None and token < 0 and (self.reached(made) if before < 0 else self.follows(before, made)):
-                token, size = made, n + 1
-        return left, token, size
+            if made is not None and token < 0 and (self.follows(before - 1, made) if before else self.reached(made)):
+                token = made
+        return left, token
 
     def encode(self, word: bytes) -> list[int]:
         """Tokens of one word; its last byte carries the word end."""
@@ -160,8 +167,8 @@ class TokenAutomaton:
         if len(self.states) >= _STATES:
             self._restart()
         path = list(accumulate(word[:-1], getitem, initial=self.start))
-        token, size = path[-1].end(word[-1])
-        out, at = [token], len(path) - size
+        token = path[-1].end(word[-1])
+        out, at = [token], len(path) - self.size[token]
         while at > 0:
             state = path[at]
             out.append(state.token)
@@ -175,36 +182,37 @@ class _State(dict):
 
     __slots__ = ("automaton", "ends", "size", "spelled", "token")
 
-    def __init__(self, automaton: TokenAutomaton, spelled: tuple[tuple[int, int, int], ...], token: int, size: int):
-        self.automaton, self.spelled, self.token, self.size = automaton, spelled, token, size
-        self.ends: dict[int, tuple[int, int]] | None = None
+    def __init__(self, automaton: TokenAutomaton, spelled: tuple[int, ...], token: int):
+        self.automaton, self.spelled, self.token, self.size = automaton, spelled, token, automaton.size.get(token, 0)
+        self.ends: dict[int, int] | None = None
 
     def __missing__(self, byte: int) -> _State:
         own = self.automaton
-        left, token, size = own.advance(self, byte, own.inner)
-        if token >= 0:
-            left.insert(0, (0, token, 0))
-        key = (tuple(left), token, size)
+        left, token = own.advance(self, byte, own.inner)
+        if token >= 0:  # the next token starts here, after this one
+            left.insert(0, token + 1)
+        key = tuple(left)
         to = own.states.get(key)
         if to is None:
-            to = own.states[key] = _State(own, *key)
+            to = own.states[key] = _State(own, key, token)
         self[byte] = to
         return to
 
-    def end(self, byte: int) -> tuple[int, int]:
-        """The token, and its length, that ends a word with the byte."""
+    def end(self, byte: int) -> int:
+        """The token that ends a word with the byte."""
         if self.ends is None:
             self.ends = {}
         found = self.ends.get(byte)
         if found is None:
-            found = self.ends[byte] = self.automaton.advance(self, byte, self.automaton.final)[1:]
+            found = self.ends[byte] = self.automaton.advance(self, byte, self.automaton.final)[1]
         return found
 
 
 class WordBpe:
     """A tokenizer file with word-end BPE: added tokens, normal form, word pattern, automaton."""
 
-    def __init__(self, source: bytes):
+    def __init__(self, source: bytes, labelled: bool = True):
+        self.labelled = labelled
         spec = json.loads(source)
         model = spec["model"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -225,7 +233,7 @@ class WordBpe:
         if found is None:
             encode = self.automaton.encode
             ids = [i for w in self.find(self.normal(text)) for i in encode(w.encode())]
-            found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+            found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids) if self.labelled else ""
         if len(text) <= _PIECE:
             if len(self.known) >= _PIECES:
                 self.older, self.known = self.known, {}
@@ -253,21 +261,30 @@ class WordBpe:
 _models: dict[str, WordBpe] = {}
 
 
-def _encode(batches: Iterator[pa.RecordBatch], held, name: str) -> Iterator[pa.RecordBatch]:
-    if name not in _models:
-        _models[name] = WordBpe(held.value)
-    model = _models[name]
+def _model(held, name: str, labelled: bool) -> WordBpe:
+    """One model at a time is held in a worker."""
+    key = f"{name} {labelled}"
+    if key not in _models:
+        _models.clear()
+        _models[key] = WordBpe(held.value, labelled)
+    return _models[key]
+
+
+def _encode(batches: Iterator[pa.RecordBatch], held, name: str, decode: bool) -> Iterator[pa.RecordBatch]:
+    trimmed()
+    model = _model(held, name, decode)
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             coded = [model.encode(t or "") for t in part.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"_row": part.column("_row"), "ids": pa.array([c[0] for c in coded], pa.binary()), "decoded": pa.array([c[1] for c in coded], pa.string())})
+            columns = {"_row": part.column("_row"), "ids": pa.array([c[0] for c in coded], pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns | ({"decoded": pa.array([c[1] for c in coded], pa.string())} if decode else {}))
 
 
-def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", decode: bool = True) -> DataFrame:
     """The documents without their text, and ``ids`` (little-endian unsigned 32-bit integers in one binary), ``n_tokens``
-    and ``decoded`` (what decoding the ids gives). No special tokens are added; those that stand in a text are encoded
-    as such. The tokenizer file (a few MB) is broadcast.
+    and, with ``decode``, ``decoded`` (what decoding the ids gives). No special tokens are added; those that stand in a text
+    are encoded as such. The tokenizer file (a few MB) is broadcast.
 
     * Null and empty texts have no ids; their decoded text is empty.
     * Whole texts are encoded, whatever their length; repeated rows each have their own result.
@@ -275,9 +292,10 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text") -> Da
     """
     with open(model_path, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = T.StructType([row_field(docs, text_col), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    coded = packed(docs, text_col).mapInArrow(lambda batches: _encode(batches, held, model_path), schema)
-    return unpacked(coded, docs, text_col, None, ids=F.col("ids"), n_tokens=(F.octet_length("ids") / 4).cast("long"), decoded=F.col("decoded"))
+    schema = T.StructType([row_field(docs, text_col), T.StructField("ids", T.BinaryType())] + ([T.StructField("decoded", T.StringType())] if decode else []))
+    coded = packed(docs, text_col).mapInArrow(lambda batches: _encode(batches, held, model_path, decode), schema)
+    new = {"ids": F.col("ids"), "n_tokens": (F.octet_length("ids") / 4).cast("long")}
+    return unpacked(coded, docs, text_col, None, **new | ({"decoded": F.col("decoded")} if decode else {}))
 
 
 def decode_ids(frame: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -287,9 +305,7 @@ def decode_ids(frame: DataFrame, model_path: str, ids_col: str = "ids") -> DataF
     schema = T.StructType([*(f for f in frame.schema.fields if f.name != "decoded"), T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        if model_path not in _models:
-            _models[model_path] = WordBpe(held.value)
-        model = _models[model_path]
+        model = _model(held, model_path, True)
         names = model.automaton.labels | {i: s for s, i in model.added.items()}
         for batch in batches:
             texts = [None if x is None else " ".join(names[i] for i in np.frombuffer(x, "<u4").tolist()) for x in batch.column(ids_col).to_pylist()]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladderworks.llm.frames import kept, packed, row_field, unpacked
+from ladderworks.llm.frames import kept, packed, row_field, trimmed, unpacked
 from ladderworks.llm.words import ALNUM, Words, covered, cut_words, pieces, spans, split_words
 
 BLOCK_BYTES = 16 << 20
@@ -266,6 +266,7 @@ def _scan(batches: Iterator[pa.RecordBatch], held, key: tuple[str, int], window:
     """Answers for a benchmark of one block."""
     for batch in batches:
         yield _answer(batch, lambda words, lo, hi: _found(words, _phrases(held, key, window)), cut)
+    trimmed()
 
 
 def _scan_block(batches: Iterator[pa.RecordBatch], held, key: tuple[str, int], window: int) -> Iterator[pa.RecordBatch]:

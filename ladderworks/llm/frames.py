@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Python workers live on from stage to stage, and Arrow's own allocator keeps what is freed: the system's gives it back.
+pa.set_memory_pool(pa.system_memory_pool())
+_LIBC = ctypes.CDLL(None)
+if hasattr(_LIBC, "mallopt"):
+    _LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, else it grows with the arrays that are freed
+
+
+def trimmed() -> None:
+    """Gives freed memory back to the system, where its C library can; called when a task or group is done."""
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
 
 def packed(docs: DataFrame, text_col: str, **columns: Column) -> DataFrame:
     """``_row`` holds all input columns but the text, which is ``_text``; the named columns stand beside them."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladderworks.llm.frames import packed, row_field, unpacked
+from ladderworks.llm.frames import packed, row_field, trimmed, unpacked
 from ladderworks.llm.sketches import Estimates, Layout, ddl, in_blocks, layout, sketch_answers
 from ladderworks.llm.words import SPACED, covered, cut_words, pieces, sequence_hashes, spans, split_words, window_starts
 
@@ -61,6 +61,7 @@ def _slice_bounds(prints: np.ndarray, sizes: Layout) -> np.ndarray:
 
 
 def _to_slices(block: int, left: pa.Table, answers: pa.Table, sizes: Layout, window: int) -> pa.Table:
+    trimmed()
     prints, counts, _, _ = _suspects(*_windows(_texts(left), window), answers, sizes)
     cuts = _slice_bounds(prints, sizes)
     rows = [(s, block, prints[lo:hi, 0].tobytes() + prints[lo:hi, 1].astype("<u4").tobytes(), np.packbits(counts[lo:hi] > 1).tobytes()) for s, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
@@ -90,6 +91,7 @@ def _grouped(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _cut(left: pa.Table, right: pa.Table, sizes: Layout, window: int) -> pa.Table:
+    trimmed()
     texts = _texts(left)
     from_sketch = pa.compute.greater_equal(right.column("_slice"), 0)
     one, two = _windows(texts, window)

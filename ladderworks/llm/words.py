@@ -15,7 +15,7 @@ from functools import cached_property
 
 import numpy as np
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -61,7 +61,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.ones(size, np.uint64)
         have[1:] = np.uint64(base)
         np.multiply.accumulate(have, out=have)
-        if size <= 4 << 20:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[:n]
 
