@@ -66,7 +66,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids. Rows without an id and repeated rows each have their own result.
     """
-    coded = encode_texts(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    coded = encode_texts(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), decode=False)
     return coded.select("doc_id", "n_tokens", "ids")
 
 
