@@ -9,22 +9,18 @@ from pyspark.sql import functions as F
 
 from ladderworks.functions import names, scoring, weeks
 from ladderworks.operators import connectivity, evaluate, ratings, upsert
-from ladderworks.plans import serving
+from ladderworks.plans import scalars, serving
+from ladderworks.plans.common import layer as _layer
+from ladderworks.plans.common import r as _r
+from ladderworks.plans.common import rounded as _rounded
+from ladderworks.plans.common import sql as _sql
+from ladderworks.plans.common import weekly as _weekly
 from ladderworks.sources.fixtures import clubs, fixtures, table
 from ladderworks.streaming import matches as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _weekly(spark: SparkSession, d: str) -> DataFrame:
-    return serving.named(ratings.running_strength(fixtures(spark, d)), clubs(spark, d))
-
-
-def _rounded(frame: DataFrame, places: int = 5) -> DataFrame:
-    """Doubles rounded, so that sums in another order agree."""
-    return frame.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes])
-
-
 def src_fixtures(s, d):
     return fixtures(s, d)
 
@@ -174,11 +170,6 @@ def gc_fixtures(s, d):
     return connectivity.weighted_fixtures(fixtures(s, d), clubs(s, d)).select("result_id", "home_community", "away_community", "weight", "continental")
 
 
-def _layer(s, d):
-    f = fixtures(s, d)
-    return ratings.running_strength(f).select("week", "pid", "rating", "rd"), connectivity.directed(connectivity.weighted_fixtures(f, clubs(s, d)))
-
-
 def gc_adjust(s, d):
     weekly, edges = _layer(s, d)
     return _rounded(connectivity.adjust(weekly, edges).select("week", "pid", "community", "volume", "opponents", "h_norm", "direct", "community_connectivity", "effective", "total_rd", "trust", "baseline", "adjusted"))
@@ -245,45 +236,11 @@ _NAMES: dict[str, Query] = {
 }
 
 
+_MORE = (scalars,)
+
+
 def queries() -> dict[str, Query]:
-    return dict(_NAMES)
-
-
-#: Chained common table expressions; each needs those that stand before it.
-_CTE = {
-    "f": """per AS (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
-sides AS (SELECT l_orderkey, min(l_suppkey) AS lo, max(l_suppkey) AS hi, arg_min(q, l_suppkey) AS q_lo, arg_max(q, l_suppkey) AS q_hi FROM per GROUP BY ALL HAVING count(*) > 1),
-f AS (SELECT o_orderkey AS result_id, o_orderdate::DATE AS match_date, CASE WHEN o_orderkey % 2 = 0 THEN lo ELSE hi END AS home_club_id, CASE WHEN o_orderkey % 2 = 0 THEN hi ELSE lo END AS away_club_id,
-  floor(CASE WHEN o_orderkey % 2 = 0 THEN q_lo ELSE q_hi END / 10)::INT AS home_team_goals, floor(CASE WHEN o_orderkey % 2 = 0 THEN q_hi ELSE q_lo END / 10)::INT AS away_team_goals,
-  (['UCL', 'FA_CUP', 'D3', 'D4', 'FRIENDLY_X'])[o_orderpriority[1]::INT] AS league_code, (isoyear(o_orderdate) * 100 + least(week(o_orderdate), 52))::INT AS yyyyww FROM orders JOIN sides ON o_orderkey = l_orderkey)""",
-    "c": "c AS (SELECT s_suppkey AS club_id, s_name AS club_name, n_name AS country_name, r_name AS continent FROM supplier LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON s_nationkey = n_nationkey)",
-    "b": """b AS (SELECT result_id, match_date, yyyyww, home_club_id AS pid, away_club_id AS opponent, home_team_goals AS goals, away_team_goals AS conceded, true AS at_home FROM f
-  UNION ALL SELECT result_id, match_date, yyyyww, away_club_id, home_club_id, away_team_goals, home_team_goals, false FROM f),
-bs AS (SELECT *, CASE WHEN goals > conceded THEN 1.0 WHEN goals < conceded THEN 0.0 ELSE 0.5 END::DOUBLE AS score FROM b)""",
-    "s": """s0 AS (SELECT yyyyww AS week, pid, sum(score) AS s, count(*) AS n FROM bs GROUP BY ALL),
-s1 AS (SELECT *, sum(s) OVER w AS ts, sum(n) OVER w AS tn FROM s0 WINDOW w AS (PARTITION BY pid ORDER BY week)),
-s AS (SELECT week, pid, 1500.0::DOUBLE + 400.0::DOUBLE * (ts / tn - 0.5::DOUBLE) AS rating, 350.0::DOUBLE / sqrt(1.0::DOUBLE + tn) AS rd FROM s1)""",
-    "w": "w AS (SELECT s.*, coalesce(club_name, 'Club_' || pid) AS club_name, country_name FROM s LEFT JOIN c ON pid = club_id)",
-    "l": "l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY pid ORDER BY week DESC) = 1)",
-    "p": """pr AS (SELECT bs.*, coalesce(s.rating, 1500.0) AS pre_rating, coalesce(s.rd, 350.0) AS pre_rd FROM bs ASOF LEFT JOIN s ON bs.pid = s.pid AND bs.yyyyww > s.week),
-p AS (SELECT f.*, h.pre_rating AS home_pre, a.pre_rating AS away_pre, 1 / (1 + pow(10.0::DOUBLE, -(h.pre_rating - a.pre_rating) / 400)) AS expected, h.score AS actual FROM f JOIN pr h ON f.result_id = h.result_id AND h.at_home JOIN pr a ON f.result_id = a.result_id AND NOT a.at_home)""",
-    "e": """g0 AS (SELECT f.*, h.country_name AS hc, a.country_name AS ac, CASE WHEN contains(league_code, 'FRIENDLY') THEN 'friendly' WHEN league_code = 'UCL' THEN 'UCL' WHEN contains(league_code, 'CUP') THEN 'cup' ELSE 'domestic' END AS suffix FROM f LEFT JOIN c h ON h.club_id = home_club_id LEFT JOIN c a ON a.club_id = away_club_id),
-g1 AS (SELECT *, coalesce(hc, '') || '|' || suffix AS home_community, coalesce(ac, '') || '|' || suffix AS away_community, CASE WHEN suffix = 'friendly' THEN 0.05 ELSE 1.0 END::DOUBLE AS weight, coalesce(hc <> ac, false) OR suffix = 'UCL' AS hot FROM g0),
-e AS (SELECT match_date, weight, home_club_id AS pid, away_club_id AS opponent, home_community AS own, away_community AS other, hot FROM g1 UNION ALL SELECT match_date, weight, away_club_id, home_club_id, away_community, home_community, hot FROM g1),
-y AS (SELECT DISTINCT week FROM s),
-ends AS (SELECT week, date_trunc('week', make_date(week // 100, 1, 4))::DATE + ((week % 100 - 1) * 7 + 6)::INT AS stop FROM y),
-ew AS (SELECT week, e.* FROM e JOIN ends ON match_date <= stop AND match_date > stop - 728),
-sy AS (SELECT week, pid, rating, rd FROM s JOIN y USING (week))""",
-}
-
-
-def _sql(parts: str, body: str) -> str:
-    """The query over the named expressions; a body that begins with a comma goes on with expressions of its own."""
-    return "WITH " + ",\n".join(_CTE[p] for p in parts) + ("" if body.startswith(",") else "\n") + body
-
-
-def _r(*columns: str, n: int = 5) -> str:
-    return ", ".join(f"round({c}, {n}) AS {c}" for c in columns)
+    return _NAMES | {k: q for module in _MORE for k, q in module.QUERIES.items()}
 
 
 _DIFFUSE = ",\n".join(
@@ -293,6 +250,10 @@ _DIFFUSE = ",\n".join(
 
 
 def oracle_sql() -> dict[str, str]:
+    return _oracles() | {k: q for module in _MORE for k, q in module.oracle_sql().items()}
+
+
+def _oracles() -> dict[str, str]:
     g = "(1 / sqrt(1 + 3 * pow(250 / 173.7178::DOUBLE, 2) / pow(pi(), 2)))"
     return {
         "SRC_fixtures": _sql("f", "SELECT * FROM f"),
@@ -327,19 +288,7 @@ def oracle_sql() -> dict[str, str]:
         "UPS_merge": _sql("f", ", t AS (SELECT match_date, home_club_id, away_club_id, home_team_goals + 1 AS home_team_goals, away_team_goals FROM f WHERE match_date >= DATE '1998-01-01' QUALIFY row_number() OVER (PARTITION BY match_date, home_club_id, away_club_id ORDER BY home_team_goals, away_team_goals) = 1) SELECT match_date, home_club_id, away_club_id, home_team_goals, away_team_goals FROM f WHERE match_date < DATE '1998-01-01' UNION ALL SELECT * FROM t"),
         "ER06_closure": "WITH RECURSIVE " + _sql("fb", ", m AS (SELECT pid AS old, max(opponent) AS new FROM b WHERE opponent < pid GROUP BY ALL), r AS (SELECT old, new FROM m UNION ALL SELECT r.old, m.new FROM r JOIN m ON r.new = m.old) SELECT old, min(new) AS new FROM r GROUP BY old")[5:],
         "GC03_weighted_fixtures": _sql("fcbse", "SELECT result_id, home_community, away_community, weight, suffix = 'UCL' AS continental FROM g1"),
-        "GC15_adjusted": _sql("fcbse", f""", m AS (SELECT week, pid, other, sum(weight) AS m FROM ew GROUP BY ALL),
-mp AS (SELECT *, m / sum(m) OVER (PARTITION BY week, pid) AS p FROM m),
-d0 AS (SELECT week, pid, sum(m) AS volume, CASE WHEN count(*) > 1 THEN -sum(p * ln(p + 1e-15)) / ln(count(*)) ELSE 0 END AS h_norm FROM mp GROUP BY ALL),
-d1 AS (SELECT d0.*, opponents, volume / (volume + 24) AS vt FROM d0 JOIN (SELECT week, pid, count(DISTINCT opponent) AS opponents FROM ew GROUP BY ALL) USING (week, pid)),
-cm AS (SELECT week, own, other, sum(weight) AS m FROM ew WHERE own <> other GROUP BY ALL),
-cp AS (SELECT *, m / sum(m) OVER (PARTITION BY week, own) AS p FROM cm),
-cc AS (SELECT week, own AS community, 0.05::DOUBLE + 0.95::DOUBLE * CASE WHEN count(*) > 1 THEN -sum(p * ln(p + 1e-15)) / ln(count(*)) ELSE 0 END * (sum(m) / (sum(m) + 24)) AS community_connectivity FROM cp GROUP BY ALL),
-pc AS (SELECT week, pid, own AS community FROM (SELECT week, pid, own, sum(weight) AS m FROM ew GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY week, pid ORDER BY round(m, 6) DESC, own) = 1),
-j AS (SELECT week, pid, rating, rd, coalesce(community, '') AS community, volume, opponents, h_norm, coalesce(vt, 0) AS vt, coalesce(0.05::DOUBLE + 0.95::DOUBLE * h_norm * vt, 0.05) AS direct, coalesce(community_connectivity, 0.05) AS community_connectivity FROM sy LEFT JOIN d1 USING (week, pid) LEFT JOIN pc USING (week, pid) LEFT JOIN cc USING (week, community)),
-k AS (SELECT *, greatest(0.05, least(1, 0.62::DOUBLE * direct + (1 - 0.62::DOUBLE) * community_connectivity)) AS effective FROM j),
-t AS (SELECT *, sqrt(rd * rd + pow(45 * pow(1 - effective, 1.15::DOUBLE), 2)) AS total_rd, 0.85::DOUBLE * avg(rating) OVER (PARTITION BY week) + (1 - 0.85::DOUBLE) * avg(rating) OVER (PARTITION BY week, community) AS baseline FROM k),
-u AS (SELECT *, greatest(0.2, least(1, 0.2::DOUBLE + 0.8::DOUBLE * effective * vt / (1 + total_rd / 175))) AS trust FROM t)
-SELECT week, pid, community, opponents, {_r('volume', 'h_norm', 'direct', 'community_connectivity', 'effective', 'total_rd', 'trust', 'baseline')}, round(CASE WHEN rating <= baseline THEN rating ELSE u.baseline + u.trust * (rating - u.baseline) END, 5) AS adjusted FROM u"""),
+        "GC15_adjusted": _sql("fcbseg", f"""SELECT week, pid, community, opponents, {_r('volume', 'h_norm', 'direct', 'community_connectivity', 'effective', 'total_rd', 'trust', 'baseline', 'adjusted')} FROM adj"""),
         "HD07_diffusion": _sql("fcbse", f""", g2 AS MATERIALIZED (SELECT week, pid, opponent, sum(weight) AS wt, sum(weight * CASE WHEN hot THEN 1 ELSE 0.12::DOUBLE END) AS heat FROM ew GROUP BY ALL),
 gr AS MATERIALIZED (SELECT *, wt / sum(wt) OVER (PARTITION BY week, pid) AS share FROM g2),
 x0 AS (SELECT week, pid, coalesce(heat / (heat + 28), 0) AS seed, heat IS NULL AS alone, coalesce(heat / (heat + 28), 0) AS x FROM (SELECT week, pid FROM sy UNION SELECT week, pid FROM g2) LEFT JOIN (SELECT week, pid, sum(heat) AS heat FROM g2 GROUP BY ALL) USING (week, pid)),
