@@ -49,7 +49,7 @@ def year_token(text: Column) -> Column:
 
 def season_meets_year(label: Column, year: Column) -> Column:
     """Whether a season's span holds the year; labels of an unknown shape do."""
-    parts = F.filter(F.transform(F.split(label, "/"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(label, "/"), lambda p: F.trim(p)), lambda p: p != "")
     a, b = year_token(F.get(parts, F.lit(0))), year_token(F.get(parts, F.lit(1)))
     span = year.between(F.least(a, b), F.greatest(a, b))
     single = F.when(F.length(F.trim(label)) == 4, F.abs(whole(F.trim(label)) - year) <= 1)

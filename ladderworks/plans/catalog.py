@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ladderworks.functions import names, scoring, weeks
 from ladderworks.operators import connectivity, evaluate, ratings, upsert
-from ladderworks.plans import scalars, serving
+from ladderworks.plans import scalars, serving, tables
 from ladderworks.plans.common import layer as _layer
 from ladderworks.plans.common import r as _r
 from ladderworks.plans.common import rounded as _rounded
@@ -236,7 +236,7 @@ _NAMES: dict[str, Query] = {
 }
 
 
-_MORE = (scalars,)
+_MORE = (scalars, tables)
 
 
 def queries() -> dict[str, Query]:
