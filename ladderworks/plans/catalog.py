@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ladderworks.functions import names, scoring, weeks
 from ladderworks.operators import connectivity, evaluate, ratings, upsert
-from ladderworks.plans import scalars, serving, tables
+from ladderworks.plans import history, scalars, serving, tables
 from ladderworks.plans.common import layer as _layer
 from ladderworks.plans.common import r as _r
 from ladderworks.plans.common import rounded as _rounded
@@ -236,19 +236,13 @@ _NAMES: dict[str, Query] = {
 }
 
 
-_MORE = (scalars, tables)
+_MORE = (scalars, tables, history)
 
 
 def queries() -> dict[str, Query]:
     return _NAMES | {k: q for module in _MORE for k, q in module.QUERIES.items()}
 
 
-_DIFFUSE = ",\n".join(
-    f"x{k} AS MATERIALIZED (SELECT v.week, v.pid, v.seed, v.alone, greatest(0, least(1, 0.88::DOUBLE * coalesce(fl.flow, CASE WHEN v.alone THEN v.x ELSE 0 END) + (1 - 0.88::DOUBLE) * v.seed)) AS x FROM x{k - 1} v LEFT JOIN (SELECT a.week, gr.opponent AS pid, sum(a.x * gr.share) AS flow FROM x{k - 1} a JOIN gr USING (week, pid) GROUP BY ALL) fl USING (week, pid))"
-    for k in range(1, 7)
-)
-
-
 def oracle_sql() -> dict[str, str]:
     return _oracles() | {k: q for module in _MORE for k, q in module.oracle_sql().items()}
 
@@ -289,11 +283,7 @@ def _oracles() -> dict[str, str]:
         "ER06_closure": "WITH RECURSIVE " + _sql("fb", ", m AS (SELECT pid AS old, max(opponent) AS new FROM b WHERE opponent < pid GROUP BY ALL), r AS (SELECT old, new FROM m UNION ALL SELECT r.old, m.new FROM r JOIN m ON r.new = m.old) SELECT old, min(new) AS new FROM r GROUP BY old")[5:],
         "GC03_weighted_fixtures": _sql("fcbse", "SELECT result_id, home_community, away_community, weight, suffix = 'UCL' AS continental FROM g1"),
         "GC15_adjusted": _sql("fcbseg", f"""SELECT week, pid, community, opponents, {_r('volume', 'h_norm', 'direct', 'community_connectivity', 'effective', 'total_rd', 'trust', 'baseline', 'adjusted')} FROM adj"""),
-        "HD07_diffusion": _sql("fcbse", f""", g2 AS MATERIALIZED (SELECT week, pid, opponent, sum(weight) AS wt, sum(weight * CASE WHEN hot THEN 1 ELSE 0.12::DOUBLE END) AS heat FROM ew GROUP BY ALL),
-gr AS MATERIALIZED (SELECT *, wt / sum(wt) OVER (PARTITION BY week, pid) AS share FROM g2),
-x0 AS (SELECT week, pid, coalesce(heat / (heat + 28), 0) AS seed, heat IS NULL AS alone, coalesce(heat / (heat + 28), 0) AS x FROM (SELECT week, pid FROM sy UNION SELECT week, pid FROM g2) LEFT JOIN (SELECT week, pid, sum(heat) AS heat FROM g2 GROUP BY ALL) USING (week, pid)),
-{_DIFFUSE}
-SELECT week, pid, round(seed, 7) AS seed, round(x, 7) AS comparability FROM x6"""),
+        "HD07_diffusion": _sql("fcbsed", """SELECT week, pid, round(seed, 7) AS seed, round(x, 7) AS comparability FROM x6"""),
         "RAT11_period_sums": _sql("fb", f"SELECT pid, count(*) AS games, round(sum({g} * {g} * 0.25), 5) AS information, round(sum({g} * (score - 0.5)), 5) AS surprise FROM bs GROUP BY pid"),
         "AGG26_field_strength": _sql("fbs", """, h AS (SELECT pid, rating, rd, week AS since, coalesce(lead(week) OVER (PARTITION BY pid ORDER BY week), 999999) AS stop FROM s),
 kn AS (SELECT k.week, pid, rating, rating * least(1, 250 / rd) AS part FROM (SELECT DISTINCT week FROM s) k JOIN h ON k.week > since AND k.week <= stop),

@@ -64,6 +64,14 @@ t AS (SELECT *, sqrt(rd * rd + pow(45 * pow(1 - effective, 1.15::DOUBLE), 2)) AS
 u AS (SELECT *, greatest(0.2, least(1, 0.2::DOUBLE + 0.8::DOUBLE * effective * vt / (1 + total_rd / 175))) AS trust FROM t),
 adj AS (SELECT *, CASE WHEN rating <= baseline THEN rating ELSE u.baseline + u.trust * (rating - u.baseline) END AS adjusted FROM u)""",
 }
+DIFFUSE = ",\n".join(
+    f"x{k} AS MATERIALIZED (SELECT v.week, v.pid, v.seed, v.alone, greatest(0, least(1, 0.88::DOUBLE * coalesce(fl.flow, CASE WHEN v.alone THEN v.x ELSE 0 END) + (1 - 0.88::DOUBLE) * v.seed)) AS x FROM x{k - 1} v LEFT JOIN (SELECT a.week, gr.opponent AS pid, sum(a.x * gr.share) AS flow FROM x{k - 1} a JOIN gr USING (week, pid) GROUP BY ALL) fl USING (week, pid))"
+    for k in range(1, 7)
+)
+CTE["d"] = """g2 AS MATERIALIZED (SELECT week, pid, opponent, sum(weight) AS wt, sum(weight * CASE WHEN hot THEN 1 ELSE 0.12::DOUBLE END) AS heat FROM ew GROUP BY ALL),
+gr AS MATERIALIZED (SELECT *, wt / sum(wt) OVER (PARTITION BY week, pid) AS share FROM g2),
+x0 AS (SELECT week, pid, coalesce(heat / (heat + 28), 0) AS seed, heat IS NULL AS alone, coalesce(heat / (heat + 28), 0) AS x FROM (SELECT week, pid FROM sy UNION SELECT week, pid FROM g2) LEFT JOIN (SELECT week, pid, sum(heat) AS heat FROM g2 GROUP BY ALL) USING (week, pid)),
+""" + DIFFUSE
 
 
 def sql(parts: str, body: str) -> str:
