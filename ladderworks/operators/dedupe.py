@@ -63,30 +63,30 @@ def smallest_ids(dim: DataFrame, key: Column, id_col: str, keep: dict[str, int]
     return rows.withColumn("id", F.coalesce(chosen.cast("bigint"), "id"))
 
 
-def numbered(rows: DataFrame, position: str, name: str, start: int = 1, width: int = 1 << 20) -> DataFrame:
+def numbered(rows: DataFrame, position: str, name: str, ties: tuple[str, ...] = (), start: int = 1, width: int = 1 << 20) -> DataFrame:
     """Rows numbered from ``start`` in the order of a whole number, without one task for all of them.
 
     Positions are cut into spans of ``width``; a span is numbered alone and begins after the rows of all spans before it. The
-    spans' sizes are one row for each ``width`` positions. Positions must be distinct.
+    spans' sizes are one row for each ``width`` positions. Equal positions are ordered by ``ties``.
     """
     span = F.floor(F.col(position) / width)
     rows = rows.withColumn("_span", span)
     before = F.sum("n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
     sizes = rows.groupBy("_span").agg(F.count("*").alias("n")).select("_span", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_span").orderBy(position))
+    own = F.row_number().over(Window.partitionBy("_span").orderBy(position, *ties))
     return rows.join(sizes, "_span").withColumn(name, own + F.col("_before") + (start - 1)).drop("_span", "_before")
 
 
 def first_seen(rows: DataFrame, value: str, position: str) -> DataFrame:
     """(value, first, key): distinct values numbered in the order in which they first stand."""
-    return numbered(rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(position).alias("first")), "first", "key")
+    return numbered(rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(position).alias("first")), "first", "key", (value,))
 
 
 def append_new(dim: DataFrame, incoming: DataFrame, key: str, id_col: str, position: str) -> DataFrame:
     """A dimension with the incoming keys it lacks, whose ids go on after its largest, in the order of ``position``."""
     fresh = new_rows(incoming.groupBy(key).agg(F.min(position).alias("_p")), dim, [key])
     top = F.broadcast(dim.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top")))  # one row
-    made = numbered(fresh, "_p", "_n").crossJoin(top).select(key, (F.col("_top") + F.col("_n")).alias(id_col))
+    made = numbered(fresh, "_p", "_n", (key,)).crossJoin(top).select(key, (F.col("_top") + F.col("_n")).alias(id_col))
     return dim.select(key, id_col).unionByName(made)
 
 

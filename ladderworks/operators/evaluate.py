@@ -33,14 +33,14 @@ def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
 def best_split(rows: DataFrame, series: str, order: str, value: str, least: int = 8) -> DataFrame:
     """Per series: where one split lowers the squared error most (first index of the right part), and by how much.
 
-    Series of fewer than twice ``least`` values have none. Prefix sums in one window."""
+    The left part has at least ``least`` values, the right part more; shorter series have none. Prefix sums in one window."""
     w = Window.partitionBy(series).orderBy(order)
     whole = Window.partitionBy(series)
     v = F.col(value)
     rows = rows.select(series, (F.row_number().over(w)).alias("i"), F.count("*").over(whole).alias("n"), F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.sum(v * v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("q"), F.sum(v).over(whole).alias("all_s"), F.sum(v * v).over(whole).alias("all_q"))
     left = F.col("q") - F.col("s") ** 2 / F.col("i")
     right = (F.col("all_q") - F.col("q")) - (F.col("all_s") - F.col("s")) ** 2 / (F.col("n") - F.col("i"))
-    cut = rows.where((F.col("i") >= least) & (F.col("n") - F.col("i") >= least)).withColumns({"cost": left + right, "total": F.col("all_q") - F.col("all_s") ** 2 / F.col("n")})
+    cut = rows.where((F.col("i") >= least) & (F.col("n") - F.col("i") > least)).withColumns({"cost": left + right, "total": F.col("all_q") - F.col("all_s") ** 2 / F.col("n")})
     best = F.row_number().over(Window.partitionBy(series).orderBy(F.round("cost", 6), "i"))
     return cut.withColumn("_r", best).where("_r = 1").select(series, "n", F.col("i").alias("split"), (F.col("total") - F.col("cost")).alias("gain"))
 

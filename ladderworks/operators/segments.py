@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def segments(rows: DataFrame, series: str, order: str, value: str, splits: int = 4, least: int = 8, shortest: int = 36) -> DataFrame:
     """(series, segment, start, end, n, mean): greedy binary cuts, each where it lowers the squared error most.
 
-    A cut needs a gain of 1.5 % of the series' squared error and of six variances; a part has at least ``least`` values.
+    A cut needs a gain of 1.5 % of the series' squared error and of six variances; a left part has at least ``least`` values,
+    a right part more.
     Series below ``shortest`` values have no segments. Of equal gains the first place counts. A round is a pass of windows
     over rows that stay partitioned by series, so there is one shuffle for all rounds.
     """
@@ -29,7 +30,7 @@ def segments(rows: DataFrame, series: str, order: str, value: str, splits: int =
         cut = rows.withColumns({"_l": left, "_ln": left_n, "_t": total, "_size": size})
         right_n = F.col("_size") - F.col("_ln")
         gain = F.col("_l") ** 2 / F.col("_ln") + (F.col("_t") - F.col("_l")) ** 2 / right_n - F.col("_t") ** 2 / F.col("_size")
-        fits = (F.col("_ln") >= least) & (right_n >= least)
+        fits = (F.col("_ln") >= least) & (right_n > least)
         cut = cut.withColumn("_c", F.when(fits, F.struct(F.round(gain, 6).alias("gain"), (-F.col("seg")).alias("seg"), (-F.col("i")).alias("i"))))
         cut = cut.withColumn("_b", F.max("_c").over(whole))
         moved = (F.col("_b.gain") >= F.col("needed")) & (F.col("seg") == -F.col("_b.seg")) & (F.col("i") >= -F.col("_b.i"))

@@ -276,7 +276,7 @@ def _oracles() -> dict[str, str]:
         "AGG21_presence": _sql("fcbsw", ", o AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY rating DESC, pid) AS place FROM w), k AS (SELECT country_name, week, count(*) FILTER (WHERE place <= 10) AS held FROM o GROUP BY ALL), z AS (SELECT country_name, week, coalesce(held, 0) AS held FROM (SELECT DISTINCT week FROM w) CROSS JOIN (SELECT DISTINCT country_name FROM w) LEFT JOIN k USING (country_name, week)) SELECT country_name, round(avg(held), 5) AS mean_held, arg_max(held, week) AS latest_held, max(held) AS most_held, round(avg((held > 0)::INT), 5) AS share_of_weeks FROM z GROUP BY ALL"),
         "AGG22_extremes": _sql("fcbsw", ", o AS (SELECT *, coalesce(rating - lag(rating) OVER (PARTITION BY pid ORDER BY week), 0) AS change, row_number() OVER (PARTITION BY week, country_name ORDER BY rating DESC, pid) AS place FROM w) SELECT country_name, pid, round(max(rating), 5) AS peak, round(avg(rating), 5) AS mean_rating, round(max(change), 5) AS best_rise, count(*) FILTER (WHERE place = 1) AS weeks_first FROM o GROUP BY ALL"),
         "Q18_map_layer": _sql("fcbswl", ", k AS (SELECT country_name, max(rating) AS heat FROM l GROUP BY ALL) SELECT country_name, round(heat, 5) AS heat, round(CASE WHEN max(heat) OVER () > min(heat) OVER () THEN 12 + 16 * (heat - min(heat) OVER ()) / (max(heat) OVER () - min(heat) OVER ()) ELSE 16 END, 5) AS marker FROM k"),
-        "TS02_best_split": _sql("fbs", ", k AS (SELECT pid, row_number() OVER o AS i, count(*) OVER q AS n, sum(v) OVER o AS a, sum(v * v) OVER o AS b, sum(v) OVER q AS ta, sum(v * v) OVER q AS tb FROM (SELECT pid, week, round(rating, 6) AS v FROM s) WINDOW o AS (PARTITION BY pid ORDER BY week), q AS (PARTITION BY pid)), z AS (SELECT *, b - a * a / i + (tb - b) - (ta - a) * (ta - a) / (n - i) AS cost FROM k WHERE i >= 8 AND n - i >= 8) SELECT pid, n, i AS split, round(tb - ta * ta / n - cost, 3) AS gain FROM z QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(cost, 6), i) = 1"),
+        "TS02_best_split": _sql("fbs", ", k AS (SELECT pid, row_number() OVER o AS i, count(*) OVER q AS n, sum(v) OVER o AS a, sum(v * v) OVER o AS b, sum(v) OVER q AS ta, sum(v * v) OVER q AS tb FROM (SELECT pid, week, round(rating, 6) AS v FROM s) WINDOW o AS (PARTITION BY pid ORDER BY week), q AS (PARTITION BY pid)), z AS (SELECT *, b - a * a / i + (tb - b) - (ta - a) * (ta - a) / (n - i) AS cost FROM k WHERE i >= 8 AND n - i > 8) SELECT pid, n, i AS split, round(tb - ta * ta / n - cost, 3) AS gain FROM z QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(cost, 6), i) = 1"),
         "AGG25_trend": _sql("fbs", ", k AS (SELECT pid, row_number() OVER o - 1 AS i, rating AS v, rating - lag(rating) OVER o AS step FROM s WINDOW o AS (PARTITION BY pid ORDER BY week)) SELECT pid, count(*) AS n, round(regr_slope(v, i) * 52, 5) AS slope, round(stddev_pop(step), 5) AS volatility FROM k GROUP BY ALL"),
         "DED01_keep_first": _sql("f", "SELECT result_id, match_date, home_club_id FROM f QUALIFY row_number() OVER (PARTITION BY match_date, home_club_id ORDER BY home_team_goals DESC, result_id) = 1"),
         "UPS_merge": _sql("f", ", t AS (SELECT match_date, home_club_id, away_club_id, home_team_goals + 1 AS home_team_goals, away_team_goals FROM f WHERE match_date >= DATE '1998-01-01' QUALIFY row_number() OVER (PARTITION BY match_date, home_club_id, away_club_id ORDER BY home_team_goals, away_team_goals) = 1) SELECT match_date, home_club_id, away_club_id, home_team_goals, away_team_goals FROM f WHERE match_date < DATE '1998-01-01' UNION ALL SELECT * FROM t"),

@@ -11,7 +11,7 @@ from ladderworks.operators import connectivity, evaluate, ratings
 from ladderworks.operators.asof import asof_before, snapshot
 from ladderworks.operators.segments import segments, typical_step
 from ladderworks.plans import serving
-from ladderworks.plans.common import layer, r, rounded, sql, weekly
+from ladderworks.plans.common import layer, rounded, sql, weekly
 from ladderworks.sources.fixtures import clubs, fixtures
 
 #: Weights of the deviation and of missing connectivity in the power score.
@@ -227,12 +227,24 @@ def grid(s, d, widths=(200.0, 300.0, 400.0, 500.0, 600.0)):
 
 
 def head_to_head(s, d):
-    """Two predictors by code: ratings before the match as they are, and halved towards 1500; the better by absolute error."""
+    """Ratings before the match against adjusted ones, over all matches and the continental ones; the better by absolute error.
+
+    A side without an adjusted rating before the match has its raw one.
+    """
+    w, edges = layer(s, d)
+    adjusted = connectivity.adjust(w, edges).select("pid", "week", "adjusted")
     p = _scored(s, d)
-    other = elo_expected((F.col("home_pre") - F.col("away_pre")) / 2)
-    error = lambda e: F.round(F.avg(F.abs(e - F.col("actual"))), 7)
-    t = p.groupBy("league_code").agg(F.count("*").alias("n"), error(F.col("expected")).alias("raw_mae"), error(other).alias("halved_mae"))
-    return t.withColumn("better", F.when(F.col("halved_mae") < F.col("raw_mae"), "halved").otherwise("raw"))
+    side = lambda x: F.struct(F.lit(x).alias("side"), F.col(f"{x}_club_id").alias("pid"), F.col(f"{x}_pre").alias("pre"))
+    sides = p.select("result_id", "yyyyww", F.inline(F.array(side("home"), side("away"))))
+    known = asof_before(sides, adjusted, "pid", "yyyyww", "week", ["adjusted"])
+    value = F.coalesce("adjusted", "pre")
+    gap = known.groupBy("result_id").agg(F.sum(F.when(F.col("side") == "home", value).otherwise(-value)).alias("gap"))
+    rows = p.join(gap, "result_id").withColumn("other", elo_expected(F.col("gap")))
+    rows = rows.withColumn("scope", F.explode(F.when(F.col("league_code") == "UCL", F.array(F.lit("all"), F.lit("continental"))).otherwise(F.array(F.lit("all")))))
+    error = lambda e, f: F.round(f(F.col(e) - F.col("actual")), 6)
+    mae, rmse = lambda x: F.avg(F.abs(x)), lambda x: F.sqrt(F.avg(x * x))
+    t = rows.groupBy("scope").agg(F.count("*").alias("n"), error("expected", mae).alias("raw_mae"), error("other", mae).alias("adjusted_mae"), error("expected", rmse).alias("raw_rmse"), error("other", rmse).alias("adjusted_rmse"))
+    return t.withColumn("better", F.when(F.col("adjusted_mae") < F.col("raw_mae"), "adjusted").otherwise("raw"))
 
 
 def calibration_report(s, d):
@@ -319,11 +331,15 @@ def oracle_sql() -> dict[str, str]:
         "HD10_anchored": sql("fcbsed", f", nw AS (SELECT s.pid, s.rating, x, country_name FROM s JOIN x6 USING (week, pid) LEFT JOIN c ON club_id = s.pid WHERE week = (SELECT max(week) FROM s)), aw AS (SELECT *, avg(rating) OVER () AS all_mean, avg(rating) OVER (PARTITION BY country_name) AS own_mean FROM nw) SELECT pid, round(all_mean, 5) AS all_mean, round(own_mean, 5) AS own_mean, round({low.format('aw.all_mean')}, 5) AS by_all, round({low.format('aw.own_mean')}, 5) AS by_own FROM aw"),
         "EV03_rolling": sql("fbsp", ", v AS (SELECT yyyyww, row_number() OVER (ORDER BY yyyyww) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT yyyyww FROM p)), t AS (SELECT p.*, share, i, n FROM p JOIN v USING (yyyyww) CROSS JOIN (SELECT unnest([0.5, 0.6, 0.7, 0.8])::DOUBLE AS share)) SELECT share, count(DISTINCT yyyyww) AS test_weeks, count(*) AS n, round(avg(-(actual * ln(expected) + (1 - actual) * ln(1 - expected))), 5) AS log_loss, round(avg(pow(expected - actual, 2)), 5) AS brier, round(avg(CASE WHEN actual <> 0.5 THEN ((expected >= 0.5) = (actual = 1))::INT END), 5) AS accuracy FROM t WHERE i >= greatest(1, least(t.n - 1, floor(t.n * share))) GROUP BY share"),
         "EV04_grid": sql("fbsp", ", v AS (SELECT width, actual, 1 / (1 + pow(10.0::DOUBLE, -(home_pre - away_pre) / width)) AS e FROM p CROSS JOIN (SELECT unnest([200, 300, 400, 500, 600])::DOUBLE AS width)), t AS (SELECT width, count(*) AS n, round(avg(-(actual * ln(e) + (1 - actual) * ln(1 - e))), 7) AS log_loss FROM v GROUP BY width) SELECT *, row_number() OVER (ORDER BY log_loss, width) = 1 AS is_best FROM t"),
-        "EV12_head_to_head": sql("fbsp", ", t AS (SELECT league_code, count(*) AS n, round(avg(abs(expected - actual)), 7) AS raw_mae, round(avg(abs(1 / (1 + pow(10.0::DOUBLE, -(home_pre - away_pre) / 800)) - actual)), 7) AS halved_mae FROM p GROUP BY ALL) SELECT *, CASE WHEN halved_mae < raw_mae THEN 'halved' ELSE 'raw' END AS better FROM t"),
+        "EV12_head_to_head": sql("fcbsepg", """, sd AS (SELECT result_id, yyyyww, home_club_id AS pid, home_pre AS pre, 1 AS sign FROM p UNION ALL SELECT result_id, yyyyww, away_club_id, away_pre, -1 FROM p),
+av AS (SELECT result_id, sum(sign * coalesce(adjusted, pre)) AS gap FROM sd ASOF LEFT JOIN adj ON sd.pid = adj.pid AND sd.yyyyww > adj.week GROUP BY ALL),
+hh AS (SELECT p.*, 1 / (1 + pow(10.0::DOUBLE, -gap / 400)) AS other, unnest(CASE WHEN league_code = 'UCL' THEN ['all', 'continental'] ELSE ['all'] END) AS scope FROM p JOIN av USING (result_id)),
+hs AS (SELECT scope, count(*) AS n, round(avg(abs(expected - actual)), 6) AS raw_mae, round(avg(abs(other - actual)), 6) AS adjusted_mae, round(sqrt(avg(pow(expected - actual, 2))), 6) AS raw_rmse, round(sqrt(avg(pow(other - actual, 2))), 6) AS adjusted_rmse FROM hh GROUP BY scope)
+SELECT *, CASE WHEN adjusted_mae < raw_mae THEN 'adjusted' ELSE 'raw' END AS better FROM hs"""),
         "EV11_calibration_report": sql("fbsp", ", v AS (SELECT round(floor(round(expected, 9) / 0.05::DOUBLE) * 0.05::DOUBLE, 6) AS bin, count(*) AS n, avg(actual) - avg(round(expected, 9)) AS gap FROM p GROUP BY 1) SELECT sum(n)::BIGINT AS n, count(*) AS bins, round(sum(abs(gap) * n) / sum(n), 5) AS calibration_error, round(max(abs(gap)), 5) AS widest_gap, count(*) FILTER (n < 30) AS small_bins FROM v"),
         "Q02_teams": sql("fcbsw", "SELECT DISTINCT lower(country_name) AS country, pid, club_name FROM w"),
         "Q05_timeseries": sql("fbs", "SELECT pid, week, (date_trunc('week', make_date(week // 100, 1, 4))::DATE + ((week % 100 - 1) * 7)::INT)::DATE AS monday, round(rating, 1) AS rating, round(coalesce(rating - lag(rating) OVER (PARTITION BY pid ORDER BY week), 0), 1) AS change FROM s"),
         "Q09_identity": sql("fcbsw", "SELECT pid, club_name, country_name, min(week) AS first_week, max(week) AS last_week, count(*) AS weeks FROM w GROUP BY ALL"),
         "Q15_search": sql("fcbswl", ", v AS (SELECT pid, club_name, country_name, round(rating, 5) AS rating FROM l), z AS (SELECT *, row_number() OVER (ORDER BY rating DESC, pid) AS place FROM v) SELECT * FROM z WHERE contains(lower(club_name), '0007') AND lower(country_name) = 'nation_7'"),
-        "Q17_rated_countries": sql("fcbsw", f"SELECT country_name, round(max(rating), 5) AS peak, round(avg(rating), 5) AS mean, count(DISTINCT pid) AS clubs, count(DISTINCT week) AS weeks FROM w GROUP BY ALL"),
+        "Q17_rated_countries": sql("fcbsw", "SELECT country_name, round(max(rating), 5) AS peak, round(avg(rating), 5) AS mean, count(DISTINCT pid) AS clubs, count(DISTINCT week) AS weeks FROM w GROUP BY ALL"),
     }
