@@ -12,12 +12,15 @@ from ladderworks.llm.bpe_automaton import encode_texts
 from ladderworks.llm.decontaminate import decontaminate
 from ladderworks.llm.license_scan import scan_licenses
 from ladderworks.llm.ngram_join import near_duplicates
+from ladderworks.llm.packing import pack_documents
 from ladderworks.llm.quality_rules import STOP_WORDS, measure
 from ladderworks.llm.site_style_tree import extract_main_text
+from ladderworks.llm.spelling_variants import spelling_variants, word_counts
 from ladderworks.llm.substring_dedup import remove_repeated_passages
 from ladderworks.llm.token_counts import count_tokens
 from ladderworks.llm.toxicity import score, train
 from ladderworks.llm.warc import NOT_MODIFIED, resolve_revisits
+from ladderworks.llm.whitening import whiten
 
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -110,8 +113,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_length=7, min_count=2, slip_every=31)
+    return spelling_variants(words, ratio=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=16)
+
+
+def op13_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_ngram_join, op3_token_counts, op4_warc_revisits, op5_toxicity_chain, op6_site_style_tree, op7_bpe_automaton, op8_license_scan, op9_fm_decontaminate, op10_substring_dedup)
+    own = (op1_quality_rules, op2_ngram_join, op3_token_counts, op4_warc_revisits, op5_toxicity_chain, op6_site_style_tree, op7_bpe_automaton, op8_license_scan, op9_fm_decontaminate, op10_substring_dedup, op11_spelling_variants, op12_whitening, op13_best_two_fit)
     return {f.__name__: f for f in own}
 
 
