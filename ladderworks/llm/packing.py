@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from ladderworks.llm.frames import kept, packed, row_field, trimmed, unpacked
 
 #: A worker knows twice so many words at most, each of so many bytes at most; those not met for long make way.
-_WORDS, _WORD = 1 << 19, 32
+_WORDS, _WORD = 1 << 20, 24
 
 
 @dataclass
@@ -120,6 +122,13 @@ def best_two_fit(counts: dict[int, int], max_tokens: int) -> Plan:
     return Plan(np.searchsorted(columns[0], np.arange(max_tokens + 2)), *columns[1:], made)
 
 
+#: Fixed value: the pattern of tokenizer files whose words can be taken one by one. It keeps no white space, and puts neither
+#: letters nor signs beside others into one piece.
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters, each of them one code point in both cases, and after them signs that neither begin a clitic nor an added token.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?()]*)").fullmatch
+
+
 class _Words:
     """Token ids of texts from those of their words, where the tokenizer file lets no token reach over white space."""
 
@@ -131,34 +140,68 @@ class _Words:
         self.library.no_truncation()
         self.library.no_padding()
         spec = json.loads(source)
-        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        blank = [s for s in steps if s["type"] == "Split" and s.get("invert") and s.get("behavior") == "Removed"]
-        spaces = any(n.get("type") == "Replace" and n.get("pattern") == {"Regex": "\\s+"} for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        steps = [(n["type"], n.get("pattern")) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = [(p["type"], p.get("pattern"), p.get("behavior")) for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         apart = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
-        # White space is dropped between words, and no pattern that is kept has any: then words can be taken one by one.
-        self.by_word = bool(blank) and spaces and apart and all("\\s" not in s["pattern"]["Regex"].replace("[^\\s", "[^") for s in blank)
+        self.by_word = apart and steps == [("NFC", None), ("Replace", {"Regex": "\\s+"}), ("Lowercase", None)] and split[:1] == [("Split", {"Regex": _PATTERN}, "Removed")]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def _coded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, in one text: each is one piece, so the pieces' numbers part the ids."""
+        if not words:
+            return []
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
+        ids, piece = np.array(found.ids, "<u4"), np.array(found.word_ids)
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(ids)]
+        raw = ids.tobytes()
+        return [raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not known: those of letters with signs after them come from the letters in lower case and the signs."""
+        known, older = self.known.get, self.older.get
+        parts, have, letters, others = {}, {"": b""}, set(), []
+        for w in words:
+            m = _PLAIN(w.decode())
+            if m:
+                parts[w] = own = m[1].lower(), m[2]
+                letters.add(own[0])
+                if own[1] not in have:
+                    have[own[1]] = self._coded([own[1]])[0]
+            else:
+                others.append(w)
+        for x in letters:
+            have[x] = known(x.encode()) or older(x.encode())
+        lacking = [x for x in letters if have[x] is None]
+        have |= zip(lacking, self._letters(lacking), strict=True)
+        out = {w: have[x] + have[y] for w, (x, y) in parts.items()}
+        return out | dict(zip(others, self._coded([w.decode() for w in others]), strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._coded([t.decode() for t in texts])
         split = [t.split() for t in texts]  # at 09-0D and 20, which are white space to every library
-        found = [list(map(self.known.get, words)) for words in split]
-        gaps = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        fresh = {w: self.older[w] for w in gaps if w in self.older}
-        new = [w for w in gaps if w not in fresh]
-        fresh |= zip(new, self._coded([w.decode() for w in new]), strict=True)
-        for w, ids in fresh.items():
-            if len(w) <= _WORD:
-                self.known[w] = ids
+        here = dict.fromkeys(chain.from_iterable(split))  # a small table of these texts' words, for many look-ups
+        unknown = set()
+        for w in here:
+            found = here[w] = self.known.get(w)
+            if found is None:
+                found = here[w] = self.older.get(w)
+                if found is None:
+                    unknown.add(w)
+                elif len(w) <= _WORD:
+                    self.known[w] = found
+        fresh = self._new(unknown)
+        for w in unknown:
+            here[w] = fresh[w]
+        self.known |= {w: ids for w, ids in fresh.items() if len(w) <= _WORD}
         if len(self.known) >= _WORDS:
             self.older, self.known = self.known, {}
-        return [b"".join([fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, found, strict=True)]
+        return [b"".join(map(here.__getitem__, words)) for words in split]
 
 
 _tokenizers: dict[str, _Words] = {}
@@ -178,7 +221,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], held, name: str, max_tokens: int,
         at, total = 0, 0
         for to, t in enumerate(texts, 1):
             total += len(t)
-            if total < 1 << 20 and to < len(texts):
+            if total < 1 << 22 and to < len(texts):
                 continue
             rows, own, crc, start, length, ids = [], [], [], [], [], []
             for k, code in enumerate(encode(texts[at:to]), at):
