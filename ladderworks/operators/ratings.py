@@ -109,86 +109,149 @@ def _logistic(x: Column) -> Column:
     return F.when(x < -35, 0.0).when(x > 35, 1.0).otherwise(1.0 / (1.0 + F.exp(-x)))
 
 
-def ready(state: DataFrame, players: DataFrame, clock: DataFrame, e: Engine, seeds: DataFrame | None = None) -> DataFrame:
-    """The state (pid, mu, phi, sigma, seen) as the week's matches read it, with ``plays`` and the week as ``now``.
+def _setting(engines: list[Engine], name: str) -> Column:
+    """A setting as a column: one number, or the one of the row's configuration."""
+    values = [float(getattr(e, name)) for e in engines]
+    if len(set(values)) == 1:
+        return F.lit(values[0])
+    return F.element_at(F.array(*map(F.lit, values)), F.col("config") + 1)
 
-    ``clock`` is one row (now, elapsed): as data, so that all weeks share one compiled plan.
 
-    Unseen players start from their seed's rating (``seeds``: pid, rating), else from the initial one; players absent for
-    ``reseed_after`` weeks start anew. Deviations of those about to play grow with the weeks since they were seen. Ratings
-    of all others decay beyond the grace, for the ``elapsed`` weeks since the period before: weeks without matches only
-    move the clock, so nothing decays for them.
-    """
-    playing = players.withColumn("plays", F.lit(True))
-    fresh = playing.join(state.select("pid"), "pid", "left_anti")
-    rows = state.join(playing, "pid", "left").withColumn("plays", F.coalesce("plays", F.lit(False))).unionByName(fresh, allowMissingColumns=True)
-    rows, now = rows.crossJoin(F.broadcast(clock)), F.col("now")
-    start = F.lit(0.0)
-    if seeds is not None:
-        rows = rows.join(seeds.select("pid", F.col("rating").alias("_seed")), "pid", "left")
-        start = F.coalesce((F.col("_seed") - e.rating) / SCALE, start)
-    absent = F.coalesce(weeks_between(F.col("seen"), now), F.lit(0))
-    anew = F.col("seen").isNull() | (F.col("plays") & (absent >= e.reseed_after) & F.lit(e.reseed_after > 0))
-    gap = F.when(anew, 0).otherwise(absent)
-    phi, sigma = F.when(anew, e.rd / SCALE).otherwise(F.col("phi")), F.when(anew, e.sigma).otherwise(F.col("sigma"))
-    grown = F.sqrt(phi * phi + gap * (sigma * sigma + e.drift * e.drift))
-    over = lambda weeks: F.greatest(F.lit(0), weeks - e.grace)
-    lost = e.decay / SCALE * (over(gap) - over(gap - F.col("elapsed"))) if e.decay > 0 else F.lit(0.0)
-    mu = F.when(anew, start).when(F.col("plays"), F.col("mu")).otherwise(F.col("mu") - lost)
-    return rows.select("pid", mu.alias("mu"), F.when(F.col("plays"), grown).otherwise(phi).alias("phi"), sigma.alias("sigma"), F.when(anew, now).otherwise(F.col("seen")).alias("seen"), "plays", "now")
-
-
-def updated(start: DataFrame, matches: DataFrame, e: Engine) -> DataFrame:
-    """The state after the week's matches. All read the state before them; both sums are damped by the square root of the
-    number of games. Without information only the week in which a player was seen moves."""
-    theirs = start.select(F.col("pid").alias("opponent"), F.col("mu").alias("other_mu"), F.col("phi").alias("other_phi"))
-    rows = both_sides(matches, []).join(start.select("pid", "mu"), "pid").join(theirs, "opponent")
-    chance, weight = expected(F.col("mu"), F.col("other_mu"), F.col("other_phi")), g(F.col("other_phi"))
-    lead = SCALE * (F.col("other_mu") - F.col("mu"))
-    information = weight * weight * chance * (1 - chance)
-    if e.info_scale > 0:
-        information = information * _logistic(lead / e.info_scale)
-    surprise = weight * (F.col("score") - chance)
-    if e.upset_max > 0 and e.upset_k > 0:
-        x = e.upset_k * lead
-        quality = F.when(x < -35, 0.0).when(x > 35, e.upset_max).otherwise(e.upset_max / (1.0 + (e.upset_max - 1.0) * F.exp(-x)))
-        surprise = F.when(surprise > 0, surprise * quality).otherwise(surprise)
-    sums = rows.groupBy("pid").agg(F.count("*").alias("games"), F.sum(information).alias("i"), F.sum(surprise).alias("s"))
-    damp = F.sqrt(F.col("games").cast("double"))
-    both = start.join(sums, "pid", "left").withColumns({"i": F.col("i") / damp, "s": F.col("s") / damp})
-    moved = F.coalesce(F.col("i") > 0, F.lit(False))
-    both = both.withColumn("new", F.when(moved, F.least(F.lit(e.max_sigma), volatility(F.col("sigma"), F.col("phi"), 1 / F.col("i"), F.col("s") / F.col("i"), e.tau))))
-    phi = 1 / F.sqrt(1 / (F.col("phi") ** 2 + F.col("new") ** 2) + F.col("i"))
-    return both.select("pid", F.when(moved, F.col("mu") + phi * phi * F.col("s")).otherwise(F.col("mu")).alias("mu"), F.when(moved, phi).otherwise(F.col("phi")).alias("phi"), F.coalesce("new", "sigma").alias("sigma"), F.when(F.col("games").isNotNull(), F.col("now")).otherwise(F.col("seen")).alias("seen"))
+class _Week:
+    """The columns of one week's step over state rows (config, pid, mu, phi, sigma, seen, start, k, log).
 
+    ``k`` is the week's place in the chain, and the weeks are looked up by it: so all steps share one compiled plan.
+    """
 
-def weekly_states(matches: DataFrame, engine: Engine = Engine(), calendar: list[int] | None = None, seeds: DataFrame | None = None, initial: DataFrame | None = None) -> DataFrame:
-    """(week, pid, mu, phi, sigma, seen): the state of every known player after each week with matches.
+    def __init__(self, engines: list[Engine], clock: list[tuple[int, int]], parts: int):
+        self.parts, by = parts, Window.partitionBy("config", "pid")
+        of = lambda name: _setting(engines, name)
+        now, elapsed = (F.element_at(F.array(*[F.lit(c[n]) for c in clock]), F.col("k") + 1) for n in (0, 1))
+        plays = F.col("_from").isNotNull()
+        absent = F.coalesce(weeks_between(F.col("seen"), now), F.lit(0))
+        anew = plays & (F.col("seen").isNull() | ((of("reseed_after") > 0) & (absent >= of("reseed_after"))))
+        gap = F.when(anew, 0).otherwise(absent)
+        phi, sigma = F.when(anew, of("rd") / SCALE).otherwise(F.col("phi")), F.when(anew, of("sigma")).otherwise(F.col("sigma"))
+        over = lambda weeks: F.greatest(F.lit(0.0), weeks - of("grace"))
+        lost = of("decay") / SCALE * (over(gap) - over(gap - elapsed)) if any(e.decay > 0 for e in engines) else F.lit(0.0)
+        self.ready = {
+            "mu": F.when(anew, F.col("start")).when(plays, F.col("mu")).otherwise(F.col("mu") - lost),
+            "phi": F.when(plays, F.sqrt(phi * phi + gap * (sigma * sigma + of("drift") ** 2))).otherwise(phi),
+            "sigma": sigma,
+            "seen": F.when(anew, now).otherwise(F.col("seen")),
+        }
+        own = [F.col(c) for c in ("pid", "mu", "phi", "sigma", "seen", "start", "k", "log")]
+        me = F.struct("config", F.lit(True).alias("own"), *own, plays.alias("plays"), F.lit(None).cast("double").alias("score"))
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("sigma", "double"), ("seen", "int"), ("start", "double"), ("k", "int"), ("log", LOG), ("plays", "boolean"))]
+        told = F.struct("config", F.lit(False).alias("own"), F.col("_to").alias("pid"), "mu", "phi", *none, F.col("_score").alias("score"))
+        self.rows = F.inline(F.when(~plays, F.array(me)).when(F.col("_first"), F.array(me, told)).otherwise(F.array(told)))
+        self.mine = F.max(F.when(F.col("own"), F.col("mu"))).over(by)
+        chance, weight = expected(F.col("_mu"), F.col("mu"), F.col("phi")), g(F.col("phi"))
+        lead = SCALE * (F.col("mu") - F.col("_mu"))
+        information = weight * weight * chance * (1 - chance)
+        if any(e.info_scale > 0 for e in engines):
+            information = information * F.when(of("info_scale") > 0, _logistic(lead / F.nullif(of("info_scale"), F.lit(0.0)))).otherwise(1.0)
+        surprise = weight * (F.col("score") - chance)
+        if any(e.upset_max > 0 and e.upset_k > 0 for e in engines):
+            x, most = of("upset_k") * lead, of("upset_max")
+            quality = F.when(x < -35, 0.0).when(x > 35, most).otherwise(most / (1.0 + (most - 1.0) * F.exp(-x)))
+            surprise = F.when((surprise > 0) & (of("upset_k") > 0) & (most > 0), surprise * quality).otherwise(surprise)
+        met = lambda c: F.sum(F.when(~F.col("own"), c)).over(by)
+        damp = F.sqrt(met(F.lit(1.0)))
+        self.sums = {"i": met(information) / damp, "s": met(surprise) / damp}
+        moved = F.coalesce(F.col("i") > 0, F.lit(False))
+        self.new = F.when(moved, F.least(of("max_sigma"), volatility(F.col("sigma"), F.col("phi"), 1 / F.col("i"), F.col("s") / F.col("i"), of("tau"), 25)))
+        self.new_phi = F.when(moved, 1 / F.sqrt(1 / (F.col("phi") ** 2 + F.col("new") ** 2) + F.col("i"))).otherwise(F.col("phi"))
+        after = [F.when(moved, F.col("mu") + F.col("_phi") ** 2 * F.col("s")).otherwise(F.col("mu")).alias("mu"), F.col("_phi").alias("phi"), F.coalesce("new", "sigma").alias("sigma"), F.when(F.col("plays"), now).otherwise(F.col("seen")).alias("seen")]
+        entry = F.struct(now.alias("week"), *after, F.when(F.col("plays"), F.col("mu")).alias("start_mu"), F.when(F.col("plays"), F.col("phi")).alias("start_phi"))
+        self.after = ["config", "pid", *after, "start", (F.col("k") + 1).alias("k"), F.concat("log", F.when(F.col("seen").isNull(), F.array().cast(LOG)).otherwise(F.array(entry))).alias("log")]
+
+    def step(self, state: DataFrame, sides: DataFrame) -> DataFrame:
+        """All entities after the week. Each tells its opponents what they read of it; so the state is dealt anew once."""
+        joined = state.join(sides, F.col("pid") == F.col("_from"), "left").withColumns(self.ready)
+        told = joined.select(self.rows).repartition(self.parts, "pid").withColumn("_mu", self.mine).withColumns(self.sums)
+        return told.where("own").withColumn("new", self.new).withColumn("_phi", self.new_phi).select(*self.after)
+
+
+LOG = "array<struct<week: int, mu: double, phi: double, sigma: double, seen: int, start_mu: double, start_phi: double>>"
+HISTORY = "config int, pid bigint, week int, mu double, phi double, sigma double, seen int, start_mu double, start_phi double"
+
+
+def rated_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] | None = None, seeds: DataFrame | None = None, initial: DataFrame | None = None, chain: int = 8) -> DataFrame:
+    """(config, pid, week, mu, phi, sigma, seen, start_mu, start_phi): for each of the engines (config is its place in the list),
+    the state of every known player after each week with matches; start_* is what the week's matches read, of players who played.
+
+    One pass over the weeks rates all configurations. The state stays dealt by player. In a week every player's row meets the
+    week's matches and tells each opponent its rating, deviation and the score; the state and what was told go to the
+    players in one shuffle, and the sums are formed there. ``chain`` weeks make one job, whose end is a checkpoint; the
+    states of its weeks travel in the rows until then. A hot player's messages of a week are a window that can spill.
 
-    ``calendar`` may have weeks without matches; by default it is that of the matches. ``initial`` is a state to go on from.
-    The matches are written once by week and every week's state is appended to a table, both in a new folder of the shared
-    checkpoint folder. So a week reads its own matches and one state, whatever the number of weeks, and a plan never grows.
+    Unseen players start from their seed's rating (``seeds``: pid, rating), else from the initial one; players absent for
+    ``reseed_after`` weeks start anew. Deviations of those about to play grow with the weeks since they were seen. Ratings
+    of all others decay beyond the grace, for the weeks since the period before: weeks of the ``calendar`` without matches
+    only move the clock, so nothing decays for them. Both sums are damped by the square root of the number of games;
+    without information only the week in which a player was seen moves. ``initial`` (pid, mu, phi, sigma, seen) is a state to
+    go on from. Matches with a null in a week, side or score are left out.
     """
     spark, root = matches.sparkSession, f"{folder(matches.sparkSession)}/ratings-{uuid.uuid4().hex}"
-    own = matches.select("home_club_id", "away_club_id", "home_team_goals", "away_team_goals", F.col("yyyyww").alias("week")).where("week IS NOT NULL AND home_club_id IS NOT NULL AND away_club_id IS NOT NULL AND home_team_goals IS NOT NULL AND away_team_goals IS NOT NULL")
-    own.repartition("week").write.partitionBy("week").parquet(f"{root}/matches")
-    have = [r[0] for r in spark.read.parquet(f"{root}/matches").select("week").distinct().orderBy("week").collect()] if not own.limit(1).isEmpty() else []
-    schema = own.drop("week").schema
-    state, before = (initial if initial is not None else spark.createDataFrame([], STATE)).select("pid", "mu", "phi", "sigma", "seen"), None
+    known = matches.select("home_club_id", "away_club_id", "home_team_goals", "away_team_goals", "yyyyww").dropna()
+    sides = both_sides(known, ["yyyyww"]).select(F.col("pid").cast("bigint").alias("_to"), F.col("opponent").cast("bigint").alias("_from"), F.col("score").alias("_score"), F.col("yyyyww").alias("week"))
+    first = F.row_number().over(Window.partitionBy("week", "_from").orderBy("_to", "_score")) == 1
+    sides.withColumn("_first", first).repartition("week", "_from").write.partitionBy("week").parquet(f"{root}/sides")
+    have = [r[0] for r in spark.read.parquet(f"{root}/sides").select("week").distinct().collect()] if not known.isEmpty() else []
+    if not have:
+        return spark.createDataFrame([], HISTORY)
     number = lambda w: w // 100 * 53 + w % 100  # noqa: E731  only to see which weeks come first
+    clock, before = [], None
     for week in sorted(set(have) | set(calendar or ()), key=number):
         if week in set(have):
-            played = spark.read.schema(schema).parquet(f"{root}/matches/week={week}")
-            players = played.select(F.explode(F.array("home_club_id", "away_club_id")).alias("pid")).distinct()
-            elapsed = elapsed_weeks(before, week) if before is not None else 0
-            clock = spark.sql("SELECT :week AS now, :elapsed AS elapsed", args={"week": week, "elapsed": elapsed})
-            after = updated(ready(state, players, clock, engine, seeds), played, engine)
-            after.write.parquet(f"{root}/states/week={week}")
-            state = spark.read.schema(STATE).parquet(f"{root}/states/week={week}")
+            clock.append((week, elapsed_weeks(before, week) if before is not None else 0))
         before = week
-    if not have:
-        return spark.createDataFrame([], "week int, " + STATE)
-    return spark.read.schema(STATE + ", week int").parquet(f"{root}/states").select("week", "pid", "mu", "phi", "sigma", "seen")
+
+    players = spark.read.parquet(f"{root}/sides").select(F.col("_to").alias("pid"))
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("mu", "double"), ("phi", "double"), ("sigma", "double"), ("seen", "int"))]
+    if initial is not None:
+        initial = initial.select(F.col("pid").cast("bigint").alias("pid"), "mu", "phi", "sigma", "seen")
+        state = players.unionByName(initial.select("pid")).distinct().join(initial, "pid", "left")
+    else:
+        state = players.distinct().select("pid", *blank)
+    start = F.lit(0.0)
+    state = state.withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(len(engines) - 1))))
+    if seeds is not None:
+        state = state.join(seeds.select("pid", F.col("rating").alias("_seed")), "pid", "left")
+        start = F.coalesce((F.col("_seed") - _setting(engines, "rating")) / SCALE, start)
+    state.select("config", "pid", "mu", "phi", "sigma", "seen", start.alias("start")).write.parquet(f"{root}/start")
+
+    # A session of its own: adaptive plans would make a job of each shuffle, and would not keep the state dealt by player.
+    own = spark.newSession()
+    rows = own.read.parquet(f"{root}/start").count()
+    parts = max(min(-(-rows // 256), int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-rows // 20000))
+    for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", str(parts)), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        own.conf.set(k, v)
+    kind = "_to bigint, _from bigint, _score double, _first boolean"
+    state = own.read.parquet(f"{root}/start").repartition(parts, "pid")
+    for at in range(0, len(clock), chain):
+        weeks = clock[at : at + chain]
+        week, state = _Week(engines, weeks, parts), state.withColumns({"k": F.lit(0), "log": F.array().cast(LOG)})
+        for w, _ in weeks:
+            state = week.step(state, own.read.schema(kind).parquet(f"{root}/sides/week={w}"))
+        state = state.checkpoint()
+        state.select("config", "pid", F.inline("log")).write.parquet(f"{root}/states/part={at}")
+        state = state.drop("k", "log")
+    return spark.read.schema(HISTORY + ", part int").parquet(f"{root}/states").drop("part")
+
+
+def weekly_states(matches: DataFrame, engine: Engine = Engine(), calendar: list[int] | None = None, seeds: DataFrame | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """(week, pid, mu, phi, sigma, seen) of one engine, as `rated_weeks` has them."""
+    return rated_weeks(matches, [engine], calendar, seeds, initial).select("week", "pid", "mu", "phi", "sigma", "seen")
+
+
+def predicted(matches: DataFrame, history: DataFrame) -> DataFrame:
+    """Each match under each configuration: (config, result_id, yyyyww, home_club_id, away_club_id, p, actual), p from what the match read."""
+    side = lambda x: history.where("start_mu IS NOT NULL").select("config", F.col("week").alias("yyyyww"), F.col("pid").alias(f"{x}_club_id"), F.col("start_mu").alias(f"_{x}_mu"), F.col("start_phi").alias(f"_{x}_phi"))
+    rows = matches.join(side("home"), ["yyyyww", "home_club_id"]).join(side("away"), ["config", "yyyyww", "away_club_id"])
+    actual = score(F.col("home_team_goals"), F.col("away_team_goals"))
+    return rows.select("config", "result_id", "yyyyww", "home_club_id", "away_club_id", expected(F.col("_home_mu"), F.col("_away_mu"), F.col("_away_phi")).alias("p"), actual.alias("actual"))
 
 
 def elapsed_weeks(earlier: int, later: int) -> int:

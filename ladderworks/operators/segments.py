@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,54 @@ def typical_step(parts: DataFrame, series: str) -> DataFrame:
     """Per series the number of segments and the mean absolute step between their means; 0 for a single one."""
     step = F.abs(F.col("mean") - F.lag("mean").over(Window.partitionBy(series).orderBy("segment")))
     return parts.withColumn("_s", step).groupBy(series).agg(F.count("*").alias("segments"), F.coalesce(F.avg("_s"), F.lit(0.0)).alias("step"))
+
+
+def penalised_segments(rows: DataFrame, series: str, order: str, value: str, least: int = 6, jump: int = 2, shortest: int = 36, most: int = 8) -> DataFrame:
+    """(series, segment, start, end, n, mean): the cuts with the least squared error plus a penalty for each segment.
+
+    The penalty is five variances, 80 at least. Segments have at least ``least`` values and begin at multiples of ``jump``; of
+    equal totals the earliest last cut counts. The first ``most`` segments are given; series below ``shortest`` have none.
+    Exact: a fold over a series' places keeps for each the least total up to it, and drops earlier places that can't be the
+    last cut any more, as their total already exceeds that of a later one. A series is one array, so of bounded length.
+    """
+    by = Window.partitionBy(series)
+    run = by.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col("v0")
+    rows = rows.select(series, F.col(order).alias("at"), F.col(value).alias("v"))
+    rows = rows.withColumns({"v0": F.col("v") - F.avg("v").over(by), "i": F.row_number().over(by.orderBy("at"))}).withColumn("n", F.count("*").over(by)).where(F.col("n") >= shortest)
+    point = F.struct("i", F.sum(v).over(by.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.sum(v * v).over(by.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias("q"), "at", "v")
+    one = rows.select(series, "n", point.alias("p")).groupBy(series, "n").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    penalty = F.greatest(5.0 * F.element_at("p", -1)["q"] / F.col("n"), F.lit(80.0))
+    one = one.withColumns({"s": F.concat(F.array(F.lit(0.0)), F.col("p.s")), "q": F.concat(F.array(F.lit(0.0)), F.col("p.q")), "pen": penalty})
+    places = F.concat(F.filter(F.sequence(F.lit(0), F.col("n") - 1, F.lit(jump)), lambda k: k >= least), F.array(F.col("n"))).cast("array<int>")
+    get = lambda c, k: F.get(F.col(c), k)
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  evaluates x once
+
+    def error(a: Column, b: Column) -> Column:
+        level = get("s", b) - get("s", a)
+        return get("q", b) - get("q", a) - level * level / (b - a)
+
+    def place(acc: Column, b: Column) -> Column:
+        """Candidates (total up to a place, that place) and, for each place, where its last segment begins."""
+        scored = F.transform(F.filter(acc["open"], lambda c: c["t"] <= b - least), lambda c: F.struct((c["f"] + error(c["t"], b)).alias("f"), c["t"].alias("t"), c["f"].alias("own")))
+        late = F.filter(acc["open"], lambda c: c["t"] > b - least)
+
+        def choose(x: Column) -> Column:
+            best = F.array_min(x["scored"])
+            open_ = F.transform(F.filter(x["scored"], lambda c: c["f"] <= best["f"] + F.col("pen")), lambda c: F.struct(c["own"].alias("f"), c["t"].alias("t")))
+            new = F.struct((best["f"] + F.col("pen")).alias("f"), b.alias("t"))
+            link = F.struct(b.alias("t"), best["t"].alias("before"))
+            return F.struct(F.concat(open_, x["late"], F.array(new)).alias("open"), F.concat(x["links"], F.array(link)).alias("links"))
+
+        step = bound(F.struct(scored.alias("scored"), late.alias("late"), acc["links"].alias("links")), choose)
+        return F.when(F.size(scored) > 0, step).otherwise(acc)
+
+    start = F.struct(F.array(F.struct(F.lit(0.0).alias("f"), F.lit(0).alias("t"))).alias("open"), F.array().cast("array<struct<t:int,before:int>>").alias("links"))
+    links = F.aggregate(places, start, place, lambda acc: acc["links"])
+    back = F.aggregate(F.reverse("links"), F.array(F.col("n").cast("int")), lambda acc, k: F.when(k["t"] == F.element_at(acc, -1), F.concat(acc, F.array(k["before"]))).otherwise(acc))
+    cuts = one.withColumn("links", links).withColumn("cuts", F.reverse(back))
+    parts = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("cuts") - 1)), lambda k: F.struct(k.cast("int").alias("segment"), F.element_at("cuts", k).alias("a"), F.element_at("cuts", k + 1).alias("b")))
+    out = cuts.select(series, "p", F.inline(parts))
+    own = F.slice("p", F.col("a") + 1, F.col("b") - F.col("a"))
+    mean = F.aggregate(own, F.lit(0.0), lambda t, x: t + x["v"]) / (F.col("b") - F.col("a"))
+    return out.select(series, "segment", F.element_at("p", F.col("a") + 1)["at"].alias("start"), F.element_at("p", F.col("b"))["at"].alias("end"), (F.col("b") - F.col("a")).cast("long").alias("n"), mean.alias("mean"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ladderworks.functions import names, scoring, weeks
 from ladderworks.operators import connectivity, evaluate, ratings, upsert
-from ladderworks.plans import history, scalars, serving, tables
+from ladderworks.plans import history, resolution, scalars, serving, tables, trials
 from ladderworks.plans.common import layer as _layer
 from ladderworks.plans.common import r as _r
 from ladderworks.plans.common import rounded as _rounded
@@ -203,21 +203,10 @@ def rat_field(s, d):
     """Strength of the field before each week: of the ratings (stand-in) that the matches of the week read."""
     f = fixtures(s, d)
     event = F.concat_ws("_", F.date_format("match_date", "yyyyMMdd"), "home_club_id", "away_club_id")
-    before = _known_before(ratings.running_strength(f))
+    before = serving.known_before(ratings.running_strength(f), ["rating", "rd"])
     return _rounded(ratings.field_strength(f.withColumn("event_id", event), before), 4)
 
 
-def _known_before(weekly):
-    """Every club's last rating before each week, for all weeks after its first: a row lasts until the club's next one."""
-    spine = weekly.select("week").distinct().withColumn("after", F.lag("week").over(Window.orderBy("week")))  # one row a week
-    until = F.lead("week").over(Window.partitionBy("pid").orderBy("week"))
-    held = weekly.select("pid", "rating", "rd", F.col("week").alias("since"), until.alias("until"))
-    stop = F.coalesce(F.col("until"), F.lit(999999))
-    calendar = spine.agg(F.array_sort(F.collect_list("week")).alias("weeks"))  # a calendar: a few thousand numbers
-    lasts = held.crossJoin(F.broadcast(calendar)).withColumn("week", F.explode(F.filter("weeks", lambda w: (w > F.col("since")) & (w <= stop))))
-    return lasts.select("week", "pid", "rating", "rd")
-
-
 def stm_weeks(s, d):
     return _rounded(streams.weekly_tallies(table(s, d, "events").select("ts", F.col("event_type").alias("kind"), "value")), 4)
 
@@ -236,7 +225,7 @@ _NAMES: dict[str, Query] = {
 }
 
 
-_MORE = (scalars, tables, history)
+_MORE = (scalars, tables, history, resolution, trials)
 
 
 def queries() -> dict[str, Query]:

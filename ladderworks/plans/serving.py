@@ -89,6 +89,20 @@ def predictions(matches: DataFrame, weekly: DataFrame) -> DataFrame:
     return rows.select("result_id", "yyyyww", "league_code", "home_club_id", "away_club_id", "home_pre", "away_pre", "expected", "actual", F.abs(F.col("actual") - F.col("expected")).alias("upset"))
 
 
+def known_before(weekly: DataFrame, columns: list[str]) -> DataFrame:
+    """(week, pid, ...): every club's last row before each week, for all weeks after its first.
+
+    A row lasts from the week after its own to the club's next one. Weeks are numbered by the calendar, so a row lists the
+    numbers that it lasts for and meets the weeks by an equi-join.
+    """
+    spine = weekly.select("week").distinct().withColumn("_i", F.row_number().over(Window.orderBy("week")))  # one row a week
+    last = F.broadcast(spine.agg(F.max("_i").alias("_last")))
+    rows = weekly.select("week", "pid", *columns).join(F.broadcast(spine), "week").crossJoin(last)
+    stop = F.coalesce(F.lead("_i").over(Window.partitionBy("pid").orderBy("_i")), F.col("_last"))
+    held = rows.withColumn("_stop", stop).where(F.col("_stop") > F.col("_i")).withColumn("_i", F.explode(F.sequence(F.col("_i") + 1, F.col("_stop"))))
+    return held.drop("week").join(F.broadcast(spine), "_i").select("week", "pid", *columns)
+
+
 def snapshot_changes(weekly: DataFrame, matches: DataFrame) -> DataFrame:
     """Ratings of both sides in the snapshot week before the match's, where a snapshot has only clubs of that week.
 
