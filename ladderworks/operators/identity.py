@@ -87,7 +87,7 @@ def candidates(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataF
     for i in (0, 1):
         short = sides[i].where(F.size(_grams()) <= _most_lost(F.col("size"), s))
         sizes = F.sequence(F.col("size"), F.floor(F.col("size") * (2 - s) / s + 1e-9).cast("int"))
-        x = short.select("name", F.col("size"), F.explode(sizes).cast("string").alias("unit"))
+        x = short.select("name", F.col("size"), F.explode(sizes.cast("array<string>")).alias("unit"))
         found = found.unionByName(met(x, sides[1 - i].select("name", "size", F.col("size").cast("string").alias("unit")), None, i == 1))
     return found.distinct()
 

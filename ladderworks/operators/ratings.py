@@ -3,16 +3,18 @@ matches; the volatility equation is solved inside the plan. Periods follow each
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderworks.functions.scoring import SCALE, expected, g, score, volatility
-from ladderworks.functions.weeks import weeks_between
 from ladderworks.operators.keeping import folder
+from ladderworks.operators.week_steps import DONE, NAMES, SCHEMA, SIDE, STATE, Bucket
 
 INIT_RATING, INIT_RD, INIT_SIGMA = 1500.0, 250.0, 0.06
 
@@ -37,7 +39,6 @@ class Engine:
 
 #: The settings of the two kinds of runs.
 CONTINENT, COUNTRY = Engine(decay=1.0, grace=52, reseed_after=520), Engine(decay=2.5, grace=12, reseed_after=52)
-STATE = "pid bigint, mu double, phi double, sigma double, seen int"
 
 
 def both_sides(matches: DataFrame, keep: list[str]) -> DataFrame:
@@ -105,86 +106,18 @@ def rate_periods(matches: DataFrame, period: str, tau: float = 0.5) -> DataFrame
     return parts if parts is not None else state.select(F.lit(None).cast("int").alias("period"), "pid", F.col("mu").alias("rating"), F.col("phi").alias("rd"), "sigma")
 
 
-def _logistic(x: Column) -> Column:
-    return F.when(x < -35, 0.0).when(x > 35, 1.0).otherwise(1.0 / (1.0 + F.exp(-x)))
-
-
-def _setting(engines: list[Engine], name: str) -> Column:
-    """A setting as a column: one number, or the one of the row's configuration."""
-    values = [float(getattr(e, name)) for e in engines]
-    if len(set(values)) == 1:
-        return F.lit(values[0])
-    return F.element_at(F.array(*map(F.lit, values)), F.col("config") + 1)
-
-
-class _Week:
-    """The columns of one week's step over state rows (config, pid, mu, phi, sigma, seen, start, k, log).
-
-    ``k`` is the week's place in the chain, and the weeks are looked up by it: so all steps share one compiled plan.
-    """
-
-    def __init__(self, engines: list[Engine], clock: list[tuple[int, int]], parts: int):
-        self.parts, by = parts, Window.partitionBy("config", "pid")
-        of = lambda name: _setting(engines, name)
-        now, elapsed = (F.element_at(F.array(*[F.lit(c[n]) for c in clock]), F.col("k") + 1) for n in (0, 1))
-        plays = F.col("_from").isNotNull()
-        absent = F.coalesce(weeks_between(F.col("seen"), now), F.lit(0))
-        anew = plays & (F.col("seen").isNull() | ((of("reseed_after") > 0) & (absent >= of("reseed_after"))))
-        gap = F.when(anew, 0).otherwise(absent)
-        phi, sigma = F.when(anew, of("rd") / SCALE).otherwise(F.col("phi")), F.when(anew, of("sigma")).otherwise(F.col("sigma"))
-        over = lambda weeks: F.greatest(F.lit(0.0), weeks - of("grace"))
-        lost = of("decay") / SCALE * (over(gap) - over(gap - elapsed)) if any(e.decay > 0 for e in engines) else F.lit(0.0)
-        self.ready = {
-            "mu": F.when(anew, F.col("start")).when(plays, F.col("mu")).otherwise(F.col("mu") - lost),
-            "phi": F.when(plays, F.sqrt(phi * phi + gap * (sigma * sigma + of("drift") ** 2))).otherwise(phi),
-            "sigma": sigma,
-            "seen": F.when(anew, now).otherwise(F.col("seen")),
-        }
-        own = [F.col(c) for c in ("pid", "mu", "phi", "sigma", "seen", "start", "k", "log")]
-        me = F.struct("config", F.lit(True).alias("own"), *own, plays.alias("plays"), F.lit(None).cast("double").alias("score"))
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("sigma", "double"), ("seen", "int"), ("start", "double"), ("k", "int"), ("log", LOG), ("plays", "boolean"))]
-        told = F.struct("config", F.lit(False).alias("own"), F.col("_to").alias("pid"), "mu", "phi", *none, F.col("_score").alias("score"))
-        self.rows = F.inline(F.when(~plays, F.array(me)).when(F.col("_first"), F.array(me, told)).otherwise(F.array(told)))
-        self.mine = F.max(F.when(F.col("own"), F.col("mu"))).over(by)
-        chance, weight = expected(F.col("_mu"), F.col("mu"), F.col("phi")), g(F.col("phi"))
-        lead = SCALE * (F.col("mu") - F.col("_mu"))
-        information = weight * weight * chance * (1 - chance)
-        if any(e.info_scale > 0 for e in engines):
-            information = information * F.when(of("info_scale") > 0, _logistic(lead / F.nullif(of("info_scale"), F.lit(0.0)))).otherwise(1.0)
-        surprise = weight * (F.col("score") - chance)
-        if any(e.upset_max > 0 and e.upset_k > 0 for e in engines):
-            x, most = of("upset_k") * lead, of("upset_max")
-            quality = F.when(x < -35, 0.0).when(x > 35, most).otherwise(most / (1.0 + (most - 1.0) * F.exp(-x)))
-            surprise = F.when((surprise > 0) & (of("upset_k") > 0) & (most > 0), surprise * quality).otherwise(surprise)
-        met = lambda c: F.sum(F.when(~F.col("own"), c)).over(by)
-        damp = F.sqrt(met(F.lit(1.0)))
-        self.sums = {"i": met(information) / damp, "s": met(surprise) / damp}
-        moved = F.coalesce(F.col("i") > 0, F.lit(False))
-        self.new = F.when(moved, F.least(of("max_sigma"), volatility(F.col("sigma"), F.col("phi"), 1 / F.col("i"), F.col("s") / F.col("i"), of("tau"), 25)))
-        self.new_phi = F.when(moved, 1 / F.sqrt(1 / (F.col("phi") ** 2 + F.col("new") ** 2) + F.col("i"))).otherwise(F.col("phi"))
-        after = [F.when(moved, F.col("mu") + F.col("_phi") ** 2 * F.col("s")).otherwise(F.col("mu")).alias("mu"), F.col("_phi").alias("phi"), F.coalesce("new", "sigma").alias("sigma"), F.when(F.col("plays"), now).otherwise(F.col("seen")).alias("seen")]
-        entry = F.struct(now.alias("week"), *after, F.when(F.col("plays"), F.col("mu")).alias("start_mu"), F.when(F.col("plays"), F.col("phi")).alias("start_phi"))
-        self.after = ["config", "pid", *after, "start", (F.col("k") + 1).alias("k"), F.concat("log", F.when(F.col("seen").isNull(), F.array().cast(LOG)).otherwise(F.array(entry))).alias("log")]
-
-    def step(self, state: DataFrame, sides: DataFrame) -> DataFrame:
-        """All entities after the week. Each tells its opponents what they read of it; so the state is dealt anew once."""
-        joined = state.join(sides, F.col("pid") == F.col("_from"), "left").withColumns(self.ready)
-        told = joined.select(self.rows).repartition(self.parts, "pid").withColumn("_mu", self.mine).withColumns(self.sums)
-        return told.where("own").withColumn("new", self.new).withColumn("_phi", self.new_phi).select(*self.after)
-
-
-LOG = "array<struct<week: int, mu: double, phi: double, sigma: double, seen: int, start_mu: double, start_phi: double>>"
 HISTORY = "config int, pid bigint, week int, mu double, phi double, sigma double, seen int, start_mu double, start_phi double"
 
 
-def rated_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] | None = None, seeds: DataFrame | None = None, initial: DataFrame | None = None, chain: int = 8) -> DataFrame:
+def rated_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] | None = None, seeds: DataFrame | None = None, initial: DataFrame | None = None, chain: int = 16) -> DataFrame:
     """(config, pid, week, mu, phi, sigma, seen, start_mu, start_phi): for each of the engines (config is its place in the list),
     the state of every known player after each week with matches; start_* is what the week's matches read, of players who played.
 
-    One pass over the weeks rates all configurations. The state stays dealt by player. In a week every player's row meets the
-    week's matches and tells each opponent its rating, deviation and the score; the state and what was told go to the
-    players in one shuffle, and the sums are formed there. ``chain`` weeks make one job, whose end is a checkpoint; the
-    states of its weeks travel in the rows until then. A hot player's messages of a week are a window that can spill.
+    One pass over the weeks rates all configurations. Players are dealt into buckets. In a week every bucket makes its players
+    ready and tells their opponents what these read of them; that, and the bucket's own rows, go through one shuffle to the
+    buckets, which form the sums and update their players. ``chain`` weeks are one job; its end is written to the checkpoint
+    folder, and the next goes on from there. So a week is one stage, its work and its messages grow with its matches, and a
+    task holds a bucket of players with one week's messages to them.
 
     Unseen players start from their seed's rating (``seeds``: pid, rating), else from the initial one; players absent for
     ``reseed_after`` weeks start anew. Deviations of those about to play grow with the weeks since they were seen. Ratings
@@ -195,10 +128,9 @@ def rated_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] |
     """
     spark, root = matches.sparkSession, f"{folder(matches.sparkSession)}/ratings-{uuid.uuid4().hex}"
     known = matches.select("home_club_id", "away_club_id", "home_team_goals", "away_team_goals", "yyyyww").dropna()
-    sides = both_sides(known, ["yyyyww"]).select(F.col("pid").cast("bigint").alias("_to"), F.col("opponent").cast("bigint").alias("_from"), F.col("score").alias("_score"), F.col("yyyyww").alias("week"))
-    first = F.row_number().over(Window.partitionBy("week", "_from").orderBy("_to", "_score")) == 1
-    sides.withColumn("_first", first).repartition("week", "_from").write.partitionBy("week").parquet(f"{root}/sides")
-    have = [r[0] for r in spark.read.parquet(f"{root}/sides").select("week").distinct().collect()] if not known.isEmpty() else []
+    sides = both_sides(known, ["yyyyww"]).select("yyyyww", F.col("opponent").cast("bigint").alias("pid"), F.col("pid").cast("bigint").alias("other"), F.col("score").alias("x"))
+    sides.repartition("yyyyww").write.partitionBy("yyyyww").parquet(f"{root}/sides")
+    have = [r[0] for r in spark.read.parquet(f"{root}/sides").select("yyyyww").distinct().collect()] if not known.isEmpty() else []
     if not have:
         return spark.createDataFrame([], HISTORY)
     number = lambda w: w // 100 * 53 + w % 100  # noqa: E731  only to see which weeks come first
@@ -208,37 +140,62 @@ def rated_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] |
             clock.append((week, elapsed_weeks(before, week) if before is not None else 0))
         before = week
 
-    players = spark.read.parquet(f"{root}/sides").select(F.col("_to").alias("pid"))
-    blank = [F.lit(None).cast(t).alias(c) for c, t in (("mu", "double"), ("phi", "double"), ("sigma", "double"), ("seen", "int"))]
+    players = spark.read.parquet(f"{root}/sides").select("pid")
     if initial is not None:
         initial = initial.select(F.col("pid").cast("bigint").alias("pid"), "mu", "phi", "sigma", "seen")
         state = players.unionByName(initial.select("pid")).distinct().join(initial, "pid", "left")
     else:
-        state = players.distinct().select("pid", *blank)
+        state = players.distinct().select("pid", *[F.lit(None).cast(t).alias(c) for c, t in (("mu", "double"), ("phi", "double"), ("sigma", "double"), ("seen", "int"))])
     start = F.lit(0.0)
-    state = state.withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(len(engines) - 1))))
     if seeds is not None:
         state = state.join(seeds.select("pid", F.col("rating").alias("_seed")), "pid", "left")
-        start = F.coalesce((F.col("_seed") - _setting(engines, "rating")) / SCALE, start)
-    state.select("config", "pid", "mu", "phi", "sigma", "seen", start.alias("start")).write.parquet(f"{root}/start")
+        centres = F.array(*[F.lit(e.rating) for e in engines])
+        start = F.coalesce((F.col("_seed") - F.element_at(centres, F.col("config") + 1)) / SCALE, start)
+    state = state.withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(len(engines) - 1))))
+    state = state.select("config", "pid", F.coalesce("seen", F.lit(0)).alias("week"), *[F.coalesce(c, F.lit(math.nan)).alias(n) for c, n in (("mu", "x"), ("phi", "y"), ("sigma", "z"))], start.alias("start"))
+    state.write.parquet(f"{root}/start")
+    seen = [r[0] for r in initial.select("seen").distinct().collect()] if initial is not None else []  # weeks of a calendar
 
-    # A session of its own: adaptive plans would make a job of each shuffle, and would not keep the state dealt by player.
+    # A session of its own: adaptive plans would make a job of each shuffle.
     own = spark.newSession()
     rows = own.read.parquet(f"{root}/start").count()
-    parts = max(min(-(-rows // 256), int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-rows // 20000))
-    for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", str(parts)), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+    parts = max(min(-(-rows // 512), int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-rows // 20000))
+    for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", str(parts))):
         own.conf.set(k, v)
-    kind = "_to bigint, _from bigint, _score double, _first boolean"
-    state = own.read.parquet(f"{root}/start").repartition(parts, "pid")
+    settings = {f.name: np.array([float(getattr(e, f.name)) for e in engines]) for f in fields(Engine)}
+
+    def full(frame: DataFrame, kind: int) -> DataFrame:
+        have = {"bucket": F.pmod("pid", F.lit(parts)).cast("int"), "kind": F.lit(kind)}
+        kinds = dict(c.split() for c in SCHEMA.split(", "))
+        blank = {n: (F.lit(math.nan) if t == "double" else F.lit(0)).cast(t) for n, t in kinds.items() if n not in frame.columns}
+        return frame.withColumns(blank | have).select(*[F.col(n).cast(t).alias(n) for n, t in kinds.items()])
+
+    def step(done: int | None, to_tell: int | None, gaps: dict[int, int], elapsed: int):
+        def run(key, table):
+            bucket = Bucket(table, settings, parts)
+            if done is not None:
+                bucket.update(done)
+            if to_tell is not None:
+                bucket.tell(to_tell, gaps, elapsed)
+            return bucket.table()
+
+        return run
+
+    state, weeks_so_far = full(own.read.parquet(f"{root}/start"), STATE), {*seen} - {None}
     for at in range(0, len(clock), chain):
         weeks = clock[at : at + chain]
-        week, state = _Week(engines, weeks, parts), state.withColumns({"k": F.lit(0), "log": F.array().cast(LOG)})
-        for w, _ in weeks:
-            state = week.step(state, own.read.schema(kind).parquet(f"{root}/sides/week={w}"))
-        state = state.checkpoint()
-        state.select("config", "pid", F.inline("log")).write.parquet(f"{root}/states/part={at}")
-        state = state.drop("k", "log")
-    return spark.read.schema(HISTORY + ", part int").parquet(f"{root}/states").drop("part")
+        played = own.read.option("basePath", f"{root}/sides").schema("pid bigint, other bigint, x double, yyyyww int").parquet(*[f"{root}/sides/yyyyww={w}" for w, _ in weeks])
+        rows, done = state.unionByName(full(played.withColumnRenamed("yyyyww", "week"), SIDE)), None
+        for week, elapsed in [*weeks, (None, 0)]:
+            gaps = {w: elapsed_weeks(w, week) for w in weeks_so_far} if week is not None else {}
+            rows = rows.groupBy("bucket").applyInArrow(step(done, week, gaps, elapsed), SCHEMA)
+            weeks_so_far |= {week} - {None}
+            done = week
+        rows.write.partitionBy("kind").parquet(f"{root}/chain={at}")
+        state = own.read.schema(SCHEMA.replace("kind int, ", "")).parquet(f"{root}/chain={at}/kind={STATE}").withColumn("kind", F.lit(STATE)).select(*NAMES)
+    found = spark.read.schema(SCHEMA.replace("kind int, ", "")).parquet(*[f"{root}/chain={at}/kind={DONE}" for at in range(0, len(clock), chain)])
+    real = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+    return found.select("config", "pid", "week", F.col("x").alias("mu"), F.col("y").alias("phi"), F.col("z").alias("sigma"), F.col("other").cast("int").alias("seen"), real("pre_mu").alias("start_mu"), real("pre_phi").alias("start_phi"))
 
 
 def weekly_states(matches: DataFrame, engine: Engine = Engine(), calendar: list[int] | None = None, seeds: DataFrame | None = None, initial: DataFrame | None = None) -> DataFrame:
