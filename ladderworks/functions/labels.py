@@ -16,7 +16,7 @@ def pair(start: Column, end: Column) -> Column:
 
 
 def season_label(text: Column, form: str) -> Column:
-    """A season's label as yyyy/yyyy; null where the text hasn't the form (split, start_year, end_year, compact or dashed)."""
+    """A season's label as yyyy/yyyy; null where the text hasn't the form (split, start_year, end_year, compact or fbref, also called dashed)."""
     year = whole(text)
     if form == "split":
         short = F.rlike(text, F.lit(r"^[^/]{2}/[^/]{2}$"))
@@ -27,7 +27,7 @@ def season_label(text: Column, form: str) -> Column:
         return F.when(year.isNotNull(), pair(year - 1, year))
     if form == "compact":
         return F.when(F.length(text) == 4, F.concat(F.lit("20"), F.substring(text, 1, 2), F.lit("/20"), F.substring(text, 3, 2)))
-    if form == "dashed":
+    if form in ("fbref", "dashed"):
         return F.replace(text, F.lit("-"), F.lit("/"))
     raise ValueError(f"unknown form: {form}")
 

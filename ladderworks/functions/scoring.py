@@ -38,10 +38,10 @@ def rank_to_rating(rank: Column) -> Column:
     return F.greatest(F.lit(RANK_FLOOR), RANK_TOP - RANK_SLOPE * F.log(F.greatest(F.lit(1), F.least(rank, F.lit(RANK_MAX))).cast("double")))
 
 
-def saturating(weight: Column, half: float) -> Column:
-    """Weight to trust: half of it at ``half``; nothing below 0."""
+def saturating(weight: Column, half: float, mode: str = "rational") -> Column:
+    """Weight to trust, nothing below 0: w / (w + half), or 1 - e^(-w / half) in the mode exp."""
     w = F.greatest(weight, F.lit(0.0))
-    return w / (w + half)
+    return 1.0 - F.exp(-w / half) if mode == "exp" else w / (w + half)
 
 
 def fixed_bin(x: Column, width: float) -> Column:

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ladderworks.functions.scoring import saturating
 from ladderworks.functions.weeks import week_sunday
+from ladderworks.operators.asof import asof_before
 from ladderworks.operators.keeping import kept
+from ladderworks.operators.ratings import both_sides
 
 
 @dataclass(frozen=True)
 class Settings:
-    """The published defaults of the layer."""
+    """The published defaults of the layer. volume_trust_mode is rational or exp."""
 
     weeks: int = 104
     direct_floor: float = 0.05
@@ -33,6 +35,20 @@ class Settings:
     heat_half: float = 28.0
     damping: float = 0.88
     steps: int = 6
+    volume_trust_mode: str = "rational"
+
+    def __post_init__(self) -> None:
+        checks = {
+            "volume_trust_mode must be rational or exp": self.volume_trust_mode in ("rational", "exp"),
+            "heat_cross must be above 0, heat_local not below": self.heat_cross > 0 and self.heat_local >= 0,
+            "heat_half must be above 0": self.heat_half > 0,
+            "steps must be 1 at least": self.steps >= 1,
+            "damping must lie between 0 and 1": 0 < self.damping < 1,
+            "weeks must be 1 at least": self.weeks >= 1,
+        }
+        wrong = [what for what, holds in checks.items() if not holds]
+        if wrong:
+            raise ValueError("; ".join(wrong))
 
 
 def _named(code: Column, *parts: str) -> Column:
@@ -82,36 +98,65 @@ def in_windows(edges: DataFrame, weeks: DataFrame, s: Settings) -> DataFrame:
     return edges.withColumn("stop", stops).join(F.broadcast(ends), "stop").drop("stop", "sunday")
 
 
-def entropy(p: Column) -> Column:
-    return -F.sum(p * F.log(p + 1e-15))
+def _levels(edges: DataFrame, keys: list[str], s: Settings) -> DataFrame:
+    """Per key and day on which it changes: the weight ``m`` and the number ``n`` of edges in the window that ends then, and before.
+
+    An edge enters on its Sunday and leaves so many weeks later: two events, whatever the window's length, and running sums. Days
+    are Sundays, so a key has at most two rows for each week of the calendar. Where no edge is left, the weight is 0.
+    """
+    daily = by_sunday(edges).groupBy("sunday", *keys).agg(F.sum("weight").alias("w"), F.count("*").alias("c"))
+    both = F.array(F.struct(F.col("sunday").alias("day"), F.col("w").alias("dw"), F.col("c").alias("dc")), F.struct(F.date_add("sunday", 7 * s.weeks).alias("day"), (-F.col("w")).alias("dw"), (-F.col("c")).alias("dc")))
+    events = daily.select(*keys, F.inline(both)).groupBy(*keys, "day").agg(F.sum("dw").alias("dw"), F.sum("dc").alias("dc"))
+    by = Window.partitionBy(*keys).orderBy("day")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("n", F.sum("dc").over(upto)).withColumn("m", F.when(F.col("n") > 0, F.sum("dw").over(upto)).otherwise(0.0))
+    return rows.select(*keys, "day", "m", "n", F.coalesce(F.lag("m").over(by), F.lit(0.0)).alias("m0"), F.coalesce(F.lag("n").over(by), F.lit(0)).alias("n0"))
+
+
+def _on_weeks(rows: DataFrame, keys: list[str], weeks: DataFrame) -> DataFrame:
+    """Rows with every week of ``weeks`` that they last for: from their day up to the key's next one, by an equi-join on Sundays."""
+    ends = weeks.select(F.col("week"), week_sunday(F.col("week")).alias("stop"))
+    until = F.lead("day").over(Window.partitionBy(*keys).orderBy("day"))
+    held = rows.withColumn("until", until).where(F.col("until").isNotNull())  # the last edge leaves on a key's last day
+    stops = F.explode(F.sequence("day", F.date_sub("until", 7), F.expr("INTERVAL 7 DAYS")))
+    return held.withColumn("stop", stops).join(F.broadcast(ends), "stop").drop("stop", "until", "day")
+
+
+def _spread(edges: DataFrame, who: str, over: str, weeks: DataFrame, s: Settings) -> DataFrame:
+    """(week, who): weight, number of values of ``over`` and the normalised entropy of the weights among them.
+
+    The entropy is ln(M) - S / M with M the weight and S the sum of m ln(m); both and the number change by what a value's
+    level changes by, so they are running sums over events.
+    """
+    f = lambda m: F.when(F.col(m) > 0, F.col(m) * F.log(m)).otherwise(0.0)
+    on = lambda n: (F.col(n) > 0).cast("int")
+    moves = _levels(edges, [who, over], s).groupBy(who, "day").agg(F.sum(F.col("m") - F.col("m0")).alias("dm"), F.sum(f("m") - f("m0")).alias("ds"), F.sum(on("n") - on("n0")).alias("dk"))
+    upto = Window.partitionBy(who).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    rows = moves.select(who, "day", F.sum("dm").over(upto).alias("volume"), F.sum("ds").over(upto).alias("s"), F.sum("dk").over(upto).alias("k"))
+    held = _on_weeks(rows, [who], weeks).where("k > 0")
+    h = F.log("volume") - F.col("s") / F.col("volume")
+    return held.select("week", who, "volume", F.col("k").alias("communities"), F.when(F.col("k") > 1, F.greatest(F.lit(0.0), h) / F.log(F.col("k").cast("double"))).otherwise(0.0).alias("h_norm"))
 
 
 def direct_connectivity(edges: DataFrame, weeks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(week, pid): volume, opponents, communities, normalised entropy, volume trust and direct connectivity."""
-    daily = by_sunday(edges).groupBy("sunday", "pid", "opponent", "other").agg(F.sum("weight").alias("weight"))
-    held = in_windows(daily, weeks, s)
-    mass = held.groupBy("week", "pid", "other").agg(F.sum("weight").alias("m"), F.collect_set("opponent").alias("opponents"))
-    total = F.sum("m").over(Window.partitionBy("week", "pid"))
-    out = mass.withColumn("p", F.col("m") / total).groupBy("week", "pid").agg(F.sum("m").alias("volume"), F.count("*").alias("communities"), F.size(F.array_distinct(F.flatten(F.collect_list("opponents")))).cast("long").alias("opponents"), entropy(F.col("p")).alias("h"))
-    out = out.withColumn("h_norm", F.when(F.col("communities") > 1, F.col("h") / F.log(F.col("communities").cast("double"))).otherwise(0.0))
-    out = out.withColumn("volume_trust", saturating(F.col("volume"), s.half_life))
-    return out.withColumn("direct", s.direct_floor + (1 - s.direct_floor) * F.col("h_norm") * F.col("volume_trust")).drop("h")
+    out = _spread(edges, "pid", "other", weeks, s)
+    met = _levels(edges, ["pid", "opponent"], s).groupBy("pid", "day").agg(F.sum((F.col("n") > 0).cast("int") - (F.col("n0") > 0).cast("int")).alias("d"))
+    met = met.select("pid", "day", F.sum("d").over(Window.partitionBy("pid").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)).alias("opponents"))
+    out = out.join(_on_weeks(met, ["pid"], weeks), ["week", "pid"])
+    out = out.withColumn("volume_trust", saturating(F.col("volume"), s.half_life, s.volume_trust_mode))
+    return out.withColumn("direct", s.direct_floor + (1 - s.direct_floor) * F.col("h_norm") * F.col("volume_trust"))
 
 
 def community_connectivity(edges: DataFrame, weeks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(week, community): the same from matches with other communities alone."""
-    daily = by_sunday(edges).where("own <> other").groupBy("sunday", "own", "other").agg(F.sum("weight").alias("weight"))
-    mass = in_windows(daily, weeks, s).groupBy("week", "own", "other").agg(F.sum("weight").alias("m"))
-    total = F.sum("m").over(Window.partitionBy("week", "own"))
-    out = mass.withColumn("p", F.col("m") / total).groupBy("week", F.col("own").alias("community")).agg(F.sum("m").alias("external"), F.count("*").alias("k"), entropy(F.col("p")).alias("h"))
-    norm = F.when(F.col("k") > 1, F.col("h") / F.log(F.col("k").cast("double"))).otherwise(0.0)
-    return out.select("week", "community", "external", (s.community_floor + (1 - s.community_floor) * norm * saturating(F.col("external"), s.half_life)).alias("community_connectivity"))
+    out = _spread(edges.where("own <> other"), "own", "other", weeks, s)
+    return out.select("week", F.col("own").alias("community"), F.col("volume").alias("external"), (s.community_floor + (1 - s.community_floor) * F.col("h_norm") * saturating(F.col("volume"), s.half_life, s.volume_trust_mode)).alias("community_connectivity"))
 
 
 def primary_community(edges: DataFrame, weeks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(week, pid, community) of the greatest weight; of equals, the first in order."""
-    daily = by_sunday(edges).groupBy("sunday", "pid", "own").agg(F.sum("weight").alias("weight"))
-    mass = in_windows(daily, weeks, s).groupBy("week", "pid", "own").agg(F.sum("weight").alias("m"))
+    mass = _on_weeks(_levels(edges, ["pid", "own"], s), ["pid", "own"], weeks).where("n > 0")
     best = F.row_number().over(Window.partitionBy("week", "pid").orderBy(F.desc(F.round("m", 6)), "own"))
     return mass.withColumn("r", best).where("r = 1").select("week", "pid", F.col("own").alias("community"))
 
@@ -157,3 +202,50 @@ def diffuse(weekly: DataFrame, edges: DataFrame, s: Settings = Settings()) -> Da
         moved = F.coalesce("flow", F.when(F.col("alone"), F.col("x")).otherwise(0.0))
         state = kept(state.join(flow, ["week", "pid"], "left").select("week", "pid", "seed", "alone", F.greatest(F.lit(0.0), F.least(F.lit(1.0), s.damping * moved + (1 - s.damping) * F.col("seed"))).alias("x")))
     return state.select("week", "pid", "seed", F.col("x").alias("comparability"))
+
+
+#: Where an anchor comes from.
+ANCHORS = ("global", "domestic", "oppo_recent_mean")
+
+
+def recent_opponents(matches: DataFrame, weekly: DataFrame, last: int = 10) -> DataFrame:
+    """(pid, day, mean, used): after each day with matches, the mean rating before the match of the last ``last`` opponents.
+
+    Opponents without an earlier rating count as used, but not in the mean.
+    """
+    sides = both_sides(matches, ["result_id", "yyyyww", "match_date"])
+    known = asof_before(sides, weekly.select(F.col("pid").alias("opponent"), "week", "rating"), "opponent", "yyyyww", "week", ["rating"])
+    w = Window.partitionBy("pid").orderBy("match_date", "result_id").rowsBetween(-(last - 1), 0)
+    rows = known.select("pid", "match_date", "result_id", F.avg("rating").over(w).alias("mean"), F.count("*").over(w).alias("used"))
+    return rows.groupBy("pid", F.col("match_date").alias("day")).agg(F.max_by("mean", "result_id").alias("mean"), F.max_by("used", "result_id").alias("used"))
+
+
+def anchors(weekly: DataFrame, matches: DataFrame | None = None, mode: str = "global", last: int = 10, fixed: float | None = None) -> DataFrame:
+    """The weekly ratings (week, pid, rating, country_name) with ``anchor`` and, for recent opponents, ``used``.
+
+    A fixed anchor wins. Else it is the week's mean, the mean of the week and country (of rows without a country the
+    week's), or the mean of the last opponents up to the week's Sunday; without any, the week's mean, then the mean of all.
+    """
+    if mode not in ANCHORS or last < 1:
+        raise ValueError(f"mode must be one of {', '.join(ANCHORS)}, and last 1 at least")
+    if fixed is not None:
+        return weekly.withColumn("anchor", F.lit(float(fixed)))
+    # Means are summed by map-side aggregates and joined back, so that no task holds a whole week.
+    own = weekly.groupBy("week", "country_name").agg(F.sum("rating").alias("_s"), F.count("rating").alias("_n"))
+    week = own.groupBy("week").agg((F.sum("_s") / F.sum("_n")).alias("_week"))
+    rows = weekly.join(F.broadcast(week), "week")  # one row a week
+    if mode == "global":
+        return rows.withColumn("anchor", F.col("_week")).drop("_week")
+    if mode == "domestic":
+        mean = own.where("country_name IS NOT NULL").select("week", "country_name", (F.col("_s") / F.col("_n")).alias("_own"))
+        return rows.join(mean, ["week", "country_name"], "left").withColumn("anchor", F.coalesce("_own", "_week")).drop("_week", "_own")
+    whole = F.broadcast(own.agg((F.sum("_s") / F.sum("_n")).alias("_all")))  # one row
+    recent = recent_opponents(matches, weekly, last)
+    known = asof_before(rows.withColumn("_until", F.date_add(week_sunday(F.col("week")), 1)), recent, "pid", "_until", "day", ["mean", "used"])
+    return known.crossJoin(whole).withColumns({"anchor": F.coalesce("mean", "_week", "_all"), "used": F.coalesce("used", F.lit(0))}).select(*weekly.columns, "anchor", "used")
+
+
+def lowered(rating: Column, anchor: Column, comparability: Column) -> Column:
+    """A rating above its anchor drawn towards it, the less comparable the more; others stay."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), comparability))
+    return F.when(rating <= anchor, rating).otherwise(anchor + share * (rating - anchor))

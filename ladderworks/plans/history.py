@@ -199,6 +199,15 @@ def anchored(s, d):
     return rounded(rows.select("pid", "all_mean", F.coalesce("own_mean", "all_mean").alias("own_mean"), low("all_mean").alias("by_all"), low("own_mean").alias("by_own")))
 
 
+def anchor_modes(s, d):
+    """Every week's anchors by all modes: of all, of the country, and of the last ten opponents with how many there were."""
+    w, f = weekly(s, d).select("week", "pid", "rating", "country_name"), fixtures(s, d)
+    rows = connectivity.anchors(w).select("week", "pid", F.col("anchor").alias("by_all"))
+    own = connectivity.anchors(w, mode="domestic").select("week", "pid", F.col("anchor").alias("by_country"))
+    last = connectivity.anchors(w, f, "oppo_recent_mean").select("week", "pid", F.col("anchor").alias("by_opponents"), "used")
+    return rounded(rows.join(own, ["week", "pid"]).join(last, ["week", "pid"]))
+
+
 def _scored(s, d):
     f = fixtures(s, d)
     return serving.predictions(f, ratings.running_strength(f))
@@ -291,7 +300,7 @@ QUERIES = {
     "WIN06_filled": filled, "WIN10_mean_ranks": mean_ranks, "WIN12_previous_weeks": previous_weeks, "WIN13_client_ladder": client_ladder, "J17_ranks_by_week": ranks_by_week, "J05_predicted_results": predicted_results,
     "AGG04_activity": activity, "AGG23_modal_moves": modal_moves, "AGG24_rank_shares": rank_shares, "AGG29_median_leader": median_leader, "TOP03_movers": movers, "TOP04_swings": swings, "TOP07_top_union": top_union,
     "GC14_power_scores": power_scores, "GC16_community_weeks": community_weeks, "GC17_diagnostics": diagnostics, "GC19_reasonableness": reasonableness, "AGG17_deciles": deciles, "AGG18_communities": communities_now,
-    "FLT18_high_low": high_low, "HD03_recent_opponents": recent_opponents, "HD10_anchored": anchored, "EV03_rolling": rolling, "EV04_grid": grid, "EV12_head_to_head": head_to_head, "EV11_calibration_report": calibration_report,
+    "FLT18_high_low": high_low, "HD03_recent_opponents": recent_opponents, "HD09_anchor_modes": anchor_modes, "HD10_anchored": anchored, "EV03_rolling": rolling, "EV04_grid": grid, "EV12_head_to_head": head_to_head, "EV11_calibration_report": calibration_report,
     "TS03_regimes": regimes, "TS05_regime_steps": regime_steps, "Q02_teams": teams, "Q05_timeseries": timeseries, "Q09_identity": identity, "Q15_search": search, "Q17_rated_countries": rated_countries,
 }
 
@@ -328,6 +337,11 @@ def oracle_sql() -> dict[str, str]:
         "AGG18_communities": sql("fcbseg", _SNAP + " SELECT nullif(community, '') AS community, count(*) AS n, round(avg(rating), 5) AS mean_rating, round(avg(adjusted), 5) AS mean_adjusted, round(avg(adjusted - rating), 5) AS mean_delta, round(avg(effective), 5) AS mean_effective, round(avg(trust), 5) AS mean_trust FROM sn GROUP BY 1"),
         "FLT18_high_low": sql("fcbseg", _SNAP + ", q9 AS (SELECT quantile_cont(round(rating, 6), 0.9) AS high, quantile_cont(round(trust, 6), 0.25) AS low FROM sn) SELECT pid, round(rating, 5) AS rating, round(trust, 5) AS trust FROM sn CROSS JOIN q9 WHERE round(sn.rating, 6) >= round(high, 6) AND round(sn.trust, 6) <= round(low, 6)"),
         "HD03_recent_opponents": sql("fbs", ", o AS (SELECT b.pid, b.yyyyww, b.match_date, b.result_id, s.rating FROM b ASOF LEFT JOIN s ON b.opponent = s.pid AND b.yyyyww > s.week), v AS (SELECT pid, yyyyww, match_date, result_id, avg(rating) OVER q AS m, count(*) OVER q AS used FROM o WINDOW q AS (PARTITION BY pid ORDER BY yyyyww, match_date, result_id ROWS 9 PRECEDING)) SELECT pid, yyyyww AS week, round(m, 5) AS mean_opponent, used FROM v QUALIFY row_number() OVER (PARTITION BY pid, yyyyww ORDER BY match_date DESC, result_id DESC) = 1"),
+        "HD09_anchor_modes": sql("fcbsw", """, o AS (SELECT b.pid, b.match_date, b.result_id, s.rating FROM b ASOF LEFT JOIN s ON b.opponent = s.pid AND b.yyyyww > s.week),
+v AS (SELECT pid, match_date, result_id, avg(rating) OVER q AS m, count(*) OVER q AS used FROM o WINDOW q AS (PARTITION BY pid ORDER BY match_date, result_id ROWS 9 PRECEDING)),
+k2 AS (SELECT pid, match_date, m, used FROM v QUALIFY row_number() OVER (PARTITION BY pid, match_date ORDER BY result_id DESC) = 1),
+ww AS (SELECT w.*, date_trunc('week', make_date(week // 100, 1, 4))::DATE + ((week % 100 - 1) * 7 + 7)::INT AS until, avg(rating) OVER (PARTITION BY week) AS a, avg(rating) OVER (PARTITION BY week, country_name) AS c FROM w)
+SELECT week, ww.pid, round(a, 5) AS by_all, round(CASE WHEN country_name IS NULL THEN a ELSE c END, 5) AS by_country, round(coalesce(m, a), 5) AS by_opponents, coalesce(used, 0) AS used FROM ww ASOF LEFT JOIN k2 ON ww.pid = k2.pid AND ww.until > k2.match_date"""),
         "HD10_anchored": sql("fcbsed", f", nw AS (SELECT s.pid, s.rating, x, country_name FROM s JOIN x6 USING (week, pid) LEFT JOIN c ON club_id = s.pid WHERE week = (SELECT max(week) FROM s)), aw AS (SELECT *, avg(rating) OVER () AS all_mean, avg(rating) OVER (PARTITION BY country_name) AS own_mean FROM nw) SELECT pid, round(all_mean, 5) AS all_mean, round(own_mean, 5) AS own_mean, round({low.format('aw.all_mean')}, 5) AS by_all, round({low.format('aw.own_mean')}, 5) AS by_own FROM aw"),
         "EV03_rolling": sql("fbsp", ", v AS (SELECT yyyyww, row_number() OVER (ORDER BY yyyyww) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT yyyyww FROM p)), t AS (SELECT p.*, share, i, n FROM p JOIN v USING (yyyyww) CROSS JOIN (SELECT unnest([0.5, 0.6, 0.7, 0.8])::DOUBLE AS share)) SELECT share, count(DISTINCT yyyyww) AS test_weeks, count(*) AS n, round(avg(-(actual * ln(expected) + (1 - actual) * ln(1 - expected))), 5) AS log_loss, round(avg(pow(expected - actual, 2)), 5) AS brier, round(avg(CASE WHEN actual <> 0.5 THEN ((expected >= 0.5) = (actual = 1))::INT END), 5) AS accuracy FROM t WHERE i >= greatest(1, least(t.n - 1, floor(t.n * share))) GROUP BY share"),
         "EV04_grid": sql("fbsp", ", v AS (SELECT width, actual, 1 / (1 + pow(10.0::DOUBLE, -(home_pre - away_pre) / width)) AS e FROM p CROSS JOIN (SELECT unnest([200, 300, 400, 500, 600])::DOUBLE AS width)), t AS (SELECT width, count(*) AS n, round(avg(-(actual * ln(e) + (1 - actual) * ln(1 - e))), 7) AS log_loss FROM v GROUP BY width) SELECT *, row_number() OVER (ORDER BY log_loss, width) = 1 AS is_best FROM t"),

@@ -36,29 +36,29 @@ def require(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def season_files(spark: SparkSession, root: str) -> DataFrame:
-    """Season files under root/country/season/league.csv, one reader for each family of headers.
+    """Season files under root/country/season/league.csv: one CSV scan for each family of headers, over that family's files.
 
-    Files are grouped by their header line with one distributed read of first lines; a family is then read as a whole.
-    Blank and malformed lines are dropped, the season column wins over the path's.
+    One pass over the files finds their first lines. Quoted cells are read as CSV has them; blank lines and rows without both
+    sides are dropped, cells beyond the header count no more, the season column wins over the path's. Files whose first
+    line names no column of a match are left out.
     """
-    lines = spark.read.text(f"{root}/*/*/*.csv").select(F.col("_metadata.file_path").alias("path"), "value")
-    heads = lines.where(F.rlike("value", F.lit("(^|,)(Div|Date|Season|HomeTeam|Home|HT)(,|$)"))).groupBy(F.col("value").alias("header")).agg(F.count("*").alias("files"))
-    parts = []
-    for head in (r.header for r in heads.select("header").collect()):  # a handful of header families
-        names = [h.strip().lstrip("﻿") or f"_c{i}" for i, h in enumerate(head.split(","))]
-        own = lines.where(F.col("value") == head).select("path").distinct()
-        raw = spark.read.text(f"{root}/*/*/*.csv").select(F.col("_metadata.file_path").alias("path"), "value").where(F.col("value") != head).join(own, "path", "left_semi")
-        row = F.split("value", ",", -1)
-        cells = {n: F.get(row, F.lit(i)) for i, n in enumerate(names)}
-        pick = [F.coalesce(*[F.nullif(F.trim(cells[a]), F.lit("")) for a in alias if a in cells] or [F.lit(None).cast("string")]).alias(c) for c, alias in ALIASES.items()]
-        parts.append(raw.select("path", *pick))
-    if not parts:
+    lines = spark.read.text(f"{root}/*/*/*.csv").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("k"))
+    heads = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "k").alias("header"))
+    parts = None
+    for family in heads.groupBy("header").agg(F.collect_list("path").alias("paths")).collect():  # the paths that the driver lists anyway
+        names = [h.strip().strip('"') for h in (family.header or "").lstrip("\ufeff").split(",")]
+        at = {n: f"_c{i}" for i, n in reversed(list(enumerate(names)))}
+        if not any(n in at for alias in ALIASES.values() for n in alias):
+            continue
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(sorted(family.paths))
+        pick = [F.coalesce(*[F.nullif(F.trim(F.col(at[a])), F.lit("")) for a in alias if a in at] or [F.lit(None).cast("string")]).alias(c) for c, alias in ALIASES.items()]
+        rows = raw.select(F.col("_metadata.file_path").alias("path"), *pick)
+        parts = rows if parts is None else parts.unionByName(rows)
+    if parts is None:
         return spark.createDataFrame([], "country string, season string, league string, match_date date, home_team string, away_team string, home_goals int, away_goals int, result string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
     of = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)/([^/]+)\.csv$", k)
-    return out.where("home_team IS NOT NULL AND away_team IS NOT NULL").select(of(1).alias("country"), F.coalesce("season", of(2)).alias("season"), of(3).alias("league"), parse_date(F.col("match_date")).alias("match_date"), "home_team", "away_team", F.expr("try_cast(home_goals AS int)").alias("home_goals"), F.expr("try_cast(away_goals AS int)").alias("away_goals"), "result")
+    return parts.where("home_team IS NOT NULL AND away_team IS NOT NULL").select(of(1).alias("country"), F.coalesce("season", of(2)).alias("season"), of(3).alias("league"), parse_date(F.col("match_date")).alias("match_date"), "home_team", "away_team", F.expr("try_cast(home_goals AS int)").alias("home_goals"), F.expr("try_cast(away_goals AS int)").alias("away_goals"), "result")
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
