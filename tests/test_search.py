@@ -10,6 +10,10 @@ from test_ratings import MATCH, Engine, season
 WEEKS = [202001, 202002, 202004, 202005, 202007, 202010, 202011, 202012]
 
 
+def same(got, want):
+    return set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_one_pass_rates_as_separate_runs(spark):
     frame = spark.createDataFrame(season(5, WEEKS), MATCH)
     engines = search.configurations({"rd": [200.0, 300.0], "tau": [0.3, 0.8], "decay": [0.0, 3.0]}, Engine(grace=1))
@@ -17,7 +21,7 @@ def test_one_pass_rates_as_separate_runs(spark):
     whole = {(r.config, r.week, r.pid): (r.mu, r.phi, r.sigma, r.seen) for r in ratings.rated_weeks(frame, engines, chain=3).collect()}
     for c in (0, 5, 7):
         alone = {(c, r.week, r.pid): (r.mu, r.phi, r.sigma, r.seen) for r in ratings.weekly_states(frame, engines[c]).collect()}
-        assert alone == pytest.approx({k: v for k, v in whole.items() if k[0] == c}, abs=1e-9)
+        assert same(alone, {k: v for k, v in whole.items() if k[0] == c})
 
 
 def test_scores_of_held_out_weeks(spark):
@@ -69,13 +73,13 @@ def test_penalised_segments_against_a_plain_programme(spark):
     frame = spark.createDataFrame([(k, i, v) for k, vs in series.items() for i, v in enumerate(vs)], "pid int, week int, rating double").repartition(4)
     got = {}
     for x in penalised_segments(frame, "pid", "week", "rating").collect():
-        got.setdefault(x.pid, {})[x.segment] = (x.start, x.end, x.n, round(x.mean, 6))
+        got[x.pid, x.segment] = (x.start, x.end, x.n, x.mean)
     want = {}
     for k, vs in series.items():
         if len(vs) >= 36:
             cuts = plain_cuts(vs)[:9]
-            want[k] = {j + 1: (a, b - 1, b - a, round(sum(vs[a:b]) / (b - a), 6)) for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))}
-    assert got == want and any(len(v) > 3 for v in want.values())
+            want |= {(k, j): (a, b - 1, b - a, sum(vs[a:b]) / (b - a)) for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), 1)}
+    assert same(got, want) and any(j > 3 for _, j in want)
 
 
 def test_elite_weeks(spark):
