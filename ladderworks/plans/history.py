@@ -9,6 +9,7 @@ from ladderworks.functions.scoring import elo_expected
 from ladderworks.functions.weeks import week_monday
 from ladderworks.operators import connectivity, evaluate, ratings
 from ladderworks.operators.asof import asof_before, snapshot
+from ladderworks.operators.keeping import kept
 from ladderworks.operators.segments import segments, typical_step
 from ladderworks.plans import serving
 from ladderworks.plans.common import layer, rounded, sql, weekly
@@ -113,9 +114,9 @@ def top_union(s, d):
 
 
 def _adjusted_now(s, d):
-    """The connectivity layer's rows of the latest week; no other week is computed."""
+    """The connectivity layer's rows of the latest week, kept, as they are read more than once; no other week is computed."""
     w, edges = layer(s, d)
-    return connectivity.adjust(snapshot(w), edges)
+    return kept(connectivity.adjust(snapshot(w), edges))
 
 
 def power_scores(s, d):
