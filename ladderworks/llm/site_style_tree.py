@@ -49,13 +49,12 @@ CONTENT_WEIGHT = 0.9
 EVERYWHERE = 0.9
 MAX_DEPTH = 64
 SHORT_WORDS = 24
-HELD_ROWS = 100_000
+HELD_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
 _OPENS = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
 _TAG_STOP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WHITE = re.compile(r"\s+")
 _DIGITS = re.compile(r"[0-9]+")
 #: Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -229,7 +228,11 @@ def _placed(parent: Node, tag: str, source: str) -> tuple[Node, str]:
 
 def leaf(path: int, text: str) -> int:
     """The text as a leaf of the node, numbers masked."""
-    return _chained(path, "#" + _DIGITS.sub("0", text))
+    return _masked_leaf(path, _DIGITS.sub("0", text))
+
+
+def _masked_leaf(path: int, masked: str) -> int:
+    return _chained(path, "#" + masked)
 
 
 def blocks(html: str, low: frozenset[int] | None = None, lines: frozenset[int] = frozenset()) -> tuple[list[Block], list[Node]]:
@@ -246,7 +249,7 @@ def blocks(html: str, low: frozenset[int] | None = None, lines: frozenset[int] =
 
     def flush() -> None:
         if pending:
-            text = _WHITE.sub(" ", unescape("".join(pending))).strip()
+            text = " ".join(unescape("".join(pending)).split())
             pending.clear()
             if text and not holder.code and not (holder.prior < LOW if low is None else holder.path in low) and not (lines and holder.tag in _TEXT and leaf(holder.path, text) in lines):
                 out.append(Block(holder, text))
@@ -328,7 +331,7 @@ def _hash(text: str) -> int:
 
 def page_facts(html: str) -> tuple[dict[int, tuple[Node, int]], dict[tuple[int, int], tuple[int, int]], set[tuple[int, int]]]:
     """Of a page: its style nodes by path with a hash of the child tags under them; its features by path and hash with the words
-    that each stands for and how often it occurs; its short paragraphs and headings as leaves."""
+    that each stands for and how often it occurs; its short paragraphs and headings as leaves, which the long ones are anyway."""
     found, nodes = blocks(html, frozenset())
     shapes: dict[int, tuple[Node, list[str]]] = {}
     for n in nodes:
@@ -337,15 +340,16 @@ def page_facts(html: str) -> tuple[dict[int, tuple[Node, int]], dict[tuple[int,
     features: dict[tuple[int, int], tuple[int, int]] = {}
     lines = set()
     for b in found:
-        path, words = b.node.path, _DIGITS.sub("0", b.text).lower().split()
-        if len(words) > SHORT_WORDS:
-            features[path, leaf(path, b.text)] = (len(words), 1)
-        else:
-            for w, n in Counter(words).items():
-                key = path, _hash(w)
-                features[key] = (1, n + features.get(key, (1, 0))[1])
+        path, masked = b.node.path, _DIGITS.sub("0", b.text)
+        if masked.count(" ") >= SHORT_WORDS:
+            features[path, _masked_leaf(path, masked)] = (masked.count(" ") + 1, 1)
+            continue
+        for w in masked.lower().split(" "):
+            key = path, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63)
+            known = features.get(key)
+            features[key] = (1, known[1] + 1) if known else (1, 1)
         if b.node.tag in _TEXT:
-            lines.add((path, leaf(path, b.text)))
+            lines.add((path, _masked_leaf(path, masked)))
     return {path: (n, _hash(" ".join(children))) for path, (n, children) in shapes.items()}, features, lines
 
 
@@ -370,13 +374,16 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple, list] = {}
     nodes: dict[tuple, tuple] = {}
 
-    def rows() -> pa.RecordBatch:
-        none = (None,) * 5
-        out = [(*key, *tally, *(nodes[key[:2]] if key[2] == _SHAPE else none)) for key, tally in counts.items()]
-        columns = zip(*out, strict=True) if out else [[]] * len(_OBSERVED)
+    def rows() -> Iterator[pa.RecordBatch]:
+        """The shapes with the facts of their nodes, then the others without."""
+        for shapes in (True, False):
+            found = [(*key, *tally) for key, tally in counts.items() if (key[2] == _SHAPE) == shapes]
+            columns = list(zip(*found, strict=True)) if found else [[]] * 7
+            columns += (list(zip(*(nodes[r[:2]] for r in found), strict=True)) if found else [[]] * 5) if shapes else [None] * 5
+            arrays = [pa.nulls(len(found), f.type) if c is None else pa.array(c, f.type) for c, f in zip(columns, _OBSERVED, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=_OBSERVED)
         counts.clear()
         nodes.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OBSERVED, strict=True)], schema=_OBSERVED)
 
     def count(key: tuple, words: int, n: int) -> None:
         tally = counts.get(key)
@@ -399,12 +406,12 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, value in lines:
                 count((host, path, _LINE, value), 0, 1)
             if len(counts) > HELD_ROWS:
-                yield rows()
-    yield rows()
+                yield from rows()
+    yield from rows()
 
 
 def _statistics(pages: DataFrame, html_col: str, url_col: str, min_pages: int) -> DataFrame:
-    """A row for each style node of a host, and one for each leaf (``line``) that is on enough pages to be low."""
+    """Sums of each style node of a host, in a row of its own for each leaf (``line``) that is on enough pages to be low."""
     own = packed(pages, html_col, host=_host(url_col)).select("host", "_text")
     seen = own.mapInArrow(_observed, _OBSERVED_DDL)
     facts = ["prior", "framed", "named", "role", "above"]
@@ -412,14 +419,17 @@ def _statistics(pages: DataFrame, html_col: str, url_col: str, min_pages: int) -
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
     c = F.col("c").cast("double")
     spread = F.greatest(F.lit(0.0), F.log(c) - F.col("s") / c)
-    line = F.when((F.col("kind") == _LINE) & (c >= EVERYWHERE * min_pages), F.col("value"))
+    whole = (F.col("kind") == _LINE) | ((F.col("kind") == _FEATURE) & (F.col("words") > SHORT_WORDS))
+    line = F.when(whole & (c >= EVERYWHERE * min_pages), F.col("value"))
     sums = [of(_SHAPE, F.col("c")).alias("pages"), of(_SHAPE, c * F.log(c)).alias("shapes"), of(_FEATURE, F.col("words")).alias("words"), of(_FEATURE, F.col("words") * spread).alias("spread")]
     return kept(counts.withColumn("line", line).groupBy("host", "path", "line").agg(*sums, F.sum("c").alias("c"), *[F.min(f).alias(f) for f in facts]))
 
 
 def _tree(statistics: DataFrame, min_pages: int, low: float, names: bool) -> DataFrame:
     m, span = F.col("pages").cast("double"), F.greatest(F.log(F.col("pages").cast("double")), F.lit(1e-9))
-    nodes = statistics.where(F.col("line").isNull() & F.col("pages").isNotNull()).select(
+    facts = [F.min(f).alias(f) for f in ("prior", "framed", "named", "role", "above")]
+    whole = statistics.groupBy("host", "path").agg(*[F.sum(f).alias(f) for f in ("pages", "shapes", "words", "spread")], *facts)
+    nodes = whole.where("pages IS NOT NULL").select(
         "host", "path", "pages", "named", "role", "framed", "above",
         (F.col("prior") if names else F.lit(1.0)).alias("prior"),
         F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), (F.log(m) - F.col("shapes") / m) / F.log(m))).otherwise(1.0).alias("presentation"),
