@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ladderworks.functions import names, scoring, weeks
 from ladderworks.operators import connectivity, evaluate, ratings, upsert
-from ladderworks.plans import attached, history, resolution, scalars, serving, stored, tables, trials
+from ladderworks.plans import attached, history, narratives, resolution, scalars, serving, stored, tables, trials
 from ladderworks.plans.common import layer as _layer
 from ladderworks.plans.common import r as _r
 from ladderworks.plans.common import rounded as _rounded
@@ -225,7 +225,7 @@ _NAMES: dict[str, Query] = {
 }
 
 
-_MORE = (scalars, tables, history, resolution, trials, attached, stored)
+_MORE = (scalars, tables, history, resolution, trials, attached, stored, narratives)
 
 
 def queries() -> dict[str, Query]:
