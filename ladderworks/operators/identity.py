@@ -1,7 +1,7 @@
 """Names resolved to known clubs: exact keys, then fuzzy matches, then new ids; and staged rows brought to a main table's ids.
 
 Fuzzy matches come from two inverted indexes and no pairs are compared that neither of them yields. Both lose no pair of the
-wanted score: what the score allows two names to differ by, bounds how many words or pairs of letters of a name can
+wanted score: what the score allows two names to differ by, bounds how many words or pieces of words of a name can
 be missing in the other one, and one more than that, the rarest, are looked up.
 """
 
@@ -24,16 +24,13 @@ _BLANK = "(?U)[\\s\\x1C-\\x1F]+"
 
 
 def _described(names: DataFrame) -> DataFrame:
-    """(name, words, size): distinct names with words, and the length of the words joined by spaces."""
+    """(name, words, size, odd): distinct names with words, the length of the words joined by spaces, and a bit for each letter
+    (by code point modulo 63) that stands in them an odd number of times."""
     words = F.array_distinct(F.filter(F.split("name", _BLANK), lambda w: w != ""))
     rows = names.where("name IS NOT NULL").select("name").distinct().withColumn("words", words).where(F.size("words") > 0)
-    return rows.withColumn("size", F.length(F.array_join("words", " ")))
-
-
-def _grams() -> Column:
-    """Pairs of neighbouring letters within words; a word of one letter is a gram itself."""
-    parts = lambda w: F.when(F.length(w) == 1, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 1)), lambda k: F.substr(w, k, F.lit(2))))
-    return F.flatten(F.transform("words", parts))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(c) % 63)
+    odd = F.aggregate(F.split(F.array_join("words", ""), ""), F.lit(0).cast("bigint"), lambda acc, c: F.when(c == "", acc).otherwise(acc.bitwiseXOR(bit(c))))
+    return rows.withColumns({"size": F.length(F.array_join("words", " ")), "odd": odd})
 
 
 def _word_prefixes(units: DataFrame, s: float) -> DataFrame:
@@ -48,47 +45,57 @@ def _word_prefixes(units: DataFrame, s: float) -> DataFrame:
     return units.withColumn("_before", before).where(F.col("_before") <= most + 1e-9).select("name", "size", "unit")
 
 
-def _most_lost(size: Column, s: float) -> Column:
-    """Grams of a name of this size that can be missing in one at least as long.
+def _pieces(q: Column) -> Column:
+    """Every word in pieces of q letters or some more; words of fewer letters have none."""
+    cut = lambda w, p: F.transform(F.sequence(F.lit(1), p), lambda k: F.substr(w, F.floor((k - 1) * F.length(w) / p).cast("int") + 1, (F.floor(k * F.length(w) / p) - F.floor((k - 1) * F.length(w) / p)).cast("int")))
+    return F.flatten(F.transform(F.filter("words", lambda w: F.length(w) >= q), lambda w: cut(w, F.floor(F.length(w) / q).cast("int"))))
 
-    Edits (letters put in or left out) are at most (1 - s) times both sizes, and the sizes differ by no more. A letter put in
-    breaks one gram, one left out two; of the shorter name no more are left out than put in. So edits break at most 1.5
-    grams each.
-    """
-    return F.floor(1.5 * F.floor((1 - s) * (size + F.floor(size * (2 - s) / s + 1e-9)) + 1e-9))
 
+def _edited(x: DataFrame, y: DataFrame, s: float, strict: bool) -> DataFrame:
+    """(_x, _y): described names and those of ``y`` that are as long or longer (strict: longer) whose letters may be alike enough.
 
-def _gram_prefixes(units: DataFrame, s: float) -> DataFrame:
-    rare = Window.partitionBy("name").orderBy("n", "unit")
-    return units.withColumn("_k", F.row_number().over(rare)).where(F.col("_k") <= _most_lost(F.col("size"), s) + 1).select("name", "size", "unit").distinct()
+    Letters put in or left out are at most (1 - s) times both sizes, and odd if the sizes' sum is. Each breaks at most one of
+    the pieces that words are cut into, so of one piece more than that at least one stands within a word of the other name. Pieces
+    are cut in two sizes, and those count whose rarest pieces are in the fewest names of the other size. Each edit
+    moves a letter's bit of ``odd`` too. Names with too few letters for so many pieces meet all names of the size.
+    """
+    to = F.explode(F.sequence(F.col("size") + int(strict), F.greatest(F.col("size") + int(strict), F.floor(F.col("size") * (2 - s) / s + 1e-9).cast("int"))))
+    sizes = y.select(F.col("size").alias("to")).distinct()
+    most = F.floor((1 - s) * (F.col("size") + F.col("to")) + 1e-9)
+    rows = x.withColumn("to", to).join(F.broadcast(sizes), "to").withColumn("k", (most - (most + F.col("size") + F.col("to")) % 2 + 1).cast("int")).where("k > 0")
+    lengths = F.transform("words", F.length)
+    enough = lambda q: F.aggregate(lengths, F.lit(0), lambda n, size: n + F.floor(size / q).cast("int")) >= F.col("k")
+    rows = rows.withColumn("q", F.array_max(F.filter(F.sequence(F.lit(1), F.array_max(lengths)), enough)))
+    cuts = rows.where("q IS NOT NULL").withColumn("q", F.explode(F.filter(F.array("q", F.col("q") - 1), lambda q: q > 0)))
+    pieces = kept(cuts.select("name", "odd", "to", "k", "q", F.posexplode(_pieces(F.col("q"))).alias("at", "piece")))
+    wanted = pieces.select("to", F.length("piece").alias("long")).distinct()
+    parts = F.transform(F.filter("words", lambda w: F.length(w) >= F.col("long")), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - F.col("long") + 1), lambda k: F.substr(w, k, F.col("long"))))
+    held = y.withColumnRenamed("size", "to").join(F.broadcast(wanted), "to").select("to", F.col("name").alias("_y"), F.col("odd").alias("_odd"), F.explode(F.array_distinct(F.flatten(parts))).alias("piece"))
+    often = held.groupBy("to", "piece").agg(F.count("*").alias("n"))
+    known = pieces.join(often, ["to", "piece"], "left").withColumn("n", F.coalesce("n", F.lit(0))).repartition("name", "to")
+    cut = Window.partitionBy("name", "to", "q")
+    rare = known.withColumn("_r", F.row_number().over(cut.orderBy("n", "at"))).where("_r <= k").withColumn("cost", F.sum("n").over(cut))
+    best = rare.withColumn("_b", F.rank().over(Window.partitionBy("name", "to").orderBy("cost", F.desc("q")))).where("_b = 1 AND n > 0")
+    moved = F.bit_count(F.col("odd").bitwiseXOR(F.col("_odd"))) < F.col("k")
+    met = best.select("name", "odd", "to", "k", "piece").distinct().join(held, ["to", "piece"])
+    short = rows.where("q IS NULL").select("name", "odd", "to", "k").join(y.select(F.col("size").alias("to"), F.col("name").alias("_y"), F.col("odd").alias("_odd")), "to")
+    return met.drop("piece").unionByName(short).where(moved).select(F.col("name").alias("_x"), "_y")
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b): names of the left and of the right that may score ``least`` or more; no pair that does is missing."""
     s = least / 100
-    sides = [_described(left), _described(right)]
+    sides = [kept(_described(left)), kept(_described(right))]
+    units = [d.select("name", "size", F.explode("words").alias("unit")) for d in sides]
+    often = units[0].select("unit").unionByName(units[1].select("unit")).groupBy("unit").agg(F.count("*").alias("n"))
     found = None
-
-    def met(x: DataFrame, y: DataFrame, test: Column | None, swap: bool) -> DataFrame:
-        x = x.select(F.col("name").alias("a" if not swap else "b"), F.col("size").alias("_x"), "unit")
-        y = y.select(F.col("name").alias("b" if not swap else "a"), F.col("size").alias("_y"), "unit")
-        rows = x.join(y, "unit")
-        return (rows if test is None else rows.where(test)).select("a", "b")
-
-    longer = (F.col("_x") <= F.col("_y")) & (F.col("_y") <= F.floor(F.col("_x") * (2 - s) / s + 1e-9))
-    for unit, prefix, test in ((F.col("words"), _word_prefixes, None), (_grams(), _gram_prefixes, longer)):
-        units = [d.select("name", "size", F.explode(unit).alias("unit")) for d in sides]
-        often = units[0].select("unit").unionByName(units[1].select("unit")).groupBy("unit").agg(F.count("*").alias("n"))
-        known = [u.join(often, "unit") for u in units]
-        for i in (0, 1):
-            rows = met(prefix(known[i], s), units[1 - i].distinct(), test, i == 1)
-            found = rows if found is None else found.unionByName(rows)
-    # Names of many short words may lose all their grams: they meet the names of the sizes that they can be like.
     for i in (0, 1):
-        short = sides[i].where(F.size(_grams()) <= _most_lost(F.col("size"), s))
-        sizes = F.sequence(F.col("size"), F.floor(F.col("size") * (2 - s) / s + 1e-9).cast("int"))
-        x = short.select("name", F.col("size"), F.explode(sizes.cast("array<string>")).alias("unit"))
-        found = found.unionByName(met(x, sides[1 - i].select("name", "size", F.col("size").cast("string").alias("unit")), None, i == 1))
+        x, y = ("a", "b") if i == 0 else ("b", "a")
+        rare = _word_prefixes(units[i].join(often, "unit"), s)
+        words = rare.select(F.col("name").alias(x), "unit").join(units[1 - i].select(F.col("name").alias(y), "unit"), "unit").select("a", "b")
+        edited = _edited(sides[i], sides[1 - i], s, i == 1).select(F.col("_x").alias(x), F.col("_y").alias(y)).select("a", "b")
+        both = words.unionByName(edited)
+        found = both if found is None else found.unionByName(both)
     return found.distinct()
 
 

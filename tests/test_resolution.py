@@ -96,6 +96,17 @@ def test_no_similar_pair_is_missed(spark, least):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_candidates_grow_with_the_names(spark):
+    """Names of random letters meet those that a letter was changed in, and hardly any others, however many there are."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("bcdfghjklmnpaeio") for _ in range(n)).capitalize()
+    known = [f"{word(9)} {word(6)}" for _ in range(1200)]
+    asked = [n[:2] + "z" + n[3:] for n in known]
+    frame = lambda x: spark.createDataFrame([(n,) for n in x], "name string")
+    assert set(zip(asked, known, strict=True)) <= (got := {(x.a, x.b) for x in identity.candidates(frame(asked), frame(known)).collect()})
+    assert len(got) < 2 * len(known)
+
+
 DIM = [(1, "Rangers", 7), (2, "QPR", 3), (5, "Manchester City", 3), (4, "Manchester City", 9), (6, "Olympiakos", 8), (9, "Real Sociedad", 4)]
 
 
