@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ladderworks.functions.scoring import SCALE, elo_expected, expected
 from ladderworks.operators import evaluate
+from ladderworks.operators.asof import asof_before
 from ladderworks.operators.ratings import INIT_RD, Engine, predicted, rated_weeks
 
 #: The settings of the default grid, 27 in all.
@@ -77,40 +78,46 @@ RANGES = {
 }
 
 
-def adjusted_by_settings() -> Column:
+def adjusted_by_settings(side: str = "") -> Column:
     """A row's adjusted rating by the settings that stand in its columns.
 
     Of the rating it has rating, rd, all_mean, own_mean; of the windows volume and h_norm (null without matches), external and
-    community_norm (null without matches elsewhere).
+    community_norm (null without matches elsewhere). These stand in the struct ``side``, if it is given.
     """
     c = F.col
-    trust = F.coalesce(c("volume") / (c("volume") + c("half_life")), F.lit(0.0))
-    direct = c("direct_floor") + (1 - c("direct_floor")) * F.coalesce("h_norm", F.lit(0.0)) * trust
-    outer = c("community_floor") + (1 - c("community_floor")) * F.coalesce(c("community_norm") * c("external") / (c("external") + c("half_life")), F.lit(0.0))
+    own = lambda n: c(f"{side}.{n}" if side else n)
+    trust = F.coalesce(own("volume") / (own("volume") + c("half_life")), F.lit(0.0))
+    direct = c("direct_floor") + (1 - c("direct_floor")) * F.coalesce(own("h_norm"), F.lit(0.0)) * trust
+    outer = c("community_floor") + (1 - c("community_floor")) * F.coalesce(own("community_norm") * own("external") / (own("external") + c("half_life")), F.lit(0.0))
     effective = F.greatest(c("direct_floor"), F.least(F.lit(1.0), c("blend") * direct + (1 - c("blend")) * outer))
-    total = F.sqrt(c("rd") ** 2 + (c("rd_scale") * F.pow(1 - effective, c("rd_power"))) ** 2)
+    total = F.sqrt(own("rd") ** 2 + (c("rd_scale") * F.pow(1 - effective, c("rd_power"))) ** 2)
     share = F.greatest(c("trust_floor"), F.least(F.lit(1.0), c("trust_floor") + (1 - c("trust_floor")) * effective * trust / (1 + total / c("trust_rd"))))
-    base = c("baseline_blend") * c("all_mean") + (1 - c("baseline_blend")) * c("own_mean")
-    return F.when(c("rating") <= base, c("rating")).otherwise(base + share * (c("rating") - base))
+    base = c("baseline_blend") * own("all_mean") + (1 - c("baseline_blend")) * own("own_mean")
+    return F.when(own("rating") <= base, own("rating")).otherwise(base + share * (own("rating") - base))
+
+
+#: What a rating and its windows have.
+PARTS = ["rating", "rd", "volume", "h_norm", "external", "community_norm", "all_mean", "own_mean"]
 
 
 def connectivity_search(predictions: DataFrame, parts: DataFrame, trials: list[dict[str, float]]) -> DataFrame:
     """Per trial the mean absolute error of expectations from adjusted ratings, over all matches and the continental ones.
 
     Ratings are fixed and so are the windows: ``parts`` (week, pid and what `adjusted_by_settings` reads) are made once, and a
-    match meets each side's last ones of an earlier week. The trials are a small table that every match meets; they differ
-    in formulas only. A side without earlier parts has its rating before the match.
+    match meets each side's last ones of an earlier week. The trials are a small table that every match meets, with both
+    sides in its row; they differ in formulas only, and only sums by trial are shuffled then. A side without earlier parts
+    has its rating before the match. ``result_id`` is unique.
     """
-    until = F.coalesce(F.lead("week").over(Window.partitionBy("pid").orderBy("week")), F.lit(999999))
-    known = parts.withColumn("until", until).withColumnRenamed("week", "since").withColumnRenamed("pid", "_pid")
-    side = lambda x: F.struct(F.lit(1 if x == "home" else -1).alias("sign"), F.col(f"{x}_club_id").alias("pid"), F.col(f"{x}_pre").alias("pre"))
+    side = lambda x: F.struct(F.lit(x == "home").alias("at_home"), F.col(f"{x}_club_id").alias("pid"), F.col(f"{x}_pre").alias("pre"))
     sides = predictions.select("result_id", "yyyyww", "league_code", "actual", F.inline(F.array(side("home"), side("away"))))
-    met = sides.join(known, (F.col("pid") == F.col("_pid")) & (F.col("yyyyww") > F.col("since")) & (F.col("yyyyww") <= F.col("until")), "left")
+    met = asof_before(sides, parts.select("pid", "week", *PARTS), "pid", "yyyyww", "week", ["week", *PARTS])
+    own = F.struct("pre", F.col("week").isNotNull().alias("known"), *PARTS)
+    both = met.groupBy("result_id").agg(F.first("league_code").alias("league_code"), F.first("actual").alias("actual"), F.max(F.when(F.col("at_home"), own)).alias("home"), F.max(F.when(~F.col("at_home"), own)).alias("away"))
     table = predictions.sparkSession.createDataFrame(trials, "trial int, " + ", ".join(f"{k} double" for k in RANGES))
-    tried = met.crossJoin(F.broadcast(table)).withColumn("value", F.coalesce(F.when(F.col("since").isNotNull(), adjusted_by_settings()), F.col("pre")))
-    gaps = tried.groupBy("trial", "result_id", "league_code", "actual").agg(F.sum(F.col("sign") * F.col("value")).alias("gap"))
-    error = F.abs(elo_expected(F.col("gap")) - F.col("actual"))
-    return gaps.groupBy("trial").agg(F.count("*").alias("n"), F.avg(error).alias("mae"), F.avg(F.when(F.col("league_code") == "UCL", error)).alias("continental_mae"))
+    value = lambda x: F.coalesce(F.when(F.col(f"{x}.known"), adjusted_by_settings(x)), F.col(f"{x}.pre"))
+    error = F.abs(elo_expected(value("home") - value("away")) - F.col("actual"))
+    tried = both.crossJoin(F.broadcast(table)).select("trial", "league_code", error.alias("error"))
+    return tried.groupBy("trial").agg(F.count("*").alias("n"), F.avg("error").alias("mae"), F.avg(F.when(F.col("league_code") == "UCL", F.col("error"))).alias("continental_mae"))
 
 
 def elite_weeks(predictions: DataFrame, before: DataFrame, ranks: DataFrame, top: int = 500, least: int = 10, centre: float = 1500.0) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ladderworks.operators import connectivity, ratings, search
+from ladderworks.operators.keeping import kept
 from ladderworks.operators.segments import penalised_segments
 from ladderworks.plans import serving
-from ladderworks.plans.common import layer, rounded, sql, weekly
-from ladderworks.sources.fixtures import fixtures
+from ladderworks.plans.common import layer_of, rounded, sql, weekly
+from ladderworks.sources.fixtures import clubs, fixtures
 
 _TRIALS = 20
 
@@ -43,25 +44,27 @@ def grid(s, d):
 
 def connectivity_trials(s, d):
     """Settings of the connectivity layer tried on fixed ratings (the stand-in)."""
-    w, edges = layer(s, d)
-    f = fixtures(s, d)
+    f = kept(fixtures(s, d))
+    w, edges = layer_of(f, clubs(s, d))
     settings = connectivity.Settings()
-    rows = connectivity.adjust(w, edges, settings)
-    outer = connectivity.community_connectivity(edges, w.select("week").distinct(), settings)
+    rows = kept(connectivity.adjust(w, edges, settings).select("week", "pid", "rating", "rd", "community", "volume", "h_norm"))
+    outer = connectivity.community_connectivity(edges, w, settings)
     norm = (F.col("community_connectivity") - settings.community_floor) / (1 - settings.community_floor) * (F.col("external") + settings.half_life) / F.col("external")
     outer = outer.select("week", "community", "external", norm.alias("community_norm"))
     means = rows.groupBy("week", "community").agg(F.sum("rating").alias("_s"), F.count("*").alias("_n"))
     all_mean = means.groupBy("week").agg((F.sum("_s") / F.sum("_n")).alias("all_mean"))
-    parts = rows.select("week", "pid", "rating", "rd", "community", "volume", "h_norm").join(outer, ["week", "community"], "left").join(means.select("week", "community", (F.col("_s") / F.col("_n")).alias("own_mean")), ["week", "community"]).join(F.broadcast(all_mean), "week")
-    found = search.connectivity_search(serving.predictions(f, ratings.running_strength(f)), parts, search.sampled_settings(_TRIALS))
+    # Communities are countries by a few kinds of competitions: their weeks are a small table.
+    own_mean = means.select("week", "community", (F.col("_s") / F.col("_n")).alias("own_mean"))
+    parts = rows.join(F.broadcast(outer), ["week", "community"], "left").join(F.broadcast(own_mean), ["week", "community"]).join(F.broadcast(all_mean), "week")
+    found = search.connectivity_search(serving.predictions(f, w), parts, search.sampled_settings(_TRIALS))
     out = rounded(found, 6)
     return out.withColumn("is_best", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("mae", "trial")) == 1)  # one row a trial
 
 
 def elite(s, d):
     """The stand-in against a ranking by goals so far, both as they were before the week, over matches of the best 20 of either."""
-    f = fixtures(s, d)
-    strength = ratings.running_strength(f)
+    f = kept(fixtures(s, d))
+    strength = kept(ratings.running_strength(f))
     goals = ratings.both_sides(f, ["yyyyww"]).groupBy(F.col("yyyyww").alias("week"), "pid").agg(F.sum(F.col("goals") - F.col("conceded")).alias("lead"))
     so_far = goals.withColumn("lead", F.sum("lead").over(Window.partitionBy("pid").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)))
     before = serving.known_before(strength.join(so_far, ["week", "pid"]), ["rating", "lead"])

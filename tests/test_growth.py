@@ -4,7 +4,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from ladderworks.operators import connectivity
+from ladderworks.operators import connectivity, search
 
 EDGE = "match_date date, weight double, pid bigint, opponent bigint, own string, other string, cross boolean"
 WEEKS = [201801, 202001, 202005, 202030]
@@ -40,3 +40,13 @@ def test_one_week_reads_its_window_alone(spark):
         rounded = lambda frame: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in frame.collect())
         assert rounded(f(e, weeks_of(spark, [202030]))) == rounded(f(e, weeks_of(spark, WEEKS)).where("week = 202030"))
     assert connectivity.direct_connectivity(e, weeks_of(spark, [])).collect() == []
+
+
+def test_trials_meet_matches_after_the_last_shuffle_of_these(spark):
+    """A row for each trial and side went through a shuffle by match."""
+    matches = spark.createDataFrame([(1, 202005, "UCL", 1, 2, 1500.0, 1600.0, 1.0), (2, 202030, "D3", 2, 3, 1600.0, 1400.0, 0.5)], "result_id bigint, yyyyww int, league_code string, home_club_id bigint, away_club_id bigint, home_pre double, away_pre double, actual double")
+    parts = spark.createDataFrame([(202001, 2, 1700.0, 60.0, 10.0, 0.5, 4.0, 0.3, 1500.0, 1550.0)], "week int, pid bigint, " + ", ".join(f"{c} double" for c in search.PARTS))
+    found = search.connectivity_search(matches, parts, search.sampled_settings(3))
+    assert "hashpartitioning(trial#" in plan(found) and not any("trial#" in x and "result_id#" in x for x in plan(found).splitlines() if "Exchange hashpartitioning" in x)
+    rows = {r.trial: r for r in found.collect()}
+    assert set(rows) == {1, 2, 3} and all(r.n == 2 and r.continental_mae is not None for r in rows.values())
