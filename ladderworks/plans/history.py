@@ -12,7 +12,7 @@ from ladderworks.operators.asof import asof_before, snapshot
 from ladderworks.operators.keeping import kept
 from ladderworks.operators.segments import segments, typical_step
 from ladderworks.plans import serving
-from ladderworks.plans.common import layer, rounded, sql, weekly
+from ladderworks.plans.common import layer, layer_of, rounded, sql, weekly
 from ladderworks.sources.fixtures import clubs, fixtures
 
 #: Weights of the deviation and of missing connectivity in the power score.
@@ -131,8 +131,8 @@ def community_weeks(s, d):
     """Every community with outside matches in a week's window, with means of its rated members; null where it has none."""
     w, edges = layer(s, d)
     means = connectivity.adjust(w, edges).groupBy("week", "community").agg(F.avg("rating").alias("raw_mean"), F.avg("adjusted").alias("adjusted_mean"), F.avg("baseline").alias("baseline_mean"))
-    known = connectivity.community_connectivity(edges, w.select("week").distinct())
-    return rounded(known.join(means, ["week", "community"], "left").select("week", "community", "external", "community_connectivity", "raw_mean", "adjusted_mean", "baseline_mean"))
+    known = connectivity.community_connectivity(edges, w)
+    return rounded(known.join(F.broadcast(means), ["week", "community"], "left").select("week", "community", "external", "community_connectivity", "raw_mean", "adjusted_mean", "baseline_mean"))
 
 
 def diagnostics(s, d):
@@ -241,9 +241,10 @@ def head_to_head(s, d):
 
     A side without an adjusted rating before the match has its raw one.
     """
-    w, edges = layer(s, d)
+    f = kept(fixtures(s, d))
+    w, edges = layer_of(f, clubs(s, d))
     adjusted = connectivity.adjust(w, edges).select("pid", "week", "adjusted")
-    p = _scored(s, d)
+    p = kept(serving.predictions(f, w))
     side = lambda x: F.struct(F.lit(x).alias("side"), F.col(f"{x}_club_id").alias("pid"), F.col(f"{x}_pre").alias("pre"))
     sides = p.select("result_id", "yyyyww", F.inline(F.array(side("home"), side("away"))))
     known = asof_before(sides, adjusted, "pid", "yyyyww", "week", ["adjusted"])

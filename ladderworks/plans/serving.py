@@ -82,9 +82,9 @@ def prior_ratings(matches: DataFrame, weekly: DataFrame) -> DataFrame:
 def predictions(matches: DataFrame, weekly: DataFrame) -> DataFrame:
     """Expectation of the home side from both sides' earlier ratings, the result, and by how much they differ."""
     prior = prior_ratings(matches, weekly).select("result_id", "pid", F.col("pre_rating"))
-    home = prior.select("result_id", F.col("pid").alias("home_club_id"), F.col("pre_rating").alias("home_pre"))
-    away = prior.select("result_id", F.col("pid").alias("away_club_id"), F.col("pre_rating").alias("away_pre"))
-    rows = matches.join(home, ["result_id", "home_club_id"]).join(away, ["result_id", "away_club_id"])
+    both = prior.groupBy("result_id").agg(F.collect_list(F.struct("pid", "pre_rating")).alias("_sides"))  # two of a match
+    pre = lambda x: F.filter("_sides", lambda v: v["pid"] == F.col(f"{x}_club_id"))[0]["pre_rating"]
+    rows = matches.join(both, "result_id").select(*matches.columns, pre("home").alias("home_pre"), pre("away").alias("away_pre"))
     rows = rows.withColumns({"expected": elo_expected(F.col("home_pre") - F.col("away_pre")), "actual": score(F.col("home_team_goals"), F.col("away_team_goals"))})
     return rows.select("result_id", "yyyyww", "league_code", "home_club_id", "away_club_id", "home_pre", "away_pre", "expected", "actual", F.abs(F.col("actual") - F.col("expected")).alias("upset"))
 
