@@ -15,6 +15,18 @@ def metrics(p: Column, actual: Column) -> list[Column]:
     return [F.count("*").alias("n"), F.avg(-(actual * F.log(q) + (1 - actual) * F.log(1 - q))).alias("log_loss"), F.avg((p - actual) ** 2).alias("brier"), F.avg(hit).alias("accuracy"), F.avg(F.abs(p - actual)).alias("mae"), F.sqrt(F.avg((p - actual) ** 2)).alias("rmse")]
 
 
+def sums(p: Column, actual: Column) -> list[Column]:
+    """Sums and counts that `means` makes the first four of `metrics` from, so that groups can be put together."""
+    q = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), p))
+    hit = F.when(actual != 0.5, ((p >= 0.5) == (actual == 1.0)).cast("double"))
+    return [F.count("*").alias("n"), F.count(p - actual).alias("scored"), F.sum(-(actual * F.log(q) + (1 - actual) * F.log(1 - q))).alias("loss"), F.sum((p - actual) ** 2).alias("squares"), F.sum(hit).alias("hits"), F.count(hit).alias("decided")]
+
+
+def means() -> list[Column]:
+    share = lambda total, n: F.try_divide(F.sum(total), F.sum(n))
+    return [F.sum("n").alias("n"), share("loss", "scored").alias("log_loss"), share("squares", "scored").alias("brier"), share("hits", "decided").alias("accuracy")]
+
+
 def calibration(rows: DataFrame, p: str, actual: str, width: float = 0.05, few: int = 30) -> DataFrame:
     """Per bin of the prediction: size, means, gap, shares of wins, draws and losses, and whether the bin is small."""
     share = lambda v: F.avg((F.col(actual) == v).cast("double"))

@@ -7,14 +7,15 @@ import math
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, fields
+from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderworks.functions.scoring import SCALE, expected, g, score, volatility
 from ladderworks.operators.keeping import folder
-from ladderworks.operators.week_steps import DONE, NAMES, SCHEMA, SIDE, STATE, Bucket
+from ladderworks.operators.week_steps import DONE, FIELDS, SCHEMA, SIDE, STATE, Bucket, history, pack_group, reads
 
 INIT_RATING, INIT_RD, INIT_SIGMA = 1500.0, 250.0, 0.06
 
@@ -115,9 +116,10 @@ def rated_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] |
 
     One pass over the weeks rates all configurations. Players are dealt into buckets. In a week every bucket makes its players
     ready and tells their opponents what these read of them; that, and the bucket's own rows, go through one shuffle to the
-    buckets, which form the sums and update their players. ``chain`` weeks are one job; its end is written to the checkpoint
-    folder, and the next goes on from there. So a week is one stage, its work and its messages grow with its matches, and a
-    task holds a bucket of players with one week's messages to them.
+    buckets, which form the sums and update their players. A row holds a bucket's records as bytes, so few rows are shuffled. ``chain`` weeks are one job
+    (fewer, if players are many: what is done is carried to its end); its end is written to the checkpoint folder, and the next
+    goes on from there. So a week is one stage, its work and its messages grow with its matches, and a task holds a bucket of
+    players with one week's messages to them, and what is done in the chain.
 
     Unseen players start from their seed's rating (``seeds``: pid, rating), else from the initial one; players absent for
     ``reseed_after`` weeks start anew. Deviations of those about to play grow with the weeks since they were seen. Ratings
@@ -126,13 +128,30 @@ def rated_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] |
     without information only the week in which a player was seen moves. ``initial`` (pid, mu, phi, sigma, seen) is a state to
     go on from. Matches with a null in a week, side or score are left out.
     """
+    found = _done_weeks(matches, engines, calendar, seeds, initial, chain, only_read=False)
+    return matches.sparkSession.createDataFrame([], HISTORY) if found is None else found.mapInArrow(history, HISTORY)
+
+
+def start_values(matches: DataFrame, engines: list[Engine], chain: int = 16) -> DataFrame:
+    """(pid, week, start_mu, start_phi): what a week's matches read of their players, an array with a value for each engine."""
+    found, schema = _done_weeks(matches, engines, None, None, None, chain, only_read=True), "pid bigint, week int, start_mu array<double>, start_phi array<double>"
+    return matches.sparkSession.createDataFrame([], schema) if found is None else found.mapInArrow(partial(reads, len(engines)), schema)
+
+
+#: Players by configurations of a bucket, the most of one, and of all in chains of full length.
+BUCKET, MOST, CHAINED = 4096, 100_000, 2_000_000
+
+
+def _done_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] | None, seeds: DataFrame | None, initial: DataFrame | None, chain: int, only_read: bool) -> DataFrame | None:
+    """The packed history (week, data) of `rated_weeks`; nothing without weeks."""
     spark, root = matches.sparkSession, f"{folder(matches.sparkSession)}/ratings-{uuid.uuid4().hex}"
     known = matches.select("home_club_id", "away_club_id", "home_team_goals", "away_team_goals", "yyyyww").dropna()
     sides = both_sides(known, ["yyyyww"]).select("yyyyww", F.col("opponent").cast("bigint").alias("pid"), F.col("pid").cast("bigint").alias("other"), F.col("score").alias("x"))
     sides.repartition("yyyyww").write.partitionBy("yyyyww").parquet(f"{root}/sides")
-    have = [r[0] for r in spark.read.parquet(f"{root}/sides").select("yyyyww").distinct().collect()] if not known.isEmpty() else []
+    written = "pid bigint, other bigint, x double, yyyyww int"
+    have = [r[0] for r in spark.read.schema(written).parquet(f"{root}/sides").select("yyyyww").distinct().collect()]
     if not have:
-        return spark.createDataFrame([], HISTORY)
+        return None
     number = lambda w: w // 100 * 53 + w % 100  # noqa: E731  only to see which weeks come first
     clock, before = [], None
     for week in sorted(set(have) | set(calendar or ()), key=number):
@@ -140,7 +159,7 @@ def rated_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] |
             clock.append((week, elapsed_weeks(before, week) if before is not None else 0))
         before = week
 
-    players = spark.read.parquet(f"{root}/sides").select("pid")
+    players = spark.read.schema(written).parquet(f"{root}/sides").select("pid")
     if initial is not None:
         initial = initial.select(F.col("pid").cast("bigint").alias("pid"), "mu", "phi", "sigma", "seen")
         state = players.unionByName(initial.select("pid")).distinct().join(initial, "pid", "left")
@@ -159,20 +178,19 @@ def rated_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] |
     # A session of its own: adaptive plans would make a job of each shuffle.
     own = spark.newSession()
     rows = own.read.parquet(f"{root}/start").count()
-    parts = max(min(-(-rows // 512), int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-rows // 20000))
+    parts = max(min(-(-rows // BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-rows // MOST))
+    chain = max(min(chain, 4), min(chain, CHAINED // rows))
     for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", str(parts))):
         own.conf.set(k, v)
     settings = {f.name: np.array([float(getattr(e, f.name)) for e in engines]) for f in fields(Engine)}
 
-    def full(frame: DataFrame, kind: int) -> DataFrame:
-        have = {"bucket": F.pmod("pid", F.lit(parts)).cast("int"), "kind": F.lit(kind)}
-        kinds = dict(c.split() for c in SCHEMA.split(", "))
-        blank = {n: (F.lit(math.nan) if t == "double" else F.lit(0)).cast(t) for n, t in kinds.items() if n not in frame.columns}
-        return frame.withColumns(blank | have).select(*[F.col(n).cast(t).alias(n) for n, t in kinds.items()])
+    def full(frame: DataFrame, kind: int, week: Column) -> DataFrame:
+        dealt = frame.select(F.pmod("pid", F.lit(parts)).cast("int").alias("bucket"), week.cast("int").alias("_week"), *FIELDS[kind])
+        return dealt.groupBy("bucket", "_week").applyInArrow(lambda key, table: pack_group(kind, key, table), SCHEMA)
 
     def step(done: int | None, to_tell: int | None, gaps: dict[int, int], elapsed: int):
         def run(key, table):
-            bucket = Bucket(table, settings, parts)
+            bucket = Bucket(table, settings, parts, only_read)
             if done is not None:
                 bucket.update(done)
             if to_tell is not None:
@@ -181,21 +199,20 @@ def rated_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] |
 
         return run
 
-    state, weeks_so_far = full(own.read.parquet(f"{root}/start"), STATE), {*seen} - {None}
+    plain = "bucket int, week int, data binary"
+    state, weeks_so_far = full(own.read.parquet(f"{root}/start"), STATE, F.lit(0)), {*seen} - {None}
     for at in range(0, len(clock), chain):
         weeks = clock[at : at + chain]
-        played = own.read.option("basePath", f"{root}/sides").schema("pid bigint, other bigint, x double, yyyyww int").parquet(*[f"{root}/sides/yyyyww={w}" for w, _ in weeks])
-        rows, done = state.unionByName(full(played.withColumnRenamed("yyyyww", "week"), SIDE)), None
+        played = own.read.option("basePath", f"{root}/sides").schema(written).parquet(*[f"{root}/sides/yyyyww={w}" for w, _ in weeks])
+        rows, done = state.unionByName(full(played, SIDE, F.col("yyyyww"))), None
         for week, elapsed in [*weeks, (None, 0)]:
             gaps = {w: elapsed_weeks(w, week) for w in weeks_so_far} if week is not None else {}
             rows = rows.groupBy("bucket").applyInArrow(step(done, week, gaps, elapsed), SCHEMA)
             weeks_so_far |= {week} - {None}
             done = week
         rows.write.partitionBy("kind").parquet(f"{root}/chain={at}")
-        state = own.read.schema(SCHEMA.replace("kind int, ", "")).parquet(f"{root}/chain={at}/kind={STATE}").withColumn("kind", F.lit(STATE)).select(*NAMES)
-    found = spark.read.schema(SCHEMA.replace("kind int, ", "")).parquet(*[f"{root}/chain={at}/kind={DONE}" for at in range(0, len(clock), chain)])
-    real = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
-    return found.select("config", "pid", "week", F.col("x").alias("mu"), F.col("y").alias("phi"), F.col("z").alias("sigma"), F.col("other").cast("int").alias("seen"), real("pre_mu").alias("start_mu"), real("pre_phi").alias("start_phi"))
+        state = own.read.schema(plain).parquet(f"{root}/chain={at}/kind={STATE}").select("bucket", F.lit(STATE).alias("kind"), "week", "data")
+    return spark.read.schema(plain).parquet(*[f"{root}/chain={at}/kind={DONE}" for at in range(0, len(clock), chain)]).select("week", "data")
 
 
 def weekly_states(matches: DataFrame, engine: Engine = Engine(), calendar: list[int] | None = None, seeds: DataFrame | None = None, initial: DataFrame | None = None) -> DataFrame:
@@ -203,12 +220,14 @@ def weekly_states(matches: DataFrame, engine: Engine = Engine(), calendar: list[
     return rated_weeks(matches, [engine], calendar, seeds, initial).select("week", "pid", "mu", "phi", "sigma", "seen")
 
 
-def predicted(matches: DataFrame, history: DataFrame) -> DataFrame:
-    """Each match under each configuration: (config, result_id, yyyyww, home_club_id, away_club_id, p, actual), p from what the match read."""
-    side = lambda x: history.where("start_mu IS NOT NULL").select("config", F.col("week").alias("yyyyww"), F.col("pid").alias(f"{x}_club_id"), F.col("start_mu").alias(f"_{x}_mu"), F.col("start_phi").alias(f"_{x}_phi"))
-    rows = matches.join(side("home"), ["yyyyww", "home_club_id"]).join(side("away"), ["config", "yyyyww", "away_club_id"])
+def predicted(matches: DataFrame, starts: DataFrame) -> DataFrame:
+    """Each match under each configuration: (config, result_id, yyyyww, home_club_id, away_club_id, p, actual), p from what the match
+    read (`start_values`). Matches meet their sides once for all configurations."""
+    side = lambda x: starts.select(F.col("week").alias("yyyyww"), F.col("pid").alias(f"{x}_club_id"), F.col("start_mu").alias(f"_{x}_mu"), F.col("start_phi").alias(f"_{x}_phi"))
+    rows = matches.join(side("home").drop("_home_phi"), ["yyyyww", "home_club_id"]).join(side("away"), ["yyyyww", "away_club_id"])
     actual = score(F.col("home_team_goals"), F.col("away_team_goals"))
-    return rows.select("config", "result_id", "yyyyww", "home_club_id", "away_club_id", expected(F.col("_home_mu"), F.col("_away_mu"), F.col("_away_phi")).alias("p"), actual.alias("actual"))
+    rows = rows.select("result_id", "yyyyww", "home_club_id", "away_club_id", actual.alias("actual"), F.posexplode(F.arrays_zip("_home_mu", "_away_mu", "_away_phi")).alias("config", "_v"))
+    return rows.select("config", "result_id", "yyyyww", "home_club_id", "away_club_id", expected(F.col("_v._home_mu"), F.col("_v._away_mu"), F.col("_v._away_phi")).alias("p"), "actual")
 
 
 def elapsed_weeks(earlier: int, later: int) -> int:

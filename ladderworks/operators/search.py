@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ladderworks.functions.scoring import SCALE, elo_expected, expected
 from ladderworks.operators import evaluate
 from ladderworks.operators.asof import asof_before
-from ladderworks.operators.ratings import INIT_RD, Engine, predicted, rated_weeks
+from ladderworks.operators.keeping import kept
+from ladderworks.operators.ratings import INIT_RD, Engine, predicted, start_values
 
 #: The settings of the default grid, 27 in all.
 GRID = {"rd": [200.0, 250.0, 300.0], "sigma": [0.06, 0.08, 0.1], "tau": [0.3, 0.5, 0.8]}
@@ -26,27 +27,30 @@ def configurations(grid: dict[str, list], base: Engine = Engine()) -> list[Engin
 
 def engine_predictions(matches: DataFrame, engines: list[Engine]) -> DataFrame:
     """Predictions of every match by every engine (config is its place in the list)."""
-    return predicted(matches, rated_weeks(matches, engines))
+    matches = kept(matches.select("result_id", "yyyyww", "home_club_id", "away_club_id", "home_team_goals", "away_team_goals"))
+    return predicted(matches, start_values(matches, engines))
 
 
-def _numbered_weeks(predictions: DataFrame) -> DataFrame:
-    """Weeks from 0 on and their number: a calendar, one row a week."""
-    spine = predictions.select("yyyyww").distinct().withColumn("i", F.row_number().over(Window.orderBy("yyyyww")) - 1)
-    return F.broadcast(spine.withColumn("weeks", F.count("*").over(Window.partitionBy(F.lit(1)))))
+def _weekly_sums(predictions: DataFrame) -> DataFrame:
+    """Sums of the scores by configuration and week, kept: all that follows reads these few rows, not predictions. ``i`` numbers
+    the ``weeks`` from 0 on."""
+    sums = kept(predictions.groupBy("config", "yyyyww").agg(*evaluate.sums(F.col("p"), F.col("actual"))))
+    spine = sums.select("yyyyww").distinct().withColumn("i", F.row_number().over(Window.orderBy("yyyyww")) - 1)  # one row a week
+    return sums.join(F.broadcast(spine.withColumn("weeks", F.count("*").over(Window.partitionBy(F.lit(1))))), "yyyyww")
 
 
 def held_out(predictions: DataFrame, share: float = SPLIT) -> DataFrame:
     """Per configuration the scores of the last weeks: of n weeks those from the int(n * share)-th on, but neither all nor none."""
-    rows = predictions.join(_numbered_weeks(predictions), "yyyyww")
     split = F.greatest(F.lit(1), F.least(F.col("weeks") - 1, F.floor(F.col("weeks") * share)))
-    return rows.where(F.col("i") >= split).groupBy("config").agg(F.count_distinct("yyyyww").alias("weeks"), *evaluate.metrics(F.col("p"), F.col("actual"))).select("config", "weeks", "n", "log_loss", "brier", "accuracy")
+    rows = _weekly_sums(predictions).where(F.col("i") >= split)
+    return rows.groupBy("config").agg(F.count("*").alias("weeks"), *evaluate.means()).select("config", "weeks", "n", "log_loss", "brier", "accuracy")
 
 
 def rolling_origin(predictions: DataFrame, train: int = 10, step: int = 1) -> DataFrame:
     """Per configuration the mean scores of the splits after the first ``train`` weeks, ``step`` weeks each."""
-    rows = predictions.join(_numbered_weeks(predictions), "yyyyww").where(F.col("i") >= train)
+    rows = _weekly_sums(predictions).where(F.col("i") >= train)
     split = F.floor((F.col("i") - train) / step).alias("split")
-    parts = rows.groupBy("config", split).agg(*evaluate.metrics(F.col("p"), F.col("actual")))
+    parts = rows.groupBy("config", split).agg(*evaluate.means())
     return parts.groupBy("config").agg(F.count("*").alias("splits"), F.sum("n").alias("n"), *[F.avg(c).alias(c) for c in ("log_loss", "brier", "accuracy")])
 
 

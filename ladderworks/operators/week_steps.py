@@ -1,13 +1,14 @@
 """One week of the rating engine on a bucket of players, as arrays: what the players tell each other, and their update.
 
-Rows of all kinds share one schema, so a week is one shuffle of rows to their buckets. Kinds: ``STATE`` of a player under a
-configuration, ``TOLD`` (what an opponent tells a player), ``SIDE`` of a match to come (who tells whom which score), and ``DONE``
-(a player after a week, carried to the end of the chain).
+A row holds many records of one kind as bytes, so that a week is one shuffle of few rows to their buckets. Kinds: ``STATE`` of a
+bucket's players under all configurations, ``TOLD`` (what opponents of one bucket tell players of another), ``SIDE`` of a week's
+matches to come (who tells whom which score), and ``DONE`` (the players after a week, carried unread to the end of the chain).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,65 @@ import pyarrow as pa
 from ladderworks.functions.scoring import SCALE
 
 STATE, TOLD, SIDE, DONE = range(4)
-#: A column's meaning by kind: week (of the row, or when a state's player was seen, 0 for never), other (side: who is told; done:
-#: when seen), x, y, z (mu, phi, sigma; told: mu, phi, score; side: score), start (where a new player starts), and
-#: pre_mu, pre_phi (done: what the week's matches read).
-SCHEMA = "bucket int, kind int, config int, pid bigint, week int, other bigint, x double, y double, z double, start double, pre_mu double, pre_phi double"
-_KINDS = {"int": np.int32, "bigint": np.int64, "double": np.float64}
-NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-_DTYPES = [_KINDS[c.split()[1]] for c in SCHEMA.split(", ")]
+SCHEMA = "bucket int, kind int, week int, data binary"
+#: A record's fields by kind: week (when a state's player was seen, 0 for never), other (side: who is told; done: when seen), x, y, z
+#: (mu, phi, sigma; told: mu, phi, score; side: score), start (where a new player starts), and pre_mu, pre_phi (done: what the
+#: week's matches read).
+FIELDS = {
+    STATE: {"config": "<i4", "week": "<i4", "pid": "<i8", "x": "<f8", "y": "<f8", "z": "<f8", "start": "<f8"},
+    TOLD: {"config": "<i4", "pid": "<i8", "x": "<f8", "y": "<f8", "z": "<f8"},
+    SIDE: {"pid": "<i8", "other": "<i8", "x": "<f8"},
+    DONE: {"config": "<i4", "other": "<i4", "pid": "<i8", "x": "<f8", "y": "<f8", "z": "<f8", "pre_mu": "<f8", "pre_phi": "<f8"},
+}
+
+
+def packed(kind: int, columns: dict[str, np.ndarray]) -> bytes:
+    """Records as bytes, column after column."""
+    return b"".join(np.ascontiguousarray(columns[n], t).tobytes() for n, t in FIELDS[kind].items())
+
+
+def unpacked(kind: int, parts: list[bytes]) -> dict[str, np.ndarray]:
+    size = sum(np.dtype(t).itemsize for t in FIELDS[kind].values())
+    found: dict[str, list[np.ndarray]] = {n: [np.zeros(0, t)] for n, t in FIELDS[kind].items()}
+    for data in parts:
+        n, at = len(data) // size, 0
+        for name, t in FIELDS[kind].items():
+            found[name].append(np.frombuffer(data, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return {n: np.concatenate(x) for n, x in found.items()}
+
+
+def rows_of_table(rows: list[tuple]) -> pa.Table:
+    """Rows (bucket, kind, week, data) as a table."""
+    columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "week", "data"])
+
+
+def pack_group(kind: int, key: tuple, table: pa.Table) -> pa.Table:
+    """A bucket's records of one kind and week as one row."""
+    return rows_of_table([(key[0].as_py(), kind, key[1].as_py(), packed(kind, {n: table.column(n).to_numpy() for n in FIELDS[kind]}))])
+
+
+def history(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of players after weeks, one row each."""
+    for batch in batches:
+        for week, data in zip(batch.column("week").to_pylist(), batch.column("data"), strict=True):
+            d = unpacked(DONE, [data.as_py()])
+            real = lambda x: pa.array(x, mask=np.isnan(x))
+            columns = {"config": pa.array(d["config"]), "pid": pa.array(d["pid"]), "week": pa.array(np.full(len(d["pid"]), week, np.int32)), "mu": pa.array(d["x"]), "phi": pa.array(d["y"]), "sigma": pa.array(d["z"]), "seen": pa.array(d["other"]), "start_mu": real(d["pre_mu"]), "start_phi": real(d["pre_phi"])}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def reads(count: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a week's matches read of its players, a row for each with a value for each of ``count`` configurations."""
+    for batch in batches:
+        for week, data in zip(batch.column("week").to_pylist(), batch.column("data"), strict=True):
+            data = data.as_py()
+            n = len(data) // (8 + 16 * count)
+            values = np.frombuffer(data, "<f8", 2 * n * count, 8 * n)
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * count)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (values[: n * count], values[n * count :])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, "<i8", n)), pa.array(np.full(n, week, np.int32)), *lists], ["pid", "week", "start_mu", "start_phi"])
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -62,30 +115,32 @@ def new_sigma(sigma: np.ndarray, phi: np.ndarray, variance: np.ndarray, delta: n
 
 
 class Bucket:
-    """The rows of one bucket of players by kind."""
+    """The rows of one bucket of players by kind. With ``only_read`` the history has what matches read alone."""
 
-    def __init__(self, table: pa.Table, settings: dict[str, np.ndarray], buckets: int):
-        columns = {n: table.column(n).to_numpy() for n in NAMES}
-        self.of = {k: {n: c[columns["kind"] == k] for n, c in columns.items()} for k in range(4)}
-        s = self.of[STATE]
+    def __init__(self, table: pa.Table, settings: dict[str, np.ndarray], buckets: int, only_read: bool = False):
+        self.bucket = table.column("bucket")[0].as_py()
+        rows = sorted(zip(table.column("kind").to_pylist(), table.column("week").to_pylist(), table.column("data").to_pylist(), strict=True), key=lambda r: r[:2])
+        s = unpacked(STATE, [d for k, _, d in rows if k == STATE])
         order = np.lexsort((s["config"], s["pid"]))
-        self.of[STATE] = {n: c[order] for n, c in s.items()}
-        self.set, self.buckets, self.count = settings, buckets, len(settings["tau"])
+        self.state = {n: c[order] for n, c in s.items()}
+        self.messages = unpacked(TOLD, [d for k, _, d in rows if k == TOLD])
+        self.rest = [(self.bucket, k, w, d) for k, w, d in rows if k in (SIDE, DONE)]
+        self.set, self.buckets, self.count, self.only_read = settings, buckets, len(settings["tau"]), only_read
         # Every player has a row for each configuration, so the row of (pid, config) is count * place + config.
-        self.pids = self.of[STATE]["pid"][:: self.count]
+        self.pids = self.state["pid"][:: self.count]
 
     def setting(self, name: str, rows=slice(None)) -> np.ndarray:
-        return self.set[name][self.of[STATE]["config"][rows]]
+        return self.set[name][self.state["config"][rows]]
 
     def rows_of(self, pids: np.ndarray, config: np.ndarray) -> np.ndarray:
         return self.count * np.searchsorted(self.pids, pids) + config
 
     def tell(self, week: int, gaps: dict[int, int], elapsed: int) -> None:
         """The states as the week's matches read them, and what its players tell their opponents. gaps: weeks from a week to this one."""
-        s, sides = self.of[STATE], self.of[SIDE]
-        now = sides["week"] == week
-        teller, told, score = sides["pid"][now], sides["other"][now], sides["x"][now]
-        self.of[SIDE] = {n: c[~now] for n, c in sides.items()}
+        s, now = self.state, lambda r: r[1] == SIDE and r[2] == week
+        sides = unpacked(SIDE, [r[3] for r in self.rest if now(r)])
+        teller, told, score = sides["pid"], sides["other"], sides["x"]
+        self.rest = [r for r in self.rest if not now(r)]
         plays = np.repeat(np.isin(self.pids, teller), self.count)
         seen = s["week"]
         distinct, back = np.unique(seen, return_inverse=True)
@@ -102,11 +157,17 @@ class Bucket:
         config = np.tile(np.arange(self.count), len(teller))
         rows = self.rows_of(np.repeat(teller, self.count), config)
         pid = np.repeat(told, self.count)
-        self.told = {"kind": TOLD, "bucket": pid % self.buckets, "config": config, "pid": pid, "week": week, "x": s["x"][rows], "y": s["y"][rows], "z": np.repeat(score, self.count)}
+        sent = {"config": config, "pid": pid, "x": s["x"][rows], "y": s["y"][rows], "z": np.repeat(score, self.count)}
+        to = pid % self.buckets
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
+        for part in np.split(order, cuts[1:]) if len(order) else []:
+            # The week of a message is the bucket that sends it: rows are read in its order, so sums are the same each time.
+            self.rest.append((int(to[part[0]]), TOLD, self.bucket, packed(TOLD, {n: c[part] for n, c in sent.items()})))
 
     def update(self, week: int) -> None:
         """The states after the week, from what its players were told, and a row of each known player for the history."""
-        s, t = self.of[STATE], self.of[TOLD]
+        s, t = self.state, self.messages
         n = len(s["pid"])
         at = self.rows_of(t["pid"], t["config"])
         weight, lead = _g(t["y"]), SCALE * (t["x"] - s["x"][at])
@@ -131,13 +192,14 @@ class Bucket:
         s["x"][moved] += phi * phi * total[moved]
         s["y"][moved], s["z"][moved] = phi, sigma
         s["week"] = np.where(games > 0, week, s["week"]).astype(np.int32)
-        known = s["week"] > 0
-        self.done = {"kind": DONE, "week": week, "other": s["week"][known], "pre_mu": pre_mu[known], "pre_phi": pre_phi[known]} | {n: s[n][known] for n in ("bucket", "config", "pid", "x", "y", "z")}
+        if self.only_read:
+            own = games > 0  # of a player in all configurations alike
+            data = b"".join((s["pid"][own][:: self.count].tobytes(), pre_mu[own].tobytes(), pre_phi[own].tobytes()))
+        else:
+            known = s["week"] > 0
+            done = {"other": s["week"], "pre_mu": pre_mu, "pre_phi": pre_phi} | {n: s[n] for n in ("config", "pid", "x", "y", "z")}
+            data = packed(DONE, {n: c[known] for n, c in done.items()})
+        self.rest.append((self.bucket, DONE, week, data))
 
     def table(self) -> pa.Table:
-        parts = [self.of[STATE], self.of[SIDE], self.of[DONE], *(p for p in (getattr(self, "told", None), getattr(self, "done", None)) if p)]
-        columns = []
-        for n, kind in zip(NAMES, _DTYPES, strict=True):
-            blank = np.nan if kind is np.float64 else 0
-            columns.append(pa.array(np.concatenate([np.broadcast_to(np.asarray(p.get(n, blank)), p["pid"].shape).astype(kind) for p in parts])))
-        return pa.Table.from_arrays(columns, NAMES)
+        return rows_of_table([(self.bucket, STATE, 0, packed(STATE, self.state)), *self.rest])

@@ -2,9 +2,11 @@
 
 from datetime import date, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ladderworks.operators import connectivity, search
+from ladderworks.operators import connectivity, ratings, search, week_steps
+from test_ratings import MATCH, Engine, season
 
 EDGE = "match_date date, weight double, pid bigint, opponent bigint, own string, other string, cross boolean"
 WEEKS = [201801, 202001, 202005, 202030]
@@ -50,3 +52,26 @@ def test_trials_meet_matches_after_the_last_shuffle_of_these(spark):
     assert "hashpartitioning(trial#" in plan(found) and not any("trial#" in x and "result_id#" in x for x in plan(found).splitlines() if "Exchange hashpartitioning" in x)
     rows = {r.trial: r for r in found.collect()}
     assert set(rows) == {1, 2, 3} and all(r.n == 2 and r.continental_mae is not None for r in rows.values())
+
+
+def test_packed_weeks_pass_between_buckets(spark, monkeypatch):
+    """Few rows are shuffled, whatever the number of players; several buckets give what one does."""
+    matches = spark.createDataFrame(season(8, [202001, 202002, 202004, 202010, 202015]), MATCH)
+    values = lambda: sorted((r.config, r.week, r.pid, round(r.mu, 9), round(r.phi, 9), r.seen, r.start_mu and round(r.start_mu, 9)) for r in ratings.rated_weeks(matches, [Engine(), ratings.COUNTRY], chain=2).collect())
+    one = values()
+    monkeypatch.setattr(ratings, "BUCKET", 5)
+    assert values() == one and len(one) > 40
+    rows = [(0, k, 0, 0.1, 0.2, 0.3, 0.0) for k in range(1000)]
+    columns = dict(zip(("config", "pid", "week", "x", "y", "z", "start"), map(np.array, zip(*rows, strict=True)), strict=True))
+    start = week_steps.rows_of_table([(0, week_steps.STATE, 0, week_steps.packed(week_steps.STATE, columns))])
+    settings = {f: np.array([float(getattr(Engine(), f))]) for f in Engine.__dataclass_fields__}
+    assert week_steps.Bucket(start, settings, 1).table().num_rows == 1
+
+
+def test_what_matches_read_is_a_row_a_player(spark):
+    """Every configuration had a row of its own for each side, and all met the matches."""
+    matches = spark.createDataFrame(season(9, [202001, 202003, 202009]), MATCH)
+    engines = [Engine(), Engine(rd=300.0), ratings.COUNTRY]
+    got = {(r.week, r.pid): r for r in ratings.start_values(matches, engines, chain=2).collect()}
+    want = [r for r in ratings.rated_weeks(matches, engines).collect() if r.start_mu is not None]
+    assert len(want) == 3 * len(got) and all(abs(got[r.week, r.pid].start_mu[r.config] - r.start_mu) < 1e-9 and abs(got[r.week, r.pid].start_phi[r.config] - r.start_phi) < 1e-9 for r in want)
