@@ -61,9 +61,22 @@ def season_files(spark: SparkSession, root: str) -> DataFrame:
     return parts.where("home_team IS NOT NULL AND away_team IS NOT NULL").select(of(1).alias("country"), F.coalesce("season", of(2)).alias("season"), of(3).alias("league"), parse_date(F.col("match_date")).alias("match_date"), "home_team", "away_team", F.expr("try_cast(home_goals AS int)").alias("home_goals"), F.expr("try_cast(away_goals AS int)").alias("away_goals"), "result")
 
 
+#: Fixed value: the rows that a task sums up.
+ROWS = 1_000_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows in tasks by the key, with no more than about ``ROWS`` in one, however large the table; counts come from its footers.
+
+    What groups by the key, or by it and more, needs no shuffle then.
+    """
+    spark, n = rows.sparkSession, -(-rows.count() // ROWS)
+    return rows.repartition(n, key) if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(key)
+
+
 def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of the star schema: the two outer suppliers of an order meet; goals follow from the quantities they ship."""
-    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    line = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), "l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
     sides = line.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("lo"), F.max("l_suppkey").alias("hi"), F.min_by("q", "l_suppkey").alias("q_lo"), F.max_by("q", "l_suppkey").alias("q_hi")).where("lo <> hi")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     even = F.col("o_orderkey") % 2 == 0

@@ -75,3 +75,15 @@ def test_what_matches_read_is_a_row_a_player(spark):
     got = {(r.week, r.pid): r for r in ratings.start_values(matches, engines, chain=2).collect()}
     want = [r for r in ratings.rated_weeks(matches, engines).collect() if r.start_mu is not None]
     assert len(want) == 3 * len(got) and all(abs(got[r.week, r.pid].start_mu[r.config] - r.start_mu) < 1e-9 and abs(got[r.week, r.pid].start_phi[r.config] - r.start_phi) < 1e-9 for r in want)
+
+
+def test_tasks_of_fixtures_grow_with_the_lines(spark, monkeypatch):
+    """A larger table made larger tasks, not more of them, and was shuffled twice."""
+    from ladderworks.sources import fixtures
+
+    path = "/root/testdata/sf0.001"
+    before = sorted(map(str, fixtures.fixtures(spark, path).collect()))
+    monkeypatch.setattr(fixtures, "ROWS", 500)
+    found = fixtures.fixtures(spark, path)
+    assert sorted(map(str, found.collect())) == before and "hashpartitioning(l_orderkey" in plan(found) and "REPARTITION_BY_NUM" in plan(found)
+    assert fixtures.dealt(fixtures.table(spark, path, "lineitem"), "l_orderkey").rdd.getNumPartitions() > 4
