@@ -139,7 +139,7 @@ def start_values(matches: DataFrame, engines: list[Engine], chain: int = 16) ->
 
 
 #: Players by configurations of a bucket, the most of one, and of all in chains of full length.
-BUCKET, MOST, CHAINED = 4096, 100_000, 2_000_000
+BUCKET, MOST, CHAINED = 8192, 100_000, 2_000_000
 
 
 def _done_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] | None, seeds: DataFrame | None, initial: DataFrame | None, chain: int, only_read: bool) -> DataFrame | None:
