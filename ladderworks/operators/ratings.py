@@ -53,8 +53,17 @@ def running_strength(matches: DataFrame) -> DataFrame:
     """(week, pid, rating, rd, matches): 1500 plus 400 times the lead of the mean score so far over a half."""
     weekly = both_sides(matches, ["yyyyww"]).groupBy("yyyyww", "pid").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
     w = Window.partitionBy("pid").orderBy("yyyyww").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total, played = F.sum("s").over(w), F.sum("n").over(w)
-    return weekly.select(F.col("yyyyww").alias("week"), "pid", (1500.0 + 400.0 * (total / played - 0.5)).alias("rating"), (350.0 / F.sqrt(1.0 + played)).alias("rd"), F.col("n").alias("matches"))
+    return weekly.select(F.col("yyyyww").alias("week"), "pid", *_strength(F.sum("s").over(w), F.sum("n").over(w)), F.col("n").alias("matches"))
+
+
+def _strength(total: Column, played: Column) -> tuple[Column, Column]:
+    return (1500.0 + 400.0 * (total / played - 0.5)).alias("rating"), (350.0 / F.sqrt(1.0 + played)).alias("rd")
+
+
+def final_strength(matches: DataFrame) -> DataFrame:
+    """(pid, week, rating, rd): everybody's last row of `running_strength`, from sums of a player alone."""
+    total = both_sides(matches, ["yyyyww"]).groupBy("pid").agg(F.max("yyyyww").alias("week"), F.sum("score").alias("s"), F.count("*").alias("n"))
+    return total.select("pid", "week", *_strength(F.col("s"), F.col("n")))
 
 
 def period_sums(matches: DataFrame, state: DataFrame | None = None) -> DataFrame:

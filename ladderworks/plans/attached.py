@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderworks.operators import connectivity
-from ladderworks.operators.asof import snapshot
 from ladderworks.operators.upsert import keep_first
 from ladderworks.plans import serving
-from ladderworks.plans.common import layer, rounded, sql, weekly
+from ladderworks.plans.common import layer_now, rounded, sql, weekly
 from ladderworks.sources.fixtures import fixtures, table
 
 
@@ -57,9 +56,8 @@ def attributes(s, d):
 
 def with_connectivity(s, d):
     """Final ratings with the connectivity layer's columns of the last week, one row a club; null where it has none."""
-    w, edges = layer(s, d)
-    now = connectivity.adjust(snapshot(w), edges).select("pid", "effective", "total_rd", "trust", "baseline", "adjusted")
-    return rounded(attached(_final(s, d), now, "pid"))
+    now, edges, final = layer_now(s, d)
+    return rounded(attached(final, connectivity.adjust(now, edges, opponents=False).select("pid", "effective", "total_rd", "trust", "baseline", "adjusted"), "pid"))
 
 
 def on_map(s, d):

@@ -12,7 +12,7 @@ from ladderworks.operators.asof import asof_before, snapshot
 from ladderworks.operators.keeping import kept
 from ladderworks.operators.segments import segments, typical_step
 from ladderworks.plans import serving
-from ladderworks.plans.common import layer, layer_of, rounded, sql, weekly
+from ladderworks.plans.common import layer, layer_now, layer_of, rounded, sql, weekly
 from ladderworks.sources.fixtures import clubs, fixtures
 
 #: Weights of the deviation and of missing connectivity in the power score.
@@ -115,8 +115,8 @@ def top_union(s, d):
 
 def _adjusted_now(s, d):
     """The connectivity layer's rows of the latest week, kept, as they are read more than once; no other week is computed."""
-    w, edges = layer(s, d)
-    return kept(connectivity.adjust(snapshot(w), edges))
+    now, edges, _ = layer_now(s, d)
+    return kept(connectivity.adjust(now, edges, opponents=False))
 
 
 def power_scores(s, d):

@@ -87,3 +87,30 @@ def test_tasks_of_fixtures_grow_with_the_lines(spark, monkeypatch):
     found = fixtures.fixtures(spark, path)
     assert sorted(map(str, found.collect())) == before and "hashpartitioning(l_orderkey" in plan(found) and "REPARTITION_BY_NUM" in plan(found)
     assert fixtures.dealt(fixtures.table(spark, path, "lineitem"), "l_orderkey").rdd.getNumPartitions() > 4
+
+
+def test_latest_week_makes_no_other_weeks(spark, monkeypatch):
+    """Queries of the latest week made, shuffled and kept the ratings of all weeks, and the matches of all years with communities."""
+    from ladderworks.operators.asof import snapshot
+    from ladderworks.plans import attached, common, history
+    from ladderworks.sources.fixtures import clubs, fixtures
+
+    path = "/root/testdata/sf0.001"
+    weekly, all_edges = common.layer(spark, path)
+    now, edges, final = common.layer_now(spark, path)
+    values = lambda frame: sorted(map(str, frame.collect()))
+    assert values(now) == values(snapshot(weekly).select("week", "pid", "rating", "rd")) and now.count() > 0
+    assert values(final) == values(history.serving.latest(weekly).select("pid", "week", "rating", "rd"))
+    assert 0 < edges.count() < all_edges.count()
+    sums = plan(ratings.final_strength(fixtures(spark, path)))
+    assert "Window" not in sums and "hashpartitioning(yyyyww" not in sums
+    assert connectivity.within(connectivity.weighted_fixtures(fixtures(spark, path), clubs(spark, path)), weeks_of(spark, [])).count() == 0
+
+    def refused(*args, **more):
+        raise AssertionError("ratings of all weeks")
+
+    want = values(connectivity.adjust(snapshot(weekly), all_edges).select("pid", "opponents", "community", *[F.round(c, 9) for c in ("trust", "adjusted")]))
+    assert values(connectivity.adjust(now, edges).select("pid", "opponents", "community", *[F.round(c, 9) for c in ("trust", "adjusted")])) == want
+    monkeypatch.setattr(ratings, "running_strength", refused)
+    for query in (history.deciles, history.diagnostics, history.communities_now, history.high_low, history.reasonableness, history.power_scores, attached.with_connectivity):
+        assert query(spark, path).count() > 0
