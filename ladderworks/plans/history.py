@@ -130,7 +130,7 @@ def power_scores(s, d):
 def community_weeks(s, d):
     """Every community with outside matches in a week's window, with means of its rated members; null where it has none."""
     w, edges = layer(s, d)
-    means = connectivity.adjust(w, edges).groupBy("week", "community").agg(F.avg("rating").alias("raw_mean"), F.avg("adjusted").alias("adjusted_mean"), F.avg("baseline").alias("baseline_mean"))
+    means = connectivity.adjust(w, edges, opponents=False).groupBy("week", "community").agg(F.avg("rating").alias("raw_mean"), F.avg("adjusted").alias("adjusted_mean"), F.avg("baseline").alias("baseline_mean"))
     known = connectivity.community_connectivity(edges, w)
     return rounded(known.join(F.broadcast(means), ["week", "community"], "left").select("week", "community", "external", "community_connectivity", "raw_mean", "adjusted_mean", "baseline_mean"))
 

@@ -114,3 +114,13 @@ def test_latest_week_makes_no_other_weeks(spark, monkeypatch):
     monkeypatch.setattr(ratings, "running_strength", refused)
     for query in (history.deciles, history.diagnostics, history.communities_now, history.high_low, history.reasonableness, history.power_scores, attached.with_connectivity):
         assert query(spark, path).count() > 0
+
+
+def test_primary_communities_are_summed_up_by_hash(spark):
+    """The weeks of all of a player's communities were sorted. Of equal weights the first in order wins, and none comes first of all."""
+    assert "SortAggregate" not in plan(connectivity.primary_community(edges(spark), weeks_of(spark, WEEKS)))
+    day = date(2020, 7, 20)
+    rows = [(day, 1.0, 1, 9, "B|x", "Z", False), (day, 0.5, 1, 9, "A|x", "Z", False), (day, 0.5, 1, 8, "A|x", "Z", False), (day, 1.0, 2, 9, "B|x", "Z", False), (day, 0.999999, 2, 9, "A|x", "Z", False), (day, 1.0, 3, 9, None, "Z", False), (day, 1.0, 3, 9, "A|x", "Z", False)]
+    for weeks in ([202030], [202030, 202031]):
+        found = connectivity.primary_community(spark.createDataFrame(rows, EDGE), weeks_of(spark, weeks)).where("week = 202030")
+        assert {r.pid: r.community for r in found.collect()} == {1: "A|x", 2: "B|x", 3: None}
