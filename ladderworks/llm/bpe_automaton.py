@@ -37,8 +37,10 @@ from ladderworks.llm.frames import packed, row_field, trimmed, unpacked
 WORD_END = "</w>"
 #: Unicode's White_Space, stated because regex libraries differ on the ASCII separators.
 _WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+#: What str.split takes for white space besides.
+_SEPARATORS = re.compile("[\\x1c-\\x1f]")
 #: What a worker holds at most: twice so many known pieces of text (of at most ``_PIECE`` characters each), pairs of tokens, states.
-_PIECES, _PIECE = 1 << 15, 64
+_PIECES, _PIECE = 1 << 17, 64
 _PAIRS = 1 << 17
 _STATES = 1 << 17
 
@@ -225,7 +227,7 @@ class WordBpe:
         self.older: dict[str, tuple[bytes, str]] = {}
 
     def normal(self, text: str) -> str:
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def piece(self, text: str) -> tuple[bytes, str]:
         """The ids of a text without white space, as bytes, and its labels. No word goes over white space."""
@@ -254,7 +256,7 @@ class WordBpe:
                 found.append((struct.pack("<I", self.added[part]), part))
             else:
                 known, piece = self.known.get, self.piece
-                found += [known(p) or piece(p) for p in _WHITE.split(part) if p]
+                found += [known(p) or piece(p) for p in (_WHITE.split(part) if _SEPARATORS.search(part) else part.split()) if p]
         return b"".join([ids for ids, _ in found]), " ".join([labels for ids, labels in found if ids])
 
 
