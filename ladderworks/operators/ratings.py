@@ -10,12 +10,12 @@ from dataclasses import dataclass, fields
 from functools import partial
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ladderworks.functions.scoring import SCALE, expected, g, score, volatility
 from ladderworks.operators.keeping import folder
-from ladderworks.operators.week_steps import DONE, FIELDS, SCHEMA, SIDE, STATE, Bucket, history, pack_group, reads
+from ladderworks.operators.week_steps import DONE, FIELDS, HELD, READS, SCHEMA, SCORES, SIDE, STATE, STATES, Bucket, history, pack_group, reads, scores
 
 INIT_RATING, INIT_RD, INIT_SIGMA = 1500.0, 250.0, 0.06
 
@@ -137,28 +137,49 @@ def rated_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] |
     without information only the week in which a player was seen moves. ``initial`` (pid, mu, phi, sigma, seen) is a state to
     go on from. Matches with a null in a week, side or score are left out.
     """
-    found = _done_weeks(matches, engines, calendar, seeds, initial, chain, only_read=False)
+    found = _done_weeks(matches, engines, calendar, seeds, initial, chain, STATES)
     return matches.sparkSession.createDataFrame([], HISTORY) if found is None else found.mapInArrow(history, HISTORY)
 
 
 def start_values(matches: DataFrame, engines: list[Engine], chain: int = 16) -> DataFrame:
     """(pid, week, start_mu, start_phi): what a week's matches read of their players, an array with a value for each engine."""
-    found, schema = _done_weeks(matches, engines, None, None, None, chain, only_read=True), "pid bigint, week int, start_mu array<double>, start_phi array<double>"
+    found, schema = _done_weeks(matches, engines, None, None, None, chain, READS), "pid bigint, week int, start_mu array<double>, start_phi array<double>"
     return matches.sparkSession.createDataFrame([], schema) if found is None else found.mapInArrow(partial(reads, len(engines)), schema)
 
 
-#: Players by configurations of a bucket, the most of one, and of all in chains of full length.
-BUCKET, MOST, CHAINED = 8192, 100_000, 2_000_000
+def score_sums(matches: DataFrame, engines: list[Engine], chain: int = 16) -> DataFrame:
+    """(config, yyyyww, n, scored, loss, squares, hits, decided): sums of the scores of predictions (`evaluate.sums`) by week.
+
+    A player at home, once told what the opponent is like, has both values that the prediction is made of. So it is scored there
+    and then: neither predictions nor what they are made of is carried, stored or joined to matches, only a few sums a week.
+    """
+    found, schema = _done_weeks(matches, engines, None, None, None, chain, SCORES), "config int, yyyyww int, n bigint, scored bigint, loss double, squares double, hits double, decided bigint"
+    return matches.sparkSession.createDataFrame([], schema) if found is None else found.mapInArrow(scores, schema)
+
+
+#: Players by configurations of a bucket at least; the most of one, where weeks give a record of each and where they
+#: give less; and of all in chains of full length in the first case.
+BUCKET, MOST, MOST_BARE, CHAINED = 8192, 100_000, 1_000_000, 2_000_000
+
+
+def bucket_names(spark: SparkSession, count: int) -> list[int]:
+    """Numbers for so many buckets, each of which the shuffle deals to a task of its own; numbers from 0 on share tasks, so one task
+    would have three buckets and others none."""
+    dealt = spark.range(0, 64 * count, 1, 1).select(F.col("id").cast("int").alias("name")).groupBy(F.pmod(F.hash("name"), F.lit(count)).alias("task")).agg(F.min("name").alias("name"))
+    names = sorted(r.name for r in dealt.collect())  # one row a bucket
+    return names + [k for k in range(2 * count) if k not in names][: count - len(names)]
 
 
-def _done_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] | None, seeds: DataFrame | None, initial: DataFrame | None, chain: int, only_read: bool) -> DataFrame | None:
+def _done_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] | None, seeds: DataFrame | None, initial: DataFrame | None, chain: int, gives: int) -> DataFrame | None:
     """The packed history (week, data) of `rated_weeks`; nothing without weeks."""
     spark, root = matches.sparkSession, f"{folder(matches.sparkSession)}/ratings-{uuid.uuid4().hex}"
-    known = matches.select("home_club_id", "away_club_id", "home_team_goals", "away_team_goals", "yyyyww").dropna()
-    sides = both_sides(known, ["yyyyww"]).select("yyyyww", F.col("opponent").cast("bigint").alias("pid"), F.col("pid").cast("bigint").alias("other"), F.col("score").alias("x"))
+    needed = ["home_club_id", "away_club_id", "yyyyww"] if gives == SCORES else None  # predictions need no score
+    known = matches.select("home_club_id", "away_club_id", "home_team_goals", "away_team_goals", "yyyyww").dropna(subset=needed)
+    sides = both_sides(known, ["yyyyww"]).select("yyyyww", F.col("opponent").cast("bigint").alias("pid"), F.col("pid").cast("bigint").alias("other"), F.coalesce("score", F.lit(math.nan)).alias("x"), F.col("at_home").alias("home"))
     sides.repartition("yyyyww").write.partitionBy("yyyyww").parquet(f"{root}/sides")
-    written = "pid bigint, other bigint, x double, yyyyww int"
-    have = [r[0] for r in spark.read.schema(written).parquet(f"{root}/sides").select("yyyyww").distinct().collect()]
+    written = "pid bigint, other bigint, x double, home boolean, yyyyww int"
+    scored = spark.read.schema(written).parquet(f"{root}/sides").where(~F.isnan("x"))
+    have = [r[0] for r in scored.select("yyyyww").distinct().collect()]
     if not have:
         return None
     number = lambda w: w // 100 * 53 + w % 100  # noqa: E731  only to see which weeks come first
@@ -168,7 +189,7 @@ def _done_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] |
             clock.append((week, elapsed_weeks(before, week) if before is not None else 0))
         before = week
 
-    players = spark.read.schema(written).parquet(f"{root}/sides").select("pid")
+    players = scored.select("pid")
     if initial is not None:
         initial = initial.select(F.col("pid").cast("bigint").alias("pid"), "mu", "phi", "sigma", "seen")
         state = players.unionByName(initial.select("pid")).distinct().join(initial, "pid", "left")
@@ -187,19 +208,20 @@ def _done_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] |
     # A session of its own: adaptive plans would make a job of each shuffle.
     own = spark.newSession()
     rows = own.read.parquet(f"{root}/start").count()
-    parts = max(min(-(-rows // BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-rows // MOST))
-    chain = max(min(chain, 4), min(chain, CHAINED // rows))
+    # As many buckets as there are cores, as long as none gets too large or too small: a week is one round of tasks.
+    parts = max(min(-(-rows // BUCKET), spark.sparkContext.defaultParallelism), -(-rows // (MOST_BARE if gives == SCORES else MOST)))
+    chain = chain if gives == SCORES else max(min(chain, 4), min(chain, CHAINED // rows))
     for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", str(parts))):
         own.conf.set(k, v)
-    settings = {f.name: np.array([float(getattr(e, f.name)) for e in engines]) for f in fields(Engine)}
+    settings, names = {f.name: np.array([float(getattr(e, f.name)) for e in engines]) for f in fields(Engine)}, bucket_names(own, parts)
 
     def full(frame: DataFrame, kind: int, week: Column) -> DataFrame:
-        dealt = frame.select(F.pmod("pid", F.lit(parts)).cast("int").alias("bucket"), week.cast("int").alias("_week"), *FIELDS[kind])
+        dealt = frame.select(F.element_at(F.array(*map(F.lit, names)), F.pmod("pid", F.lit(parts)).cast("int") + 1).alias("bucket"), week.cast("int").alias("_week"), *FIELDS[kind])
         return dealt.groupBy("bucket", "_week").applyInArrow(lambda key, table: pack_group(kind, key, table), SCHEMA)
 
     def step(done: int | None, to_tell: int | None, gaps: dict[int, int], elapsed: int):
         def run(key, table):
-            bucket = Bucket(table, settings, parts, only_read)
+            bucket = Bucket(table, settings, names, gives)
             if done is not None:
                 bucket.update(done)
             if to_tell is not None:
@@ -220,7 +242,7 @@ def _done_weeks(matches: DataFrame, engines: list[Engine], calendar: list[int] |
             weeks_so_far |= {week} - {None}
             done = week
         rows.write.partitionBy("kind").parquet(f"{root}/chain={at}")
-        state = own.read.schema(plain).parquet(f"{root}/chain={at}/kind={STATE}").select("bucket", F.lit(STATE).alias("kind"), "week", "data")
+        state = own.read.schema(plain).parquet(f"{root}/chain={at}/kind={HELD}").select("bucket", F.lit(HELD).alias("kind"), "week", "data")
     return spark.read.schema(plain).parquet(*[f"{root}/chain={at}/kind={DONE}" for at in range(0, len(clock), chain)]).select("week", "data")
 
 

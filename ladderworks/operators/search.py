@@ -12,7 +12,7 @@ from ladderworks.functions.scoring import SCALE, elo_expected, expected
 from ladderworks.operators import evaluate
 from ladderworks.operators.asof import asof_before
 from ladderworks.operators.keeping import kept
-from ladderworks.operators.ratings import INIT_RD, Engine, predicted, start_values
+from ladderworks.operators.ratings import INIT_RD, Engine, predicted, score_sums, start_values
 
 #: The settings of the default grid, 27 in all.
 GRID = {"rd": [200.0, 250.0, 300.0], "sigma": [0.06, 0.08, 0.1], "tau": [0.3, 0.5, 0.8]}
@@ -31,10 +31,17 @@ def engine_predictions(matches: DataFrame, engines: list[Engine]) -> DataFrame:
     return predicted(matches, start_values(matches, engines))
 
 
+def engine_scores(matches: DataFrame, engines: list[Engine]) -> DataFrame:
+    """Sums of the scores of every engine's predictions by week: what `held_out` and `rolling_origin` need of them."""
+    found = score_sums(matches, engines)
+    return found.groupBy("config", "yyyyww").agg(*[F.sum(c).alias(c) for c in found.columns[2:]])
+
+
 def _weekly_sums(predictions: DataFrame) -> DataFrame:
     """Sums of the scores by configuration and week, kept: all that follows reads these few rows, not predictions. ``i`` numbers
-    the ``weeks`` from 0 on."""
-    sums = kept(predictions.groupBy("config", "yyyyww").agg(*evaluate.sums(F.col("p"), F.col("actual"))))
+    the ``weeks`` from 0 on. `engine_scores` has such sums already."""
+    sums = predictions if "p" not in predictions.columns else predictions.groupBy("config", "yyyyww").agg(*evaluate.sums(F.col("p"), F.col("actual")))
+    sums = kept(sums)
     spine = sums.select("yyyyww").distinct().withColumn("i", F.row_number().over(Window.orderBy("yyyyww")) - 1)  # one row a week
     return sums.join(F.broadcast(spine.withColumn("weeks", F.count("*").over(Window.partitionBy(F.lit(1))))), "yyyyww")
 

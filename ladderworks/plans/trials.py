@@ -28,18 +28,18 @@ continent, country = _run(ratings.CONTINENT), _run(ratings.COUNTRY)
 def holdout(s, d):
     """The engine's defaults and the settings of its two kinds of runs, scored on the last weeks."""
     engines = [ratings.Engine(), ratings.CONTINENT, ratings.COUNTRY]
-    return rounded(search.held_out(search.engine_predictions(fixtures(s, d), engines)), 6)
+    return rounded(search.held_out(search.engine_scores(fixtures(s, d), engines)), 6)
 
 
 def rolling(s, d):
     engines = [ratings.Engine(), ratings.CONTINENT, ratings.COUNTRY]
-    return rounded(search.rolling_origin(search.engine_predictions(fixtures(s, d), engines)), 6)
+    return rounded(search.rolling_origin(search.engine_scores(fixtures(s, d), engines)), 6)
 
 
 def grid(s, d):
     """All 27 settings of the grid in one pass over the weeks."""
     engines = search.configurations(search.GRID)
-    return rounded(search.ranked(search.held_out(search.engine_predictions(fixtures(s, d), engines)), engines), 6)
+    return rounded(search.ranked(search.held_out(search.engine_scores(fixtures(s, d), engines)), engines), 6)
 
 
 def connectivity_trials(s, d):

@@ -124,3 +124,27 @@ def test_primary_communities_are_summed_up_by_hash(spark):
     for weeks in ([202030], [202030, 202031]):
         found = connectivity.primary_community(spark.createDataFrame(rows, EDGE), weeks_of(spark, weeks)).where("week = 202030")
         assert {r.pid: r.community for r in found.collect()} == {1: "A|x", 2: "B|x", 3: None}
+
+
+def test_scores_are_summed_up_where_a_player_is_told(spark, monkeypatch):
+    """What matches read was carried through the chain, stored and joined to them twice. Matches without a score or a side, too."""
+    rows = [*season(11, [202001, 202003, 202009]), (90, 1, 2, None, 1, 202003), (91, 1, 77, None, 1, 202003), (92, None, 2, 1, 1, 202003), (93, 1, 2, None, 1, 202050)]
+    matches, engines = spark.createDataFrame(rows, MATCH), [Engine(), Engine(rd=300.0), ratings.COUNTRY]
+    values = lambda frame: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in frame.select("config", "yyyyww", *week_steps.SUMS).collect())
+    p = search.engine_predictions(matches, engines)
+    want = values(p.groupBy("config", "yyyyww").agg(*search.evaluate.sums(F.col("p"), F.col("actual"))))
+    assert len(want) == 9 and any(r[2] > r[3] for r in want)
+    monkeypatch.setattr(ratings, "BUCKET", 5)
+    monkeypatch.setattr(ratings, "predicted", None)
+    found = search.engine_scores(matches, engines)
+    assert values(found) == want and "Join" not in plan(found)
+    scores = lambda frame: sorted(map(str, search.held_out(frame).select("config", "weeks", "n", F.round("log_loss", 9)).collect()))
+    assert scores(found) == scores(p)
+
+
+def test_each_bucket_has_a_task(spark):
+    """Of eight buckets three shared a task, and three tasks had none."""
+    for count in (1, 8, 12, 100):
+        names = ratings.bucket_names(spark, count)
+        frame = spark.createDataFrame([(n,) for n in names], "bucket int").repartition(count, "bucket")
+        assert len({*names}) == count and frame.select(F.spark_partition_id()).distinct().count() == count
