@@ -148,3 +148,16 @@ def test_each_bucket_has_a_task(spark):
         names = ratings.bucket_names(spark, count)
         frame = spark.createDataFrame([(n,) for n in names], "bucket int").repartition(count, "bucket")
         assert len({*names}) == count and frame.select(F.spark_partition_id()).distinct().count() == count
+
+
+def test_diffusion_shuffles_blocks_once(spark, monkeypatch):
+    """Edges and states were shuffled anew for each step, and kept after each."""
+    e, weekly = edges(spark), spark.createDataFrame([(w, k) for w in WEEKS for k in range(7)], "week int, pid bigint")
+    plans, whole, s = [], connectivity.kept, connectivity.Settings(steps=4)
+    monkeypatch.setattr(connectivity, "kept", lambda frame: (out := whole(frame), plans.append(plan(frame)))[0])
+    values = lambda: {(r.week, r.pid): (round(r.seed, 9), round(r.comparability, 9)) for r in connectivity.diffuse(weekly, e, s).collect()}
+    one = values()
+    assert len(plans) == 1 and sum("pythonUDF" in x or "begin" in x or "Exchange hashpartitioning(part" in x for x in plans[0].splitlines() if "Reused" not in x) > 0
+    assert plans[0].count("ReusedExchange") >= s.steps
+    monkeypatch.setattr(connectivity, "EDGES", 50)
+    assert values() == one and len(one) >= 28
