@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import fields, replace
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderworks.functions.scoring import SCALE, elo_expected, expected
+from ladderworks.functions.scoring import SCALE, expected
 from ladderworks.operators import evaluate
 from ladderworks.operators.asof import asof_before
 from ladderworks.operators.keeping import kept
@@ -89,24 +93,43 @@ RANGES = {
 }
 
 
-def adjusted_by_settings(side: str = "") -> Column:
-    """A row's adjusted rating by the settings that stand in its columns.
+def adjusted_by_settings(own: dict[str, np.ndarray], t: dict[str, float]) -> np.ndarray:
+    """Adjusted ratings by the settings ``t``; NaN stands for null.
 
-    Of the rating it has rating, rd, all_mean, own_mean; of the windows volume and h_norm (null without matches), external and
-    community_norm (null without matches elsewhere). These stand in the struct ``side``, if it is given.
+    ``own`` has rating, rd, all_mean, own_mean; of the windows volume and h_norm (null without matches), external and
+    community_norm (null without matches elsewhere). As in SQL, the least and the greatest pass over nulls.
     """
-    c = F.col
-    own = lambda n: c(f"{side}.{n}" if side else n)
-    trust = F.coalesce(own("volume") / (own("volume") + c("half_life")), F.lit(0.0))
-    direct = c("direct_floor") + (1 - c("direct_floor")) * F.coalesce(own("h_norm"), F.lit(0.0)) * trust
-    outer = c("community_floor") + (1 - c("community_floor")) * F.coalesce(own("community_norm") * own("external") / (own("external") + c("half_life")), F.lit(0.0))
-    effective = F.greatest(c("direct_floor"), F.least(F.lit(1.0), c("blend") * direct + (1 - c("blend")) * outer))
-    total = F.sqrt(own("rd") ** 2 + (c("rd_scale") * F.pow(1 - effective, c("rd_power"))) ** 2)
-    share = F.greatest(c("trust_floor"), F.least(F.lit(1.0), c("trust_floor") + (1 - c("trust_floor")) * effective * trust / (1 + total / c("trust_rd"))))
-    base = c("baseline_blend") * own("all_mean") + (1 - c("baseline_blend")) * own("own_mean")
-    return F.when(own("rating") <= base, own("rating")).otherwise(base + share * (own("rating") - base))
-
-
+    or_0 = lambda x: np.where(np.isnan(x), 0.0, x)
+    trust = or_0(own["volume"] / (own["volume"] + t["half_life"]))
+    direct = t["direct_floor"] + (1 - t["direct_floor"]) * or_0(own["h_norm"]) * trust
+    outer = t["community_floor"] + (1 - t["community_floor"]) * or_0(own["community_norm"] * own["external"] / (own["external"] + t["half_life"]))
+    effective = np.fmax(t["direct_floor"], np.fmin(1.0, t["blend"] * direct + (1 - t["blend"]) * outer))
+    total = np.sqrt(own["rd"] ** 2 + (t["rd_scale"] * np.power(1 - effective, t["rd_power"])) ** 2)
+    share = np.fmax(t["trust_floor"], np.fmin(1.0, t["trust_floor"] + (1 - t["trust_floor"]) * effective * trust / (1 + total / t["trust_rd"])))
+    base = t["baseline_blend"] * own["all_mean"] + (1 - t["baseline_blend"]) * own["own_mean"]
+    return np.where(own["rating"] <= base, own["rating"], base + share * (own["rating"] - base))
+
+
+def tried(trials: list[dict[str, float]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the errors of a batch of matches, a row for each trial: formulas are computed once for all matches of the batch."""
+    for batch in batches:
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: E731,B023
+        sides = {x: {c: column(f"_{x}_{c}") for c in ("pre", "week", *PARTS)} for x in ("home", "away")}
+        actual, continental = column("actual"), column("continental") == 1
+        rows = []
+        for t in trials:
+            value = {}
+            for x, own in sides.items():
+                found = adjusted_by_settings(own, t)
+                value[x] = np.where(np.isnan(own["week"]) | np.isnan(found), own["pre"], found)
+            error = np.abs(1 / (1 + np.power(10.0, (value["away"] - value["home"]) / 400)) - actual)
+            known = ~np.isnan(error)
+            rows.append((t["trial"], len(error), int(known.sum()), float(error[known].sum()), int((known & continental).sum()), float(error[known & continental].sum())))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()), strict=True)], TRIED.replace(",", "").split()[::2])
+
+
+#: What is summed up of a trial.
+TRIED = "trial int, n bigint, known bigint, error double, continental bigint, continental_error double"
 #: What a rating and its windows have.
 PARTS = ["rating", "rd", "volume", "h_norm", "external", "community_norm", "all_mean", "own_mean"]
 
@@ -115,20 +138,19 @@ def connectivity_search(predictions: DataFrame, parts: DataFrame, trials: list[d
     """Per trial the mean absolute error of expectations from adjusted ratings, over all matches and the continental ones.
 
     Ratings are fixed and so are the windows: ``parts`` (week, pid and what `adjusted_by_settings` reads) are made once, and a
-    match meets each side's last ones of an earlier week. The trials are a small table that every match meets, with both
-    sides in its row; they differ in formulas only, and only sums by trial are shuffled then. A side without earlier parts
-    has its rating before the match. ``result_id`` is unique.
+    match meets each side's last ones of an earlier week. Then both sides are in its row, and the trials, which differ in
+    formulas only, are computed on arrays of matches; only sums by trial are shuffled then. A side without earlier parts
+    has its rating before the match, if predictions have it (home_pre, away_pre), else 1500. ``result_id`` is unique.
     """
-    side = lambda x: F.struct(F.lit(x == "home").alias("at_home"), F.col(f"{x}_club_id").alias("pid"), F.col(f"{x}_pre").alias("pre"))
-    sides = predictions.select("result_id", "yyyyww", "league_code", "actual", F.inline(F.array(side("home"), side("away"))))
+    pre = lambda x: F.col(x) if x in predictions.columns else F.lit(1500.0)
+    side = lambda x: F.struct(F.lit(x == "home").alias("at_home"), F.col(f"{x}_club_id").alias("pid"), pre(f"{x}_pre").alias("pre"))
+    sides = predictions.select("result_id", "yyyyww", (F.col("league_code") == "UCL").alias("continental"), "actual", F.inline(F.array(side("home"), side("away"))))
     met = asof_before(sides, parts.select("pid", "week", *PARTS), "pid", "yyyyww", "week", ["week", *PARTS])
-    own = F.struct("pre", F.col("week").isNotNull().alias("known"), *PARTS)
-    both = met.groupBy("result_id").agg(F.first("league_code").alias("league_code"), F.first("actual").alias("actual"), F.max(F.when(F.col("at_home"), own)).alias("home"), F.max(F.when(~F.col("at_home"), own)).alias("away"))
-    table = predictions.sparkSession.createDataFrame(trials, "trial int, " + ", ".join(f"{k} double" for k in RANGES))
-    value = lambda x: F.coalesce(F.when(F.col(f"{x}.known"), adjusted_by_settings(x)), F.col(f"{x}.pre"))
-    error = F.abs(elo_expected(value("home") - value("away")) - F.col("actual"))
-    tried = both.crossJoin(F.broadcast(table)).select("trial", "league_code", error.alias("error"))
-    return tried.groupBy("trial").agg(F.count("*").alias("n"), F.avg("error").alias("mae"), F.avg(F.when(F.col("league_code") == "UCL", F.col("error"))).alias("continental_mae"))
+    # Numbers are put together by hash; with texts or structs the rows of all matches would be sorted before and after their shuffle.
+    of = lambda x, c: F.max(F.when(F.col("at_home") if x == "home" else ~F.col("at_home"), F.col(c))).alias(f"_{x}_{c}")
+    both = met.groupBy("result_id").agg(F.max("continental").alias("continental"), F.max("actual").alias("actual"), *[of(x, c) for x in ("home", "away") for c in ("pre", "week", *PARTS)])
+    sums = both.mapInArrow(partial(tried, trials), TRIED).groupBy("trial").agg(*[F.sum(c).alias(c) for c in ("n", "known", "error", "continental", "continental_error")])
+    return sums.select("trial", "n", F.try_divide("error", "known").alias("mae"), F.try_divide("continental_error", "continental").alias("continental_mae"))
 
 
 def elite_weeks(predictions: DataFrame, before: DataFrame, ranks: DataFrame, top: int = 500, least: int = 10, centre: float = 1500.0) -> DataFrame:

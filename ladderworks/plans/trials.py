@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ladderworks.operators import connectivity, ratings, search
-from ladderworks.operators.keeping import kept
+from ladderworks.functions.scoring import score
+from ladderworks.operators.keeping import kept, stored
 from ladderworks.operators.segments import penalised_segments
 from ladderworks.plans import serving
 from ladderworks.plans.common import layer_of, rounded, sql, weekly
@@ -44,19 +45,11 @@ def grid(s, d):
 
 def connectivity_trials(s, d):
     """Settings of the connectivity layer tried on fixed ratings (the stand-in)."""
-    f = kept(fixtures(s, d))
+    f = stored(fixtures(s, d))
     w, edges = layer_of(f, clubs(s, d))
-    settings = connectivity.Settings()
-    rows = kept(connectivity.adjust(w, edges, settings).select("week", "pid", "rating", "rd", "community", "volume", "h_norm"))
-    outer = connectivity.community_connectivity(edges, w, settings)
-    norm = (F.col("community_connectivity") - settings.community_floor) / (1 - settings.community_floor) * (F.col("external") + settings.half_life) / F.col("external")
-    outer = outer.select("week", "community", "external", norm.alias("community_norm"))
-    means = rows.groupBy("week", "community").agg(F.sum("rating").alias("_s"), F.count("*").alias("_n"))
-    all_mean = means.groupBy("week").agg((F.sum("_s") / F.sum("_n")).alias("all_mean"))
-    # Communities are countries by a few kinds of competitions: their weeks are a small table.
-    own_mean = means.select("week", "community", (F.col("_s") / F.col("_n")).alias("own_mean"))
-    parts = rows.join(F.broadcast(outer), ["week", "community"], "left").join(F.broadcast(own_mean), ["week", "community"]).join(F.broadcast(all_mean), "week")
-    found = search.connectivity_search(serving.predictions(f, w), parts, search.sampled_settings(_TRIALS))
+    # Parts have a row wherever ratings have, so a side without earlier ones has no rating before the match either.
+    matches = f.select("result_id", "yyyyww", "league_code", "home_club_id", "away_club_id", score(F.col("home_team_goals"), F.col("away_team_goals")).alias("actual"))
+    found = search.connectivity_search(matches, connectivity.parts(w, edges), search.sampled_settings(_TRIALS))
     out = rounded(found, 6)
     return out.withColumn("is_best", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("mae", "trial")) == 1)  # one row a trial
 

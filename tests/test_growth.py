@@ -161,3 +161,23 @@ def test_diffusion_shuffles_blocks_once(spark, monkeypatch):
     assert plans[0].count("ReusedExchange") >= s.steps
     monkeypatch.setattr(connectivity, "EDGES", 50)
     assert values() == one and len(one) >= 28
+
+
+def test_search_makes_no_more_than_its_parts(spark, monkeypatch):
+    """Numbers of opponents and adjusted ratings were made that nothing reads; earlier ratings were looked up twice, matches were put
+    together by sorts, and formulas evaluated for each match and trial in turn."""
+    from ladderworks.plans import common, trials
+
+    path, seen, refused = "/root/testdata/sf0.001", [], lambda *a, **k: (_ for _ in ()).throw(AssertionError("not needed"))
+    weekly, e = common.layer(spark, path)
+    s, rows = connectivity.Settings(), lambda frame: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in frame.collect())
+    own = ["week", "pid", "rating", "rd", "community", "volume", "h_norm"]
+    assert rows(connectivity.parts(weekly, e).select(*own)) == rows(connectivity.adjust(weekly, e).select(*own))
+    outer = connectivity.community_connectivity(e, weekly, s).selectExpr("week", "community", "external", f"(community_connectivity - {s.community_floor}) / {1 - s.community_floor} * (external + {s.half_life}) / external AS community_norm")
+    assert rows(connectivity.parts(weekly, e).where("external IS NOT NULL").select(*outer.columns).distinct()) == rows(outer.join(connectivity.parts(weekly, e).select("week", "community").distinct(), ["week", "community"]))
+    for name in ("_opponents", "adjust"):
+        monkeypatch.setattr(connectivity, name, refused)
+    monkeypatch.setattr(trials.serving, "predictions", refused)
+    search_of = search.connectivity_search
+    monkeypatch.setattr(search, "connectivity_search", lambda *a: (seen.append(search_of(*a)), seen[0])[1])
+    assert trials.connectivity_trials(spark, path).count() == 20 and "SortAggregate" not in plan(seen[0]) and "NestedLoop" not in plan(seen[0])
